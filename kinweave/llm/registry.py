@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann_forest
+from . import ann_forest, simhash_anchor
 
-QUERIES = {"op1_ann_forest": ann_forest.op1_ann_forest}
+QUERIES = {
+    "op1_ann_forest": ann_forest.op1_ann_forest,
+    "op7_simhash_anchor": simhash_anchor.op7_simhash_anchor,
+}
 ORACLES: dict[str, str] = {}
