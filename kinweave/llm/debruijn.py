@@ -143,17 +143,31 @@ def windows_to_go(df: DataFrame, id_col: str, text_col: str, window: int = WINDO
 
     tid is a hash of the text: rows that repeat an id with another text have coordinates of their own.
     """
+    spark = df.sparkSession
     src = _keyed(df, id_col, text_col).where("id is not null and t is not null")
-    cut = common.cut(src.mapInArrow(_cut_texts(window, kmer), "id long, tid long, span long, h long, c long, c2 long"))
-    spread = cut.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h")
-    shared = common.cut(cut.join(spread, "h").drop("h"))
-    first = shared.groupBy("c", "c2").agg(F.min("id").alias("low"))
-    seen = common.cut(shared.join(first, ["c", "c2"]).select("id", "tid", "span", (F.col("id") > F.col("low")).alias("late")))
-    early = seen.where("not late").groupBy("id", "tid").agg(F.collect_list("span").alias("spans"))
-    read = common.cut(src.join(early, ["id", "tid"]).mapInArrow(_read_windows(window), "id long, tid long, span long, w long, w2 long"))
-    least = read.groupBy("w", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w", "w2", "low")
-    more = read.join(least, ["w", "w2"]).where("id > low").select("id", "tid", "span")
-    return seen.where("late").select("id", "tid", "span").union(more).groupBy("id", "tid").agg(F.collect_list("span").alias("spans"))
+
+    def shared_pieces() -> DataFrame:
+        every = src.mapInArrow(_cut_texts(window, kmer), "id long, tid long, span long, h long, c long, c2 long")
+        spread = every.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h")
+        return common.cut(every.join(spread, "h").drop("h"))
+
+    def seen_pieces(shared: DataFrame) -> DataFrame:
+        first = shared.groupBy("c", "c2").agg(F.min("id").alias("low"))
+        return common.cut(shared.join(first, ["c", "c2"]).select("id", "tid", "span", (F.col("id") > F.col("low")).alias("late")))
+
+    def spans(seen: DataFrame) -> DataFrame:
+        early = seen.where("not late").groupBy("id", "tid").agg(F.collect_list("span").alias("spans"))
+        read = src.join(early, ["id", "tid"]).mapInArrow(_read_windows(window), "id long, tid long, span long, w long, w2 long")
+        least = read.groupBy("w", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w", "w2", "low")
+        more = read.join(least, ["w", "w2"]).where("id > low").select("id", "tid", "span")
+        return common.cut(seen.where("late").select("id", "tid", "span").union(more).groupBy("id", "tid").agg(F.collect_list("span").alias("spans")))
+
+    seen = seen_pieces(shared_pieces())
+    common.release(spark)
+    out = spans(seen)
+    del seen
+    common.release(spark)
+    return out
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
