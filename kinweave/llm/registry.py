@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bottomk, debruijn, mixing, rans, simhash_anchor
+from . import ann_forest, bottomk, debruijn, mixing, packing, rans, simhash_anchor
 
 QUERIES = {
     "op1_ann_forest": ann_forest.op1_ann_forest,
+    "op4_pattern_pack": packing.op4_pattern_pack,
     "op5_rans": rans.op5_rans,
     "op6_bottomk": bottomk.op6_bottomk,
     "op7_simhash_anchor": simhash_anchor.op7_simhash_anchor,

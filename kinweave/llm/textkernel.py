@@ -55,6 +55,17 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power, inverse = _tables(_BASE, len(data) + 1)
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=run[1:])
+        return mix((run[ends] - run[starts]) * inverse[starts])
+
+
 class Words:
     """Words of many texts: starts and ends (bytes), first (the first word of each text, with the end as last)."""
 
@@ -73,13 +84,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        power, inverse = _tables(_BASE, len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            run = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=run[1:])
-            return mix((run[self.ends] - run[self.starts]) * inverse[self.starts])
+        return hash_spans(self.data, self.starts, self.ends)
 
     def text_of(self) -> np.ndarray:
         """The text that each word is of."""

@@ -1,10 +1,10 @@
-"""Token ids of whole texts by a public tokenizer, through bounded memos.
+"""Token ids of whole texts by a public tokenizer, through a bounded memo of its pre-tokens.
 
-The tokenizer of word_bpe_49k.json drops white space, so no token spans a space or a line feed: a text's ids are
-those of its space-separated pieces in a row, and each piece is encoded once while a memo holds it. Most pieces are
-Latin letters with marks behind them; the letters and the marks are tokens apart for this tokenizer, so the two are
-remembered by themselves. New letters and marks go to the library many at a time, held apart by a token that none of
-them can yield, and with the tokenizer's own model behind a plain split at spaces; all other pieces go through whole.
+The tokenizer of word_bpe_49k.json drops white space, lower-cases, and treats a run of letters and a run of marks as
+tokens apart. So words of Latin letters and ASCII marks split into such runs over all bytes at once, equal runs are
+found by their hashes, and only runs that the memo lacks go to the library, many at a time, held apart by a token
+that none of them can yield. Any other word - digits, apostrophes, other letters, control or special tokens - goes to
+the library whole. A text's ids are those of its runs in a row.
 """
 
 from __future__ import annotations
@@ -13,18 +13,32 @@ import functools
 import os
 
 import numpy as np
+import pyarrow as pa
+
+from .textkernel import hash_spans, lower, utf8
 
 END = 2
-#: Entries that a memo holds; it starts anew beyond that.
-MEMO = 400_000
+#: Runs that the memo holds; it starts anew beyond that.
+MEMO = 600_000
+_GAP, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, 0x0A]] = _GAP
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = _MARK
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+#: Byte pairs that make a word one of the others: the times and division signs, the dotted capital I, a special token's start.
+_PAIRS = (0xC397, 0xC3B7, 0xC4B0, 0x3C7C)
 
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
+    """The file's tokenizer, and its model behind a plain split at spaces, for runs of lower-case ASCII."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    plain = Tokenizer.from_str(tok.to_str())
+    plain.normalizer, plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+    return tok, plain
 
 
 def default_path() -> str:
@@ -33,77 +47,101 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: What may follow the letters of a piece as one more token: ASCII marks but the apostrophe, which can begin a suffix.
-MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'|")
-LATIN = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250")
-
-
-@functools.lru_cache(maxsize=2)
-def _plain(path: str):
-    """The same model for pieces that are one token each once normalised."""
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    tok = Tokenizer.from_str(tokenizer(path).to_str())
-    tok.normalizer = None
-    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    ascii_only = Tokenizer.from_str(tok.to_str())
-    ascii_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-    return tok, ascii_only
-
-
 class Encoder:
-    """encode(texts) gives the ids of each text as bytes of unsigned 16-bit numbers."""
-
     def __init__(self, path: str | None = None):
-        path = path or default_path()
-        self.tok, (self.latin, self.ascii), self.memo, self.parts = tokenizer(path), _plain(path), {}, {}
+        self.tok, self.plain = tokenizer(path or default_path())
         assert self.tok.get_vocab_size() <= 1 << 16
         (self.apart,) = self.tok.encode("|", add_special_tokens=False).ids
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def _many(self, words: list[str], tok, into: dict) -> None:
-        """ids of words without bars or white space."""
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.memo: dict[int, int] = {}
+        self.pool, self.filled = np.zeros(1 << 16, np.uint16), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _store(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = len(self.memo), len(hashes)
+        while at + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.size[at : at + n] = sizes
+        self.start[at : at + n] = self.filled + np.cumsum(sizes) - sizes
+        self.filled += len(ids)
+        self.memo.update(zip(hashes, range(at, at + n)))
+
+    def _one_by_one(self, hashes: list[int], runs: list[str]) -> None:
+        ids = [self.tok.encode(r, add_special_tokens=False).ids for r in runs]
+        self._store(hashes, np.array([i for x in ids for i in x], np.uint16), np.array([len(x) for x in ids], np.int64))
+
+    def _many(self, hashes: list[int], runs: list[str], tok) -> None:
+        """Runs without bars or white space."""
+        for at in range(0, len(runs), 10_000):
+            part, key = runs[at : at + 10_000], hashes[at : at + 10_000]
             (got,) = tok.encode_batch_fast([" | ".join(part)], add_special_tokens=False)
             ids = np.array(got.ids, np.uint16)
-            bars = np.flatnonzero(ids == self.apart)
-            if len(bars) != len(part) - 1:
-                into.update((w, self._whole(w)) for w in part)
+            bar = ids == self.apart
+            if bar.sum() != len(part) - 1:
+                self._one_by_one(key, part)
                 continue
-            raw, end = ids.tobytes(), (2 * bars).tolist() + [2 * len(ids)]
-            start = [0, *[e + 2 for e in end[:-1]]]
-            into.update(zip(part, [raw[s:e] for s, e in zip(start, end)]))
-
-    def _learn(self, unseen: list[str]) -> None:
-        parts, memo, todo, other = self.parts, self.memo, [], []
-        for w in unseen:
-            core = w.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or LATIN.issuperset(core)):
-                todo.append((w, core.lower(), w[len(core) :]))
-            elif "|" in w or w.split() != [w]:  # bars, special tokens, other white space, nothing
-                memo[w] = self._whole(w)
-            else:
-                other.append(w)
-        self._many(other, self.tok, memo)
-        if len(parts) > MEMO:
-            parts.clear()
-        new = {x for _, core, tail in todo for x in (core, tail)}.difference(parts)
-        if "" in new:
-            parts[""] = b""
-            new.discard("")
-        plain = [x for x in new if x.isascii()]
-        self._many(plain, self.ascii, parts)
-        self._many([x for x in new if not x.isascii()], self.latin, parts)
-        memo.update((w, parts[core] + parts[tail]) for w, core, tail in todo)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+            edge = np.concatenate([[-1], np.flatnonzero(bar), [len(ids)]])
+            self._store(key, ids[~bar], np.diff(edge) - 1)
+
+    def _learn(self, hashes: list[int], runs: list[str]) -> None:
+        sets: dict[str, tuple[list[int], list[str]]] = {"ascii": ([], []), "latin": ([], []), "odd": ([], [])}
+        for h, r in zip(hashes, runs):
+            kind = "odd" if "|" in r or r.split() != [r] else "ascii" if r.isascii() and r.isprintable() and (r.islower() and r.isalpha() or not any(map(str.isalnum, r)) and "'" not in r) else "latin"
+            sets[kind][0].append(h)
+            sets[kind][1].append(r)
+        self._many(*sets["ascii"], self.plain)
+        self._many(*sets["latin"], self.tok)
+        self._one_by_one(*sets["odd"])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): all ids in a row (uint16), and where each text's begin, with the end as last; null: no ids."""
+        data, offsets = utf8(texts)
+        if not len(data):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
+        kind = _KIND[data]
+        pair = data[:-1].astype(np.uint16) << 8 | data[1:]
+        for p in _PAIRS:
+            kind[:-1][pair == p] = _OTHER
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        gap = kind == _GAP
+        # Words with a byte of another kind are one run each.
+        starts = np.flatnonzero(~gap & (edge[:-1] | np.concatenate([[True], gap[:-1]])))
+        ends = np.flatnonzero(~gap & (edge[1:] | np.concatenate([gap[1:], [True]]))) + 1
+        odd = np.concatenate([[0], np.cumsum(kind == _OTHER)])
+        odd = odd[ends] > odd[starts]
+        whole = np.zeros(len(data) + 1, np.int8)
+        whole[starts[odd]] += 1
+        whole[ends[odd]] -= 1
+        whole = np.cumsum(whole[:-1], dtype=np.int8) > 0
+        kind[whole] = _OTHER
+        edge[1:-1] |= kind[1:] != kind[:-1]
+        edge[0] = edge[-1] = True
+        cut = np.flatnonzero(edge)
+        starts, ends = cut[:-1], cut[1:]
+        real = ~gap[starts]
+        starts, ends = starts[real], ends[real]
+        low = np.where(whole, data, lower(data))
+        first = np.searchsorted(starts, offsets)
+        unique, where, back = np.unique(hash_spans(low, starts, ends), return_index=True, return_inverse=True)
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        seen = set().union(*pieces)
-        self._learn(list(seen.difference(self.memo)))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+            self._clear()
+        keys = unique.tolist()
+        get = self.memo.get
+        known = np.array([get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            raw = low.tobytes()
+            at = where[new]
+            self._learn([keys[i] for i in new.tolist()], [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            known[new] = [get(keys[i]) for i in new.tolist()]
+        index = known[back]
+        n = self.size[index]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(self.start[index] - total[:-1], n) + np.arange(total[-1])]
+        return ids, total[first]
