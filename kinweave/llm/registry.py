@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bottomk, debruijn, mixing, packing, rans, simhash_anchor
+from . import ann_forest, bottomk, crf, debruijn, mixing, packing, rans, simhash_anchor
 
 QUERIES = {
     "op1_ann_forest": ann_forest.op1_ann_forest,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_bottomk": bottomk.op6_bottomk,
     "op7_simhash_anchor": simhash_anchor.op7_simhash_anchor,
     "op8_debruijn_dedup": debruijn.op8_debruijn_dedup,
+    "op9_crf_quality": crf.op9_crf_quality,
     "op10_weighted_mix": mixing.op10_weighted_mix,
 }
 ORACLES: dict[str, str] = {"op10_weighted_mix": mixing.OP10_SQL}
