@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bottomk, crf, debruijn, mixing, packing, rans, simhash_anchor
+from . import ann_forest, bottomk, crf, debruijn, mixing, packing, rans, simhash_anchor, url_gbt, wrapper
 
 QUERIES = {
     "op1_ann_forest": ann_forest.op1_ann_forest,
+    "op2_url_gbt": url_gbt.op2_url_gbt,
+    "op3_wrapper": wrapper.op3_wrapper,
     "op4_pattern_pack": packing.op4_pattern_pack,
     "op5_rans": rans.op5_rans,
     "op6_bottomk": bottomk.op6_bottomk,
