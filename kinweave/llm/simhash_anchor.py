@@ -44,16 +44,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp) of each row, fp as a signed long."""
+    """(doc_id, tid, fp) of each row, fp as a signed long, tid a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in common.byte_slices(b, "t", 16 << 20):
                 fp = np.array([fingerprint(t or b"") for t in part.column("t").cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tid"), pa.array(fp.view(np.int64))], ["doc_id", "tid", "fp"])
 
-    src = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    t = F.col(f"`{text_col}`")
+    src = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("tid"), t.alias("t"))
+    return src.mapInArrow(run, "doc_id long, tid long, fp long")
 
 
 def block_sizes(m: int) -> list[int]:
@@ -157,6 +158,15 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     return spread_out.sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
+def _labelled(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(prints: doc_id, tid, fp of each row; label: fp, root of each fingerprint)."""
+    prints = common.cut(fingerprints(df, id_col, text_col))
+    distinct = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    tree = components.roots(links(distinct.select("fp"), distinct.count()))
+    label = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return prints, label
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest id that links reach) of each row.
 
@@ -164,15 +174,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and links like any other. Rows with a null id take part; a component of such rows alone has a null component_id.
     Rows that repeat an id stay as they are. An empty table gives no rows; other columns are not read.
     """
-    prints = common.cut(fingerprints(df, id_col, text_col))
-    distinct = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    tree = components.roots(links(distinct.select("fp"), distinct.count()))
-    labelled = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = labelled.join(lowest, "root").select("fp", "component_id")
+    prints, label = _labelled(df, id_col, text_col)
+    lowest = label.groupBy("root").agg(F.min("low").alias("component_id"))
+    label = label.join(lowest, "root").select("fp", "component_id")
     return prints.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each component: that of the smallest id (null last), then of the least hash of its text."""
+    prints, label = _labelled(df, id_col, text_col)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tid")
+    chosen = prints.join(label, "fp").groupBy("root").agg(F.min(row).alias("row")).select("row.*").distinct()
+    key = F.col(f"`{id_col}`").cast("long")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("tid"))
+    kept = rows.join(common.cut(chosen), ["none", "id", "tid"], "left_semi").dropDuplicates(["none", "id", "tid"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])
+
+
 def op7_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all `documents`."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))
