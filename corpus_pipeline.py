@@ -1,15 +1,64 @@
-"""Corpus pipeline over `documents`."""
+"""Corpus pipeline over `documents`: quality, near-duplicates, repeated passages, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's
+docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from kinweave.llm import common, crf, debruijn, mixing, packing, simhash_anchor
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier does not reject."""
+    model = crf.train(docs, common.table(spark, sf_dir, "labels"))
+    return crf.classify(docs, model).where("predicted = 1").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash_anchor.keep_one(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words that a document of smaller id has; those left without words go."""
+    out = debruijn.dedup(docs, keep_text=True)
+    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    return out.where("n_removed < n_words or n_removed = 0").select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it; the last one that a source's target reaches gives its first words."""
+    out = mixing.mix(docs, keep=True).where("taken > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
+    out = out.select("row", "size", "taken", copies.alias("copy"))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    first = F.array_join(F.slice(F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, words), " ")
+    whole = words == F.col("size")
+    new = {"text": F.when(whole, F.col("row.text")).otherwise(first), "n_chars": F.when(whole, F.col("row.n_chars")).otherwise(F.char_length(first).cast("long"))}
+    return out.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mixture", mixture), ("sequences", sequences)]
+#: The classifier, the fingerprints and the tokenizer have no SQL form; the tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    folder = f"{common.shared_dir(spark)}/kinweave-pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        common.release(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)
