@@ -26,7 +26,7 @@ from .tokens import END, Encoder
 
 MAGIC = b"KWRANS01"
 SCALE = 20
-LANES, STEPS, BLOCK_TOKENS = 1_024, 32, 1 << 19
+LANES, STEPS, BLOCK_TOKENS = 4_096, 32, 1 << 20
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -143,9 +143,10 @@ def _tokenised(df: DataFrame, id_col: str, text_col: str, path: str | None, end:
         coder, tail = Encoder(path), np.array([end], np.uint16).tobytes()
         for b in batches:
             for part in common.byte_slices(b, "t"):
-                ids = coder.encode([t or "" for t in part.column("t").to_pylist()])
+                ids, at = coder.encode(part.column("t"))
+                raw, at = ids.tobytes(), (2 * at).tolist()
                 to = np.searchsorted(bounds, pa.compute.fill_null(part.column("id"), -(1 << 63)).to_numpy(), "right")
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), part.column("id"), pa.array([i + tail for i in ids], pa.binary())], ["bucket", "id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), part.column("id"), pa.array([raw[s:e] + tail for s, e in zip(at, at[1:])], pa.binary())], ["bucket", "id", "ids"])
 
     return src.mapInArrow(run, "bucket int, id long, ids binary").repartition(n, "bucket")
 
