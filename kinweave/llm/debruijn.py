@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
 from .textkernel import Grams, Words, utf8, windows
@@ -148,18 +148,18 @@ def windows_to_go(df: DataFrame, id_col: str, text_col: str, window: int = WINDO
 
     def shared_pieces() -> DataFrame:
         every = src.mapInArrow(_cut_texts(window, kmer), "id long, tid long, span long, h long, c long, c2 long")
-        spread = every.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h")
-        return common.cut(every.join(spread, "h").drop("h"))
+        spread = every.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select(_apart("h"))
+        return common.cut(every.join(spread, F.bitwise_not(every["h"]) == spread["h"]).select("id", "tid", "span", "c", "c2"))
 
     def seen_pieces(shared: DataFrame) -> DataFrame:
-        first = shared.groupBy("c", "c2").agg(F.min("id").alias("low"))
-        return common.cut(shared.join(first, ["c", "c2"]).select("id", "tid", "span", (F.col("id") > F.col("low")).alias("late")))
+        first = shared.groupBy("c", "c2").agg(F.min("id").alias("low")).select(_apart("c"), F.col("c2").alias("d2"), "low")
+        return common.cut(shared.join(first, (F.bitwise_not(shared["c"]) == first["c"]) & (shared["c2"] == first["d2"])).select("id", "tid", "span", (F.col("id") > F.col("low")).alias("late")))
 
     def spans(seen: DataFrame) -> DataFrame:
         early = seen.where("not late").groupBy("id", "tid").agg(F.collect_list("span").alias("spans"))
         read = src.join(early, ["id", "tid"]).mapInArrow(_read_windows(window), "id long, tid long, span long, w long, w2 long")
-        least = read.groupBy("w", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w", "w2", "low")
-        more = read.join(least, ["w", "w2"]).where("id > low").select("id", "tid", "span")
+        least = read.groupBy("w", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(_apart("w"), F.col("w2").alias("v2"), "low")
+        more = read.join(least, (F.bitwise_not(read["w"]) == least["w"]) & (read["w2"] == least["v2"])).where("id > low").select("id", "tid", "span")
         return common.cut(seen.where("late").select("id", "tid", "span").union(more).groupBy("id", "tid").agg(F.collect_list("span").alias("spans")))
 
     seen = seen_pieces(shared_pieces())
@@ -170,6 +170,11 @@ def windows_to_go(df: DataFrame, id_col: str, text_col: str, window: int = WINDO
     return out
 
 
+def _apart(name: str) -> Column:
+    """The key under another value: a sum per key does not fix the join's exchange then, and Spark can split hot keys."""
+    return (F.bitwise_not(name)).alias(name)
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     t = F.col(f"`{text_col}`")
     return df.select(*more, F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("tid"), t.alias("t"))
