@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from . import common
 
 #: Rows that one bucket of keys is to hold, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 WEIGHTS, MOST = (5, 2, 1), 3
 
 
