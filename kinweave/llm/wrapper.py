@@ -27,6 +27,8 @@ from . import common
 from .url_gbt import host_path
 
 MOST_ITEMS, WIDEST, SALTS = 300, 16, 32
+#: Bytes up to which the rules of all hosts are broadcast.
+SMALL_RULES = 8 << 20
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -321,7 +323,9 @@ def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html") -> D
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.list_(pa.string()))], ["host", "marked", "places"])
 
     rules = common.cut(infer(pages, "source", "host").mapInArrow(decide, "host string, marked boolean, places array<string>"))
-    joined = pages.join(rules, "host").select("row", "source", "marked", "places")
+    volume = rules.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("places", " ")) + 64)).first()[0] or 0
+    # Pages need not move while the rules of all hosts are small; beyond that Spark joins by host and splits hot ones.
+    joined = pages.join(F.broadcast(rules) if volume <= SMALL_RULES else rules, "host").select("row", "source", "marked", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
