@@ -155,17 +155,26 @@ def windows_to_go(df: DataFrame, id_col: str, text_col: str, window: int = WINDO
         first = shared.groupBy("c", "c2").agg(F.min("id").alias("low")).select(_apart("c"), F.col("c2").alias("d2"), "low")
         return common.cut(shared.join(first, (F.bitwise_not(shared["c"]) == first["c"]) & (shared["c2"] == first["d2"])).select("id", "tid", "span", (F.col("id") > F.col("low")).alias("late")))
 
-    def spans(seen: DataFrame) -> DataFrame:
+    def read(seen: DataFrame) -> DataFrame:
         early = seen.where("not late").groupBy("id", "tid").agg(F.collect_list("span").alias("spans"))
-        read = src.join(early, ["id", "tid"]).mapInArrow(_read_windows(window), "id long, tid long, span long, w long, w2 long")
-        least = read.groupBy("w", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(_apart("w"), F.col("w2").alias("v2"), "low")
-        more = read.join(least, (F.bitwise_not(read["w"]) == least["w"]) & (read["w2"] == least["v2"])).where("id > low").select("id", "tid", "span")
+        return src.join(early, ["id", "tid"]).mapInArrow(_read_windows(window), "id long, tid long, span long, w long, w2 long")
+
+    def repeated(seen: DataFrame) -> DataFrame:
+        least = read(seen).groupBy("w", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+        return common.cut(least.select(_apart("w"), F.col("w2").alias("v2"), "low"))
+
+    def spans(seen: DataFrame, least: DataFrame) -> DataFrame:
+        own = read(seen)
+        more = own.join(least, (F.bitwise_not(own["w"]) == least["w"]) & (own["w2"] == least["v2"])).where("id > low").select("id", "tid", "span")
         return common.cut(seen.where("late").select("id", "tid", "span").union(more).groupBy("id", "tid").agg(F.collect_list("span").alias("spans")))
 
+    # Each cut frees the shuffles before it: texts move three times, but never lie on disk twice at once.
     seen = seen_pieces(shared_pieces())
     common.release(spark)
-    out = spans(seen)
-    del seen
+    least = repeated(seen)
+    common.release(spark)
+    out = spans(seen, least)
+    del seen, least
     common.release(spark)
     return out
 
