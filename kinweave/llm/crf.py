@@ -154,7 +154,7 @@ class Model:
         self.weights, self.trans = weights, trans
 
     @classmethod
-    def fit(cls, x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 200, rate: float = 0.06, l2: float = 1e-4) -> Model:
+    def fit(cls, x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 300, rate: float = 0.05, l2: float = 1e-4) -> Model:
         """Adam on the mean log-likelihood per text; label: 1 good, 0 bad, per text. No texts: all scores are one half."""
         ctx = context(x, first)
         w, t = np.zeros(ctx.shape[1]), np.zeros((2, 2))
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = common.least_hashed(known, "id", sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -125,7 +125,7 @@ class Trees:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
     """From (url, host, path, blocked 0/1): at most `sample` distinct URLs, those of least hash."""
     rows = labelled.where("url is not null").groupBy("url", "host", "path").agg(F.max("blocked").alias("blocked"))
-    rows = rows.orderBy(F.xxhash64("url"), "url").limit(sample).collect()  # `sample` rows at most
+    rows = common.least_hashed(rows, "url", sample).collect()  # `sample` rows at most
     y = np.array([r["blocked"] for r in rows], np.float64)
     total, hits = Counter(), Counter()
     for r in rows:
