@@ -2,8 +2,8 @@
 
 Every tree gives every vector a long bit string (signs against the axes of one random rotation) and keeps the
 strings sorted. A query descends to its longest matching prefix and then ascends in all trees at once, one bit at
-a time, until the prefixes hold `ascend` times the indexed rows in sum over the trees; all rows under them are
-candidates, and their cosines are exact. Sorted strings lie in segments of bounded size (a prefix, salted where
+a time, until the prefixes hold `ascend` times the indexed rows in sum over the trees (and one of them several times
+the rows asked for, which small tables need); all rows under them are candidates, and their cosines are exact. Sorted strings lie in segments of bounded size (a prefix, salted where
 one prefix is heavy); a query visits each segment its prefix reaches, so no task holds a whole tree.
 """
 
@@ -100,8 +100,9 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, tr
             labels = np.stack([_labels(x, t) for t in range(trees)])
             depth = np.full(len(ids), -1)
             for level in range(DEPTH, -1, -1):  # the trees ascend together
-                held = sum(levels[level][t, labels[t] >> (BITS - level)] for t in range(trees))
-                depth = np.where((depth < 0) & ((held >= ascend * n) | (level == 0)), level, depth)
+                held = np.stack([levels[level][t, labels[t] >> (BITS - level)] for t in range(trees)])
+                enough = (held.sum(0) >= ascend * n) & (held.max(0) >= min(n, 4 * (k + 1)))
+                depth = np.where((depth < 0) & (enough | (level == 0)), level, depth)
             for i, (d, qid) in enumerate(zip(depth, ids)):
                 seg, low, high = [], [], []
                 for t in range(trees):

@@ -64,6 +64,10 @@ def features(url: str, host: str, path: str, stats: dict[str, float]) -> list[fl
     ]
 
 
+def matrix(rows: list[list[float]]) -> np.ndarray:
+    return np.array(rows, np.float64) if rows else np.zeros((0, len(features("", "", "", {}))))
+
+
 class Trees:
     """Boosted regression trees for the logistic loss, on binned features."""
 
@@ -134,7 +138,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
             hits[s] += r["blocked"]
     prior = (y.sum() + 1) / (len(y) + 2)
     stats = {s: (hits[s] + 10 * prior) / (n + 10) for s, n in total.items()} | {"": float(prior)}
-    x = np.array([features(r["url"], r["host"], r["path"], stats) for r in rows], np.float64).reshape(len(rows), -1)
+    x = matrix([features(r["url"], r["host"], r["path"], stats) for r in rows])
     return Trees.fit(x, y, stats)
 
 
@@ -155,7 +159,7 @@ def judge(df: DataFrame, url_col: str = "url", rules=RULES, threshold: float = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(u or "", h, p, trees.stats) for u, h, p in zip(*(b.column(c).to_pylist() for c in ("url", "host", "path")))]
-            score = trees.score(np.array(x, np.float64).reshape(len(x), -1))
+            score = trees.score(matrix(x))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("host"), b.column("path"), b.column("rule"), b.column("by_rule"), pa.array(score)], ["row", "host", "path", "rule", "by_rule", "score"])
 
     kind = rows.schema["row"].dataType.simpleString()

@@ -301,7 +301,7 @@ def extract(source: str | None, marked: bool, places: frozenset[str]) -> str:
     if marked or own:
         texts = [t for _, chrome, main, _, t in page.blocks if main and not chrome]
     else:
-        texts = [t for place, chrome, _, _, t in page.blocks if not chrome and place in places]
+        texts = [t for place, chrome, _, links, t in page.blocks if not chrome and place in places and links * 2 < len(t)]
     if not texts and not own:  # another layout than its host's: its plain text outside all chrome
         texts = [t for _, chrome, _, links, t in page.blocks if not chrome and links * 2 < len(t)]
     return "\n".join(texts)
