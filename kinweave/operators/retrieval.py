@@ -139,3 +139,15 @@ def nearest_owner(records: DataFrame) -> DataFrame:
     b = records.where("src <> 1").select("country", "name", F.col("id").alias("c"), num.alias("_b"))
     w = Window.partitionBy("country", "c").orderBy(F.abs(F.col("_a") - F.col("_b")), "owner")
     return b.join(a, ["country", "name"]).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("country", "c", "owner")
+
+
+def without_channel(records: DataFrame, cfg: Config, truth: DataFrame, channel: str = "c4_addr_pair") -> DataFrame:
+    """(kind, n): true links that a channel brings into the capped candidates, and those it pushes out."""
+    parts = channels(records, cfg)
+    names = tuple(n for n in parts if n != channel)
+    key = ["country", "q", "c"]
+    full = cap_candidates(union_channels(parts), cfg.candidate_cap).select(*key)
+    less = cap_candidates(union_channels({n: parts[n] for n in names}), cfg.candidate_cap, names).select(*key)
+    t = truth.select(*key).distinct()
+    rows = t.join(full, key, "left_semi").join(less, key, "left_anti").withColumn("kind", F.lit("gained")).unionByName(t.join(less, key, "left_semi").join(full, key, "left_anti").withColumn("kind", F.lit("pushed out")))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"))

@@ -115,3 +115,34 @@ def mix_weights(pairs: DataFrame, mix: dict[str, float], most: float = 20.0) ->
     n = n.withColumn("m", F.when(F.col("category") != "positive", F.coalesce(share[F.col("category")], F.lit(0.0))))
     per = F.least(F.lit(most), F.col("m") / F.sum("m").over(neg) * F.sum("n").over(neg) / F.col("n"))
     return n.select("category", "n", F.round(F.when(F.col("category") == "positive", 1.0).otherwise(per), 6).alias("weight"))
+
+
+def importance(model, names: list[str]) -> list[tuple[str, float]]:
+    """Features by the trees' gain, the greatest first."""
+    return sorted(zip(names, map(float, model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
+
+
+def stack(df: DataFrame, names: list[str], sets: DataFrame, folds: int = 4, **kw) -> DataFrame:
+    """Two stages: out-of-fold scores, then a second model that also sees how a pair agrees with its entity's best."""
+    from .pairs import triangulation
+
+    first = cut(out_of_fold(df, names, folds, **kw))
+    extra = triangulation(first.select("country", "q", "c", "p"), sets)
+    more = [c for c in extra.columns if c.startswith("tri_")]
+    second = first.withColumnRenamed("p", "p_first").join(extra, ["country", "q", "c"])
+    return out_of_fold(second, [*names, *more], folds, **kw)
+
+
+def gate(head: DataFrame, product: DataFrame, least: float = 0.55) -> DataFrame:
+    """(precision, head_f05, product_f05, passes): whether to trust a head. Both frames hold entity_scores' columns; a head
+    passes if what it abstains on is mostly without matches and its F0.5 is no worse.
+    """
+    none = F.col("k") == 0
+    h = head.agg((F.sum((none & (F.col("n") == 0)).cast("int")) / F.greatest(F.sum(none.cast("int")), F.lit(1))).alias("precision"), F.avg("f").alias("head_f05"))
+    p = product.agg(F.avg("f").alias("product_f05"))
+    return h.crossJoin(p).withColumn("passes", (F.col("precision") >= least) & (F.col("head_f05") >= F.col("product_f05")))
+
+
+def category_coverage(pairs: DataFrame) -> DataFrame:
+    """(category, n, mean_p) of categorised pairs with p."""
+    return pairs.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))

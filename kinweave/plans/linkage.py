@@ -504,3 +504,12 @@ query("submission_profile", sql("SELECT coalesce(e.country, 'ALL') AS country, c
     lambda w: submission.profile(w.accepted, w.cand, w.entities)
 )
 query("disjointness_violations", sql("SELECT count(*) AS contested, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS wrong, coalesce(max(n), 0) AS worst FROM (SELECT country, c, count(DISTINCT q) AS n FROM acc GROUP BY ALL HAVING count(DISTINCT q) > 1)"))(lambda w: submission.violations(w.accepted))
+
+query("stage_compare", sql("SELECT kind, count(y) AS right, count(*) - count(y) AS wrong FROM (SELECT x.*, t.c AS y FROM (SELECT country, q, c, 'gained' AS kind FROM top2 WHERE NOT EXISTS (SELECT 1 FROM acc a WHERE a.country = top2.country AND a.q = top2.q AND a.c = top2.c) UNION ALL SELECT country, q, c, 'lost' FROM acc WHERE NOT EXISTS (SELECT 1 FROM top2 a WHERE a.country = acc.country AND a.q = acc.q AND a.c = acc.c)) x LEFT JOIN truth t ON x.country = t.country AND x.q = t.q AND x.c = t.c) GROUP BY kind", top2="SELECT country, q, c FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY p DESC, c) AS rn FROM sc) WHERE rn <= 2"))(
+    lambda w: decision.compare_stages(w.accepted, decision.fixed_top(w.scored, 2), w.truth)
+)
+query("redecide")(lambda w: decision.redecide(w.scored, w.accepted, w.p_zero))
+query("loss_table")(lambda w: decision.loss_table(decision.entity_scores(w.accepted, w.truth, w.entities), w.errors))
+query("density_verdict")(lambda w: decision.density(submission.profile(w.accepted, w.cand, w.entities), 2.0))
+query("channel_report")(lambda w: retrieval.without_channel(w.records, K, w.truth))
+query("stacked_scores")(lambda w: scoring.stack(_labelled(w), _FEATURES, w.sets, 2, rounds=3, depth=3).select("country", "q", "c", "y", "p"))
