@@ -20,14 +20,17 @@ def roots(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
 
+    # The minima's key under another value: their sum does not fix the join's exchange then, and a hub's edges can split.
+    apart = F.bitwise_not("a").alias("na")
     e = common.cut(down(edges))
     before = None
     while before != (before := state(e)):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = down(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(apart, F.least("a", "m").alias("m"))
+        large = down(both.join(low, F.bitwise_not("a") == F.col("na")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        near = low.select(apart, "m")
+        small = large.join(near, F.bitwise_not("a") == F.col("na")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = common.cut(down(small.union(low.select("a", F.col("m").alias("b")))))
     tails = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return tails.union(e.select("b", "b").distinct())
