@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Words of the contracts: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes a Python worker handles at once; a longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -225,7 +225,7 @@ def tokenised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(path)
         for b in batches:
-            for part in common.byte_slices(b, "t"):
+            for part in common.byte_slices(b, "t", 2 * common.CHUNK_BYTES):
                 ids, at = coder.encode(part.column("t"))
                 rows = ([], [], [], [], [])
                 for row in range(len(part)):

@@ -142,7 +142,7 @@ def _tokenised(df: DataFrame, id_col: str, text_col: str, path: str | None, end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, tail = Encoder(path), np.array([end], np.uint16).tobytes()
         for b in batches:
-            for part in common.byte_slices(b, "t"):
+            for part in common.byte_slices(b, "t", 2 * common.CHUNK_BYTES):
                 ids, at = coder.encode(part.column("t"))
                 raw, at = ids.tobytes(), (2 * at).tolist()
                 to = np.searchsorted(bounds, pa.compute.fill_null(part.column("id"), -(1 << 63)).to_numpy(), "right")

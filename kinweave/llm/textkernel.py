@@ -15,7 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@functools.lru_cache(maxsize=8)
+@functools.lru_cache(maxsize=6)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base mod 2**64 and of its inverse."""
     with np.errstate(over="ignore"):
@@ -28,7 +28,8 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, max(1 << 12, 1 << int(n).bit_length()))
+    # Few sizes, so that a worker holds few tables: one for words, one for the bytes of a usual chunk, then powers of two.
+    return _powers(base, next((s for s in (1 << 18, (1 << 20) + 64, (1 << 21) + 64) if n < s), 1 << int(n).bit_length()))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
