@@ -38,8 +38,9 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _CHROME = set("nav footer aside form button select option dialog menu head fieldset datalist".split())
 _CHROME_WORD = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|nav\w*|menu\w*|breadcrumb\w*|side-?bar\w*|aside|"
-    r"comment\w*|respond|discussion|disqus|share\w*|social\w*|related\w*|recommend\w*|subscribe\w*|newsletter\w*|sign-?up|login|search\w*|footer\w*|header\w*|masthead|widget\w*|pagination|pager|skip\w*|toolbar)(?=$|[-_ ])"
+    r"comment\w*|respond|discussion|disqus|share\w*|social\w*|related\w*|recommend\w*|subscribe\w*|newsletter\w*|sign-?up|login|search\w*|footer\w*|widget\w*|pagination|pager|skip\w*|toolbar)(?=$|[-_ ])"
 )
+_HEAD_WORD = re.compile(r"(?:^|[-_ .])(?:header\w*|masthead)(?=$|[-_ ])")
 _MAIN_WORD = re.compile(r"(?:^|[-_ ])(?:article\w*|story\w*|post-?(?:body|content|text)?|entry-?(?:content|body|text)?|main-?(?:content|text)?|content-?(?:body|main)?)(?=$|[-_ ])")
 
 
@@ -57,7 +58,7 @@ class Page:
     def __init__(self, source: str):
         self.items: list[str] = []
         self.blocks: list[tuple[str, bool, bool, int, str]] = []
-        stack: list[tuple[str, str, bool, bool]] = []
+        stack: list[tuple[str, str, bool, bool, bool]] = []
         text: list[str] = []
         links, in_link, pos = 0, 0, 0
 
@@ -71,7 +72,7 @@ class Page:
                 inside = False
                 for s in stack:
                     inside = inside or s[3]
-                    chrome = chrome or (s[0] == "header" and not inside)
+                    chrome = chrome or (s[4] and not inside)
                 self.blocks.append((place, chrome, inside, min(links, len(t)), t))
                 self.items.append("T")
             text.clear()
@@ -118,7 +119,7 @@ class Page:
                 key, chrome, main = _key(name, attrs)
                 self.items.append(key)
                 if name not in _VOID and name not in ("p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") or chrome:
-                    stack.append((name, key, chrome, main))
+                    stack.append((name, key, chrome, main, name == "header" or bool(_HEAD_WORD.search(key))))
         close()
 
 

@@ -107,8 +107,8 @@ def test_trees_learn():
 # Pages.
 
 PAGE = (
-    "<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></li><li><a>News</a></li></ul></nav><div class='cookie-notice'>We use cookies</div>"
-    "<article><header><h1>Head &amp; line</h1></header>{}<form>Sign up</form><div class=ad>Buy</div><div id='comments'><p>First!</p></div></article><aside>More</aside><script>var t='</p>';</script><footer>&copy; 2</footer>"
+    "<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><div class='page-header'>Banner</div><nav><ul><li><a href=x>Home</a></li><li><a>News</a></li></ul></nav><div class='cookie-notice'>We use cookies</div>"
+    "<article><div class='article-header'><h1>Head &amp; line</h1></div>{}<form>Sign up</form><div class=ad>Buy</div><div id='comments'><p>First!</p></div></article><aside>More</aside><script>var t='</p>';</script><footer>&copy; 2</footer>"
 )
 
 
