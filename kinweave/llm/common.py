@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Hadoop's configuration resolves it: what other readers than Spark need."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; Spark's cleaner may drop the files when nothing refers to them."""
     shared_dir(df.sparkSession)

@@ -264,7 +264,5 @@ def read(spark: SparkSession, folder: str, files: list[dict]) -> DataFrame:
 
 def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` to files in the shared folder and back."""
-    folder = f"{common.shared_dir(spark).rstrip('/')}/kinweave-rans-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = (f"file://{folder}" if folder.startswith("/") else folder.replace("file:/", "file:///", 1))
+    folder = f"{common.qualified(spark, common.shared_dir(spark)).rstrip('/')}/kinweave-rans-{uuid.uuid4().hex}"
     return read(spark, folder, write(common.table(spark, sf_dir, "documents"), folder))
