@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
@@ -72,6 +73,27 @@ def _cut_texts(window: int, kmer: int):
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for shuffles; null stays null."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        for part in common.byte_slices(b, "t"):
+            z = [None if t is None else press(t.encode()) for t in part.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "t"), pa.array(z, pa.binary())], [*(c for c in part.schema.names if c != "t"), "z"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of batches with their texts, from column t or packed in z."""
+    open_up = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        packed = "z" in b.schema.names
+        for part in common.byte_slices(b, "z" if packed else "t", common.CHUNK_BYTES // 3 if packed else common.CHUNK_BYTES):
+            if packed:
+                yield part, pa.array([None if z is None else open_up(z).decode() for z in part.column("z").to_pylist()], pa.large_string())
+            else:
+                yield part, part.column("t")
+
+
 def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lists of packed (pos << 32 | n): owner, pos and n."""
     if isinstance(column, pa.ChunkedArray):
@@ -86,20 +108,19 @@ def _read_windows(window: int):
     """Windows at the given coordinates of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in common.byte_slices(b, "t"):
-                words = Words(*utf8(part.column("t")))
-                hashes = words.hashes()
-                owner, pos, n = _spans(part.column("spans"))
-                owner, pos = np.repeat(owner, n), np.repeat(pos, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = words.first[owner] + pos
-                w, w2 = Grams(hashes)(at, at + window, 4), Grams(hashes, 0xC2B2AE3D27D4EB4F)(at, at + window, 5)
-                for s in range(0, len(at), 1 << 17):
-                    e = s + (1 << 17)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("id").take(pa.array(owner[s:e])), part.column("tid").take(pa.array(owner[s:e])), pa.array(pos[s:e] << 32 | 1), pa.array(w[s:e].view(np.int64)), pa.array(w2[s:e].view(np.int64))],
-                        ["id", "tid", "span", "w", "w2"],
-                    )
+        for part, texts in _unpack(batches):
+            words = Words(*utf8(texts))
+            hashes = words.hashes()
+            owner, pos, n = _spans(part.column("spans"))
+            owner, pos = np.repeat(owner, n), np.repeat(pos, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = words.first[owner] + pos
+            w, w2 = Grams(hashes)(at, at + window, 4), Grams(hashes, 0xC2B2AE3D27D4EB4F)(at, at + window, 5)
+            for s in range(0, len(at), 1 << 17):
+                e = s + (1 << 17)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(pa.array(owner[s:e])), part.column("tid").take(pa.array(owner[s:e])), pa.array(pos[s:e] << 32 | 1), pa.array(w[s:e].view(np.int64)), pa.array(w2[s:e].view(np.int64))],
+                    ["id", "tid", "span", "w", "w2"],
+                )
 
     return run
 
@@ -115,25 +136,24 @@ def covered(words: Words, owner: np.ndarray, pos: np.ndarray, n: np.ndarray, win
 
 def _finish(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in common.byte_slices(b, "t"):
-                data, offsets = utf8(part.column("t"))
-                words = Words(data, offsets)
-                gone = covered(words, *_spans(part.column("spans")), window)
-                removed = np.concatenate([[0], np.cumsum(gone)])
-                removed = removed[words.first[1:]] - removed[words.first[:-1]]
-                raw, texts = data.tobytes(), []
-                for i, (a, z) in enumerate(zip(words.first[:-1], words.first[1:])):
-                    if removed[i] or not keep_text:
-                        if removed[i]:
-                            stay = a + np.flatnonzero(~gone[a:z])
-                            texts.append(b" ".join([raw[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist())]))
-                        else:
-                            texts.append(b" ".join(raw[offsets[i] : offsets[i + 1]].split()))
+        for part, column in _unpack(batches):
+            data, offsets = utf8(column)
+            words = Words(data, offsets)
+            gone = covered(words, *_spans(part.column("spans")), window)
+            removed = np.concatenate([[0], np.cumsum(gone)])
+            removed = removed[words.first[1:]] - removed[words.first[:-1]]
+            raw, texts = data.tobytes(), []
+            for i, (a, z) in enumerate(zip(words.first[:-1], words.first[1:])):
+                if removed[i] or not keep_text:
+                    if removed[i]:
+                        stay = a + np.flatnonzero(~gone[a:z])
+                        texts.append(b" ".join([raw[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist())]))
                     else:
-                        texts.append(raw[offsets[i] : offsets[i + 1]])
-                what = pa.array(texts, pa.binary()).cast(pa.string()) if keep_text else pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), what], ["row", "n_words", "n_removed", "kept"])
+                        texts.append(b" ".join(raw[offsets[i] : offsets[i + 1]].split()))
+                else:
+                    texts.append(raw[offsets[i] : offsets[i + 1]])
+            what = pa.array(texts, pa.binary()).cast(pa.string()) if keep_text else pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), what], ["row", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -146,6 +166,8 @@ def windows_to_go(df: DataFrame, id_col: str, text_col: str, window: int = WINDO
     spark = df.sparkSession
     src = _keyed(df, id_col, text_col).where("id is not null and t is not null")
 
+    packed = src.mapInArrow(_pack, "id long, tid long, z binary")
+
     def shared_pieces() -> DataFrame:
         every = src.mapInArrow(_cut_texts(window, kmer), "id long, tid long, span long, h long, c long, c2 long")
         spread = every.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select(_apart("h"))
@@ -157,7 +179,7 @@ def windows_to_go(df: DataFrame, id_col: str, text_col: str, window: int = WINDO
 
     def read(seen: DataFrame) -> DataFrame:
         early = seen.where("not late").groupBy("id", "tid").agg(F.collect_list("span").alias("spans"))
-        return src.join(early, ["id", "tid"]).mapInArrow(_read_windows(window), "id long, tid long, span long, w long, w2 long")
+        return packed.join(early, ["id", "tid"]).select("id", "tid", "z", "spans").mapInArrow(_read_windows(window), "id long, tid long, span long, w long, w2 long")
 
     def repeated(seen: DataFrame) -> DataFrame:
         least = read(seen).groupBy("w", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
@@ -198,11 +220,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     through in `row`, whatever their names; an empty table gives no rows.
     """
     go = windows_to_go(df, id_col, text_col, window, kmer)
-    kept = df.columns if keep_text else [id_col]
-    rows = _keyed(df, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    joined = rows.join(go, ["id", "tid"], "left")
+    if keep_text:
+        rows = _keyed(df, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).drop("t")
+        joined = rows.join(go, ["id", "tid"], "left").select("row", F.col("row")[text_col].alias("t"), "spans")
+    else:
+        rows = _keyed(df, id_col, text_col).mapInArrow(_pack, "id long, tid long, z binary")
+        joined = rows.join(go, ["id", "tid"], "left").select(F.struct(F.col("id").alias(id_col)).alias("row"), "z", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.select("row", "t", "spans").mapInArrow(_finish(window, keep_text), f"row {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(_finish(window, keep_text), f"row {kind}, n_words long, n_removed long, kept string")
 
 
 def op8_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
