@@ -1,14 +1,15 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of each host.
 
 A page is a stream of tags and texts. Runs that repeat at once become repeated groups; a host's pages align one by
-one with the host's wrapper, and whatever only one side has becomes an optional group. Texts are slots: the wrapper
-sums, for each place (the containers around it), how much text and how much link text its slots hold and whether it
-ever varies. Places under the host's article are its main text, but not those of menus, adverts and the like; hosts
-without an article keep their place of most plain text.
+one with the host's wrapper, and whatever only one side has becomes an optional group. Texts are slots: each page is
+then matched against its host's expression, and what its slots hold is summed over all pages by slot and place (the
+containers around it), in an aggregate without a limit. Slots in the host's article are its main text, but not those
+of menus, adverts and the like, whether their text varies or not; hosts without an article keep their place of most
+plain text, without slots that hold the same text on every page.
 
 Each task first folds its own pages host by host and only wrappers are moved, so a host of any size stays spread; they
 merge by host and salt, then by host, as wrappers align with each other as pages do. A wrapper has at most MOST_ITEMS
-items and places; a page that it does not cover is read by the same rules on its own.
+items; a page that it does not fit is read by its own tags and its host's place of most text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
@@ -206,19 +208,16 @@ def expression(items: list) -> str:
 
 
 class Wrapper:
-    """items, and per place: characters, link characters, texts, first text's start, whether it ever varies, chrome, main."""
+    """items: the expression that the pages added so far align into."""
 
-    def __init__(self, items: list | None = None, places: dict | None = None, pages: int = 0):
-        self.items, self.places, self.pages, self.known = items, places or {}, pages, set()
+    def __init__(self, items: list | None = None):
+        self.items, self.known = items, set()
 
     def add(self, page: Page) -> None:
         mark = hash(tuple(page.items))
         if mark not in self.known:
             self.known.add(mark)
             self._take(collapse(page.items))
-        self.pages += 1
-        for place, chrome, main, links, text in page.blocks:
-            self._place(place, [len(text), links, 1, text[:60], False, chrome, main])
 
     def _take(self, items: list) -> None:
         if self.items is None:
@@ -228,41 +227,15 @@ class Wrapper:
             if size(new) <= MOST_ITEMS:
                 self.items = new
 
-    def _place(self, place: str, s: list) -> None:
-        p = self.places.get(place)
-        if p is None:
-            if len(self.places) < MOST_ITEMS:
-                self.places[place] = s
-        else:
-            p[4] = p[4] or s[4] or p[3] != s[3]
-            p[3] = min(p[3], s[3])
-            for i in range(3):
-                p[i] += s[i]
-
     def merge(self, other: Wrapper) -> None:
         self._take(other.items or [])
-        self.pages += other.pages
-        for place, s in other.places.items():
-            self._place(place, list(s))
 
     def dump(self) -> str:
-        return json.dumps([self.items, self.places, self.pages], sort_keys=True)
+        return json.dumps(self.items)
 
     @classmethod
     def load(cls, s: str) -> Wrapper:
-        return cls(*json.loads(s))
-
-    def main_places(self) -> tuple[bool, list[str]]:
-        """(whether the host's pages mark their article, places that hold main text)."""
-        plain = {k: p for k, p in self.places.items() if not p[5]}
-        marked = [k for k, p in plain.items() if p[6]]
-        if marked:
-            return True, sorted(marked)
-        dense = {k: p for k, p in plain.items() if p[1] * 2 < p[0]}
-        if not dense:
-            return False, []
-        best = max(sorted(dense), key=lambda k: dense[k][0])
-        return False, sorted(k for k in dense if k == best or k.startswith(best + ">"))
+        return cls(json.loads(s))
 
 
 def infer(pages: DataFrame, html_col: str, host_col: str) -> DataFrame:
@@ -295,14 +268,165 @@ def infer(pages: DataFrame, html_col: str, host_col: str) -> DataFrame:
     return parts.groupBy("host").applyInArrow(merge, "host string, wrapper string")
 
 
-def extract(source: str | None, marked: bool, places: frozenset[str]) -> str:
-    """Main text of one page, given what its host's wrapper says."""
-    page = Page(source or "")
-    own = any(main and not chrome for _, chrome, main, _, _ in page.blocks)
-    if marked or own:
-        texts = [t for _, chrome, main, _, t in page.blocks if main and not chrome]
+class Matcher:
+    """An expression as an automaton whose states are its tags and slots, numbered from the left."""
+
+    def __init__(self, items: list):
+        self.names: list[str] = []
+        self.follow: list[dict[str, list[int]]] = []
+        self.empty, first, last = self._build(items)
+        self.first, self.last = self._by_name(first), set(last)
+
+    def _by_name(self, states: list[int]) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for p in states:
+            out.setdefault(self.names[p], []).append(p)
+        return out
+
+    def _link(self, last: list[int], first: list[int]) -> None:
+        by_name = self._by_name(first)
+        for p in last:
+            for name, states in by_name.items():
+                held = self.follow[p].setdefault(name, [])
+                held += [q for q in states if q not in held]
+
+    def _build(self, items: list) -> tuple[bool, list[int], list[int]]:
+        """(whether nothing fits, first states, last states)."""
+        empty, first, last = True, [], []
+        for x in items:
+            if isinstance(x, list):
+                e, f, z = self._build(x[1])
+                if x[0] == "+":
+                    self._link(z, f)
+                e = e or x[0] == "?"
+            else:
+                self.names.append(x)
+                self.follow.append({})
+                e, f, z = False, [len(self.names) - 1], [len(self.names) - 1]
+            self._link(last, f)
+            first = first + f if empty else first
+            last = last + z if e else z
+            empty = empty and e
+        return empty, first, last
+
+    def slots(self, items: list[str]) -> list[int] | None:
+        """The slot of each text of a page, None if the page does not fit."""
+        if not items:
+            return [] if self.empty else None
+        steps: list[dict[int, int] | tuple[int, int]] = []
+        live = {q: -1 for q in self.first.get(items[0], ())}
+        for name in items[1:]:
+            if not live:
+                return None
+            steps.append(live if len(live) > 1 else next(iter(live.items())))
+            step: dict[int, int] = {}
+            for p in live:
+                for q in self.follow[p].get(name, ()):
+                    step.setdefault(q, p)
+            live = step
+        p = next((q for q in live if q in self.last), None)
+        if p is None:
+            return None
+        out, before = [], live[p]
+        for i in range(len(items) - 1, -1, -1):
+            if items[i] == "T":
+                out.append(p)
+            p = before
+            if i > 1:
+                before = steps[i - 1][p] if isinstance(steps[i - 1], dict) else steps[i - 1][1]
+        return out[::-1]
+
+
+class Reader:
+    """Pages with the slot of each block: -1 on pages that their host's expression does not fit."""
+
+    def __init__(self):
+        self.matchers: dict[str, Matcher] = {}
+
+    def read(self, source: str | None, wrapper: str) -> tuple[Page, list[int]]:
+        m = self.matchers.get(wrapper)
+        if m is None:
+            if len(self.matchers) >= 500:
+                self.matchers.clear()
+            m = self.matchers[wrapper] = Matcher(json.loads(wrapper) or [])
+        page = Page(source or "")
+        slots = m.slots(page.items)
+        return page, [-1] * len(page.blocks) if slots is None else slots
+
+
+_STATS = "host string, slot int, place string, chars long, links long, main boolean, pages long, low long, high long, page_low long, page_high long"
+
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per host, slot and place over blocks outside chrome, as many rows as there are; several of a key add up.
+
+    low and high are the least and greatest hash of what a page has there, page_low and page_high those of the pages'
+    plain texts as a whole.
+    """
+    reader, held = Reader(), {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            columns = zip(*((*k, *v) for k, v in held.items()))
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in _STATS.split(", ")])
+            held.clear()
+
+    def mark(text: str) -> int:
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+    for b in batches:
+        for host, source, wrapper in zip(*(b.column(c).to_pylist() for c in ("host", "source", "wrapper"))):
+            page, slots = reader.read(source, wrapper)
+            here: dict[tuple[int, str], list] = {}
+            for slot, (place, chrome, main, links, text) in zip(slots, page.blocks):
+                if not chrome:
+                    h = here.setdefault((slot, place), [0, 0, False, []])
+                    h[0] += len(text)
+                    h[1] += links
+                    h[2] = h[2] or main
+                    h[3].append(text)
+            whole = mark("\n".join(t for _, chrome, _, links, t in page.blocks if not chrome and links * 2 < len(t)))
+            for (slot, place), (chars, links, main, texts) in here.items():
+                own = mark("\n".join(texts))
+                s = held.get((host, slot, place))
+                if s is None:
+                    held[host, slot, place] = [chars, links, main, 1, own, own, whole, whole]
+                else:
+                    s[:] = [s[0] + chars, s[1] + links, s[2] or main, s[3] + 1, min(s[4], own), max(s[5], own), min(s[6], whole), max(s[7], whole)]
+            if len(held) > 20_000:
+                yield from flush()
+    yield from flush()
+
+
+def decide(stats: DataFrame) -> DataFrame:
+    """(host, marked, best, main, fixed) from tallies, over all places of a host.
+
+    marked: the pages mark their article; main: slots in it; fixed: slots that hold the same text on three or more
+    pages which are not all the same; best: the place of most text that is neither links nor fixed.
+    """
+    total = [F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("main").alias("main"), F.sum("pages").alias("pages")]
+    ends = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("page_low").alias("page_low"), F.max("page_high").alias("page_high")]
+    rows = common.cut(stats.groupBy("host", "slot", "place").agg(*total, *ends))
+    fixed = (F.col("pages") > 2) & (F.col("low") == F.col("high")) & (F.col("page_low") != F.col("page_high"))
+    rows = rows.withColumn("fixed", (F.col("slot") >= 0) & fixed)
+    per_place = rows.where("not fixed").groupBy("host", "place").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")).where("links * 2 < chars")
+    best = per_place.groupBy("host").agg(F.min(F.struct(-F.col("chars"), "place"))["place"].alias("best"))
+    per_slot = rows.groupBy("host", "slot").agg(F.max("main").alias("main"), F.min("fixed").alias("fixed"))
+    slots = per_slot.groupBy("host").agg(
+        F.max("main").alias("marked"), F.collect_list(F.when(F.col("main") & (F.col("slot") >= 0), F.col("slot"))).alias("main"), F.collect_list(F.when(F.col("fixed"), F.col("slot"))).alias("fixed")
+    )
+    return slots.join(best, "host", "left").select("host", "marked", "best", "main", "fixed")
+
+
+def extract(page: Page, slots: list[int], marked: bool, best: str | None, main: frozenset[int], fixed: frozenset[int]) -> str:
+    """Main text of one page, given the slots of its blocks and what its host's pages say about them."""
+    own = any(m and not chrome for _, chrome, m, _, _ in page.blocks)
+    if marked:
+        texts = [t for slot, (_, chrome, m, _, t) in zip(slots, page.blocks) if not chrome and (slot in main if slot >= 0 else m)]
     else:
-        texts = [t for place, chrome, _, links, t in page.blocks if not chrome and place in places and links * 2 < len(t)]
+        inside = (best or "") + ">"
+        texts = [t for slot, (place, chrome, _, links, t) in zip(slots, page.blocks) if not chrome and (place + ">").startswith(inside) and slot not in fixed and links * 2 < len(t)] if best is not None else []
     if not texts and not own:  # another layout than its host's: its plain text outside all chrome
         texts = [t for _, chrome, _, links, t in page.blocks if not chrome and links * 2 < len(t)]
     return "\n".join(texts)
@@ -318,20 +442,26 @@ def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     host, _ = host_path(F.col(f"`{url_col}`"))
     pages = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), host.alias("host"), F.col(f"`{html_col}`").alias("source"))
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [Wrapper.load(w).main_places() for w in b.column("wrapper").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.list_(pa.string()))], ["host", "marked", "places"])
+    def with_rules(rows: DataFrame, rules: DataFrame, volume: int) -> DataFrame:
+        # Pages need not move while the rules of all hosts are small; beyond that Spark joins by host and splits hot ones.
+        return rows.join(F.broadcast(rules) if volume <= SMALL_RULES else rules, "host")
 
-    rules = common.cut(infer(pages, "source", "host").mapInArrow(decide, "host string, marked boolean, places array<string>"))
-    volume = rules.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("places", " ")) + 64)).first()[0] or 0
-    # Pages need not move while the rules of all hosts are small; beyond that Spark joins by host and splits hot ones.
-    joined = pages.join(F.broadcast(rules) if volume <= SMALL_RULES else rules, "host").select("row", "source", "marked", "places")
+    wrappers = common.cut(infer(pages, "source", "host"))
+    volume = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper") + 64)).first()[0] or 0
+    stats = with_rules(pages.select("host", "source"), wrappers, volume).mapInArrow(tally, _STATS)
+    rules = common.cut(wrappers.join(decide(stats), "host", "left"))
+    volume += rules.agg(F.sum(F.coalesce(F.octet_length("best"), F.lit(0)) + 4 * (F.coalesce(F.size("main"), F.lit(0)) + F.coalesce(F.size("fixed"), F.lit(0))))).first()[0] or 0
+    ruled = ("source", "wrapper", "marked", "best", "main", "fixed")
+    joined = with_rules(pages, rules, volume).select("row", *ruled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
         for b in batches:
             for part in common.byte_slices(b, "source"):
-                texts = [extract(s, m, frozenset(p or ())) for s, m, p in zip(*(part.column(c).to_pylist() for c in ("source", "marked", "places")))]
+                texts = []
+                for source, wrapper, marked, best, main, fixed in zip(*(part.column(c).to_pylist() for c in ruled)):
+                    page, slots = reader.read(source, wrapper)
+                    texts.append(extract(page, slots, bool(marked), best, frozenset(main or ()), frozenset(fixed or ())))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "n_chars"])
 
     kind = joined.schema["row"].dataType.simpleString()

@@ -133,6 +133,27 @@ def test_wrapper_expression():
     assert wrapper.Wrapper.load(w.dump()).dump() == w.dump()
 
 
+def test_texts_come_from_the_slots_of_the_expression(spark):
+    page = "<div class=top><a href=/>home</a></div><div class=x><p>{}</p><h3>Always the same words stand here</h3>{}</div>"
+    rows = [(i, f"http://s.org/{i}", page.format(f"Text number {i} of the site", f"<ul><li>some</li><li>more {i}</li></ul>" if i % 2 else "")) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_texts(df).collect()}
+    assert got == {i: f"Text number {i} of the site" + (f"\nsome\nmore {i}" if i % 2 else "") for i in range(6)}
+
+
+def test_pages_fit_the_expression_they_gave():
+    shapes = ["<ul>" + "<li>x</li>" * n + "</ul>" + "<p>y</p>" * (n > 2) + "<h2>t</h2><p>a</p><p>b</p>" * (n % 3) for n in (3, 1, 5, 2)]
+    pages = [wrapper.Page(f"<body>{s}</body>") for s in shapes]
+    w = wrapper.Wrapper()
+    for p in pages:
+        w.add(p)
+    m = wrapper.Matcher(w.items)
+    for p in pages:
+        slots = m.slots(p.items)
+        assert len(slots) == len(p.blocks) and all(m.names[s] == "T" for s in slots)
+    assert len(set(m.slots(pages[2].items)[:5])) == 1 and m.slots(["table"]) is None and m.slots(["T", "T"]) is None
+
+
 def test_pages_of_the_tables(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas().set_index("page_id")
     texts = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id").text
