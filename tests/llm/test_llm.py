@@ -154,6 +154,13 @@ def test_pages_fit_the_expression_they_gave():
     assert len(set(m.slots(pages[2].items)[:5])) == 1 and m.slots(["table"]) is None and m.slots(["T", "T"]) is None
 
 
+def test_no_place_is_dropped_on_a_host_of_many(spark):
+    small = "".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26)}>w</div>" for i in range(320))
+    rows = [(0, "http://m.org/0", small), (1, "http://m.org/1", "<div class=kaa>tiny</div><section class=body><p>" + "Long main words. " * 300 + "</p></section>")]
+    got = {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == ("Long main words. " * 300).strip()
+
+
 def test_pages_of_the_tables(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas().set_index("page_id")
     texts = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id").text
