@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,13 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset: tests) a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, spark.checkpoint.dir. Unset: a local one, if all run on this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", path) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -47,12 +46,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that nothing refers to; after a cut their disk is free for the next step."""
-    gc.collect()
-    time.sleep(1.5)  # Python's handles on JVM objects go once a second
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+class Tables:
+    """Tables of one job, written to a folder of its own in the shared folder.
+
+    A table cuts its lineage, and the shuffles behind it go once it stands; it goes itself by drop(), or with the rest
+    of the folder when the session ends.
+    """
+
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{qualified(spark, shared_dir(spark)).rstrip('/')}/kinweave-{uuid.uuid4().hex}"
+        self._fs().deleteOnExit(self._path(self.folder))
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _fs(self):
+        return self._path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        before = self.spark.conf.get(self._CLEAN, "false")
+        self.spark.conf.set(self._CLEAN, "true")
+        try:
+            df.write.parquet(f"{self.folder}/{name}")
+        finally:
+            self.spark.conf.set(self._CLEAN, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._fs().delete(self._path(f"{self.folder}/{name}"), True)
 
 
 def least_hashed(df: DataFrame, key: str, most: int) -> DataFrame:

@@ -1,21 +1,28 @@
 """Substring dedup on a compacted de Bruijn graph of word k-mers.
 
-An edge of the graph is a window of 50 words. Consecutive windows that share a minimizer (the least hash among their
-16-word k-mers, leftmost first) form one path piece, so equal windows always lie in pieces of equal minimizer.
-
-1. Every document is cut into pieces (hash of the minimizer, hash of the piece's whole word sequence, coordinates);
-   minimizers of one document alone drop out, and equal pieces compact to one with its smallest document.
-2. A piece's later documents lose all of its windows. The first document's occurrence may still hold windows that
-   begin in a smaller document inside another piece of that minimizer: its windows are read again at their source
-   coordinates and compared one by one.
-3. The windows to go come back to each document, which loses the words they cover.
-
-Piece and window identity is 128 bits of two independent hashes.
+An edge of the graph is a window of 50 words, from the node of its first 49 words to that of its last 49. A window that
+begins in several documents is a repeated edge; what goes is found on paths of them:
+
+1. Cutting: consecutive windows that share a minimizer (the least hash among their 16-word k-mers, leftmost first) are
+   one piece, so equal windows always lie in pieces of equal minimizer. Pieces are named by a digest of their words;
+   those whose minimizer is of one document alone hold no repeated edge and drop out.
+2. Branches: where a minimizer has one piece only, the piece is a path. Where it has several, their windows become edges,
+   the in- and out-edges of every node are counted, and pieces are cut into segments at nodes that branch. The end
+   of a piece counts as an edge of its own, so windows of one segment occur together or not at all.
+3. Compaction: joins tell each segment whether all its occurrences have the same neighbour before and behind; segments
+   that only ever follow each other become one path. The end of a document, or of what step 1 kept, is a neighbour too,
+   so every occurrence of a path is whole.
+4. Verification: the smallest document of a path is its source. Its words at the path's coordinates are read again, and
+   every later occurrence compares its own; then all later occurrences go.
+
+Digests are 128 bits of keyed BLAKE2b over the words' bytes (branches compare 64 of them, among the edges of one node
+or one segment only), under a key drawn for each call, so that no text can be made to clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +48,27 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return best[: max(n, 0)]
 
 
-def pieces(words: Words, window: int, kmer: int) -> dict[str, np.ndarray]:
-    """Path pieces of many texts: text, pos (first word of the first window, in its text), n (windows), h, c, c2."""
+class Spaced:
+    """The words' bytes in a row, one space after each, and digests of runs of words."""
+
+    def __init__(self, words: Words, key: bytes):
+        size = words.ends - words.starts
+        out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        at = np.repeat(np.arange(len(size)), size)
+        at += np.arange(len(at))
+        out[at] = words.data[words.full]
+        self.raw, self.key = out.tobytes(), key
+        self.edge = np.concatenate([[0], np.cumsum(size + 1)])
+
+    def digests(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128 bits (two longs) of each run of words first to end - 1."""
+        raw, key, digest = self.raw, self.key, hashlib.blake2b
+        got = b"".join([digest(raw[s:e], digest_size=16, key=key).digest() for s, e in zip(self.edge[first].tolist(), (self.edge[end] - 1).tolist())])
+        return np.frombuffer(got, "<i8").reshape(-1, 2)
+
+
+def pieces(words: Words, window: int, kmer: int, key: bytes) -> dict[str, np.ndarray]:
+    """Pieces of many texts: text, pos (first word of the first window, in its text), n (windows), h, c, c2."""
     hashes = words.hashes()
     gram = Grams(hashes)
     at, _ = windows(words, window)
@@ -55,16 +81,15 @@ def pieces(words: Words, window: int, kmer: int) -> dict[str, np.ndarray]:
     new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))
     n = np.diff(np.concatenate([new, [len(at)]]))
     first = at[new]
-    end = first + n - 1 + window
-    second = Grams(hashes, 0xC2B2AE3D27D4EB4F)
-    return {"text": text[new], "pos": first - words.first[text[new]], "n": n, "h": k_hash[least[new]].view(np.int64), "c": gram(first, end, 2).view(np.int64), "c2": second(first, end, 3).view(np.int64)}
+    name = Spaced(words, key).digests(first, first + n - 1 + window)
+    return {"text": text[new], "pos": first - words.first[text[new]], "n": n, "h": k_hash[least[new]].view(np.int64), "c": name[:, 0], "c2": name[:, 1]}
 
 
-def _cut_texts(window: int, kmer: int):
+def _cut_texts(window: int, kmer: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in common.byte_slices(b, "t"):
-                p = pieces(Words(*utf8(part.column("t"))), window, kmer)
+                p = pieces(Words(*utf8(part.column("t"))), window, kmer, key)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(p["text"])), part.column("tid").take(pa.array(p["text"])), pa.array(p["pos"].astype(np.int64) << 32 | p["n"]), pa.array(p["h"]), pa.array(p["c"]), pa.array(p["c2"])],
                     ["id", "tid", "span", "h", "c", "c2"],
@@ -104,23 +129,54 @@ def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), lengths), packed >> 32, packed & 0xFFFFFFFF
 
 
-def _read_windows(window: int):
-    """Windows at the given coordinates of each text."""
+def _flat(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """Lists of structs of longs: the owner of each struct and its fields; a null list is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), lengths), *(flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names)
+
+
+def _read_nodes(window: int, key: bytes):
+    """Every node of the pieces at the given coordinates: j (its place), x (its hash), the edges into it and out of it.
+
+    edge_in and edge_out are 64 bits of the windows' digests, 0 at the piece's ends; out2 completes edge_out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _unpack(batches):
             words = Words(*utf8(texts))
-            hashes = words.hashes()
-            owner, pos, n = _spans(part.column("spans"))
-            owner, pos = np.repeat(owner, n), np.repeat(pos, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = words.first[owner] + pos
-            w, w2 = Grams(hashes)(at, at + window, 4), Grams(hashes, 0xC2B2AE3D27D4EB4F)(at, at + window, 5)
-            for s in range(0, len(at), 1 << 17):
-                e = s + (1 << 17)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(owner[s:e])), part.column("tid").take(pa.array(owner[s:e])), pa.array(pos[s:e] << 32 | 1), pa.array(w[s:e].view(np.int64)), pa.array(w2[s:e].view(np.int64))],
-                    ["id", "tid", "span", "w", "w2"],
-                )
+            gram, spaced = Grams(words.hashes()), Spaced(words, key)
+            owner, span, c, c2 = _flat(part.column("spans"), ("span", "c", "c2"))
+            start, n = words.first[owner] + (span >> 32), span & 0xFFFFFFFF
+            step = 1 << 13
+            for at in range(0, len(owner), step):
+                first, m, which = start[at : at + step], n[at : at + step], np.arange(at, min(at + step, len(owner)))
+                piece = np.repeat(np.arange(len(m)), m + 1)
+                j = np.arange(len(piece)) - np.repeat(np.cumsum(m + 1) - m - 1, m + 1)
+                node = first[piece] + j
+                real = j < m[piece]
+                edge = np.zeros((len(node), 2), np.int64)
+                edge[real] = spaced.digests(node[real], node[real] + window)
+                into = np.concatenate([[0], edge[:-1, 0]])
+                into[j == 0] = 0
+                columns = [c[which][piece], c2[which][piece], j, gram(node, node + window - 1, 4).view(np.int64), into, edge[:, 0], edge[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c", "c2", "j", "x", "edge_in", "edge_out", "out2"])
+
+    return run
+
+
+def _read_sources(window: int, key: bytes):
+    """Digests of the words of paths at the given coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _unpack(batches):
+            words = Words(*utf8(texts))
+            owner, pos, n, p, p2 = _flat(part.column("spans"), ("pos", "n", "p", "p2"))
+            first = words.first[owner] + pos
+            d = Spaced(words, key).digests(first, first + n - 1 + window)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p, p2, d[:, 0], d[:, 1])], ["p", "p2", "d", "d2"])
 
     return run
 
@@ -134,12 +190,18 @@ def covered(words: Words, owner: np.ndarray, pos: np.ndarray, n: np.ndarray, win
     return np.cumsum(depth)[:-1] > 0
 
 
-def _finish(window: int, keep_text: bool):
+def _finish(window: int, keep_text: bool, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, column in _unpack(batches):
             data, offsets = utf8(column)
             words = Words(data, offsets)
-            gone = covered(words, *_spans(part.column("spans")), window)
+            owner, pos, n, d, d2 = _flat(part.column("spans"), ("pos", "n", "d", "d2"))
+            if len(owner):
+                first = words.first[owner] + pos
+                own = Spaced(words, key).digests(first, first + n - 1 + window)
+                if (own[:, 0] != d).any() or (own[:, 1] != d2).any():
+                    raise RuntimeError("a repeated passage differs from its source's words")
+            gone = covered(words, owner, pos, n, window)
             removed = np.concatenate([[0], np.cumsum(gone)])
             removed = removed[words.first[1:]] - removed[words.first[:-1]]
             raw, texts = data.tobytes(), []
@@ -158,57 +220,103 @@ def _finish(window: int, keep_text: bool):
     return run
 
 
-def windows_to_go(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """(id, tid, spans): packed runs of windows (first word << 32 | windows) that also begin in a row of smaller id.
+def _apart(name: str, to: str) -> Column:
+    """The key under another value: a sum per key does not fix the join's exchange then, and Spark can split hot keys."""
+    return F.bitwise_not(name).alias(to)
 
-    tid is a hash of the text: rows that repeat an id with another text have coordinates of their own.
-    """
-    spark = df.sparkSession
-    src = _keyed(df, id_col, text_col).where("id is not null and t is not null")
 
-    packed = src.mapInArrow(_pack, "id long, tid long, z binary")
+def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    t = F.col(f"`{text_col}`")
+    return df.select(*more, F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("tid"), t.alias("t"))
 
-    def shared_pieces() -> DataFrame:
-        every = src.mapInArrow(_cut_texts(window, kmer), "id long, tid long, span long, h long, c long, c2 long")
-        spread = every.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select(_apart("h"))
-        return common.cut(every.join(spread, F.bitwise_not(every["h"]) == spread["h"]).select("id", "tid", "span", "c", "c2"))
-
-    def seen_pieces(shared: DataFrame) -> DataFrame:
-        first = shared.groupBy("c", "c2").agg(F.min("id").alias("low")).select(_apart("c"), F.col("c2").alias("d2"), "low")
-        return common.cut(shared.join(first, (F.bitwise_not(shared["c"]) == first["c"]) & (shared["c2"] == first["d2"])).select("id", "tid", "span", (F.col("id") > F.col("low")).alias("late")))
-
-    def read(seen: DataFrame) -> DataFrame:
-        early = seen.where("not late").groupBy("id", "tid").agg(F.collect_list("span").alias("spans"))
-        return packed.join(early, ["id", "tid"]).select("id", "tid", "z", "spans").mapInArrow(_read_windows(window), "id long, tid long, span long, w long, w2 long")
-
-    def repeated(seen: DataFrame) -> DataFrame:
-        least = read(seen).groupBy("w", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-        return common.cut(least.select(_apart("w"), F.col("w2").alias("v2"), "low"))
-
-    def spans(seen: DataFrame, least: DataFrame) -> DataFrame:
-        own = read(seen)
-        more = own.join(least, (F.bitwise_not(own["w"]) == least["w"]) & (own["w2"] == least["v2"])).where("id > low").select("id", "tid", "span")
-        return common.cut(seen.where("late").select("id", "tid", "span").union(more).groupBy("id", "tid").agg(F.collect_list("span").alias("spans")))
-
-    # Each cut frees the shuffles before it: texts move three times, but never lie on disk twice at once.
-    seen = seen_pieces(shared_pieces())
-    common.release(spark)
-    least = repeated(seen)
-    common.release(spark)
-    out = spans(seen, least)
-    del seen, least
-    common.release(spark)
-    return out
 
+def _chain(rows: DataFrame, *fields: str) -> DataFrame:
+    """(id, tid, chain): each text's rows in the order of their spans, repeated rows once."""
+    return rows.groupBy("id", "tid").agg(F.array_sort(F.collect_set(F.struct("span", *fields))).alias("chain"))
 
-def _apart(name: str) -> Column:
-    """The key under another value: a sum per key does not fix the join's exchange then, and Spark can split hot keys."""
-    return (F.bitwise_not(name)).alias(name)
 
+#: Whether element k of a chain begins where the one before ends.
+_ADJACENT = "coalesce(shiftright(e.span, 32) = shiftright(get(chain, k - 1).span, 32) + (get(chain, k - 1).span & 4294967295), false)"
+
+
+def shared_pieces(src: DataFrame, window: int, kmer: int, key: bytes) -> DataFrame:
+    """(id, tid, span, c, c2, several): pieces whose minimizer occurs under several ids; several: in several pieces."""
+    every = src.mapInArrow(_cut_texts(window, kmer, key), "id long, tid long, span long, h long, c long, c2 long")
+    ends = every.groupBy("h").agg(*[f(x).alias(f"{f.__name__}_{x}") for x in ("id", "c", "c2") for f in (F.min, F.max)])
+    spread = ends.where("min_id < max_id").select(_apart("h", "g"), F.expr("min_c <> max_c or min_c2 <> max_c2").alias("several"))
+    return every.join(spread, F.bitwise_not(every["h"]) == spread["g"]).select("id", "tid", "span", "c", "c2", "several")
+
+
+def nodes(shared: DataFrame, packed: DataFrame, window: int, key: bytes) -> DataFrame:
+    """The nodes of each distinct piece whose minimizer has several, read at the piece's first coordinates."""
+    one = shared.where("several").groupBy("c", "c2").agg(F.min(F.struct("id", "tid", "span")).alias("at"))
+    asked = one.select("at.id", "at.tid", F.struct("at.span", "c", "c2").alias("s")).groupBy("id", "tid").agg(F.collect_list("s").alias("spans"))
+    return packed.join(asked, ["id", "tid"]).select("z", "spans").mapInArrow(_read_nodes(window, key), "c long, c2 long, j long, x long, edge_in long, edge_out long, out2 long")
+
+
+def segments(shared: DataFrame, node: DataFrame) -> DataFrame:
+    """(id, tid, span, s, s2): occurrences of segments, each named by its first window (a whole piece: by its words)."""
+    degree = node.groupBy("x").agg(*[f(x).alias(f"{f.__name__}_{x}") for x in ("edge_in", "edge_out") for f in (F.min, F.max)])
+    branch = degree.where("min_edge_in <> max_edge_in or min_edge_out <> max_edge_out").select(_apart("x", "y"))
+    inner = node.where("edge_in <> 0 and edge_out <> 0")
+    cuts = inner.join(branch, F.bitwise_not(inner["x"]) == branch["y"], "left_semi").union(node.where("edge_in = 0"))
+    heads = cuts.groupBy("c", "c2").agg(F.array_sort(F.collect_list(F.struct("j", F.col("edge_out").alias("s"), F.col("out2").alias("s2")))).alias("heads"))
+    heads = heads.select(_apart("c", "b"), F.col("c2").alias("b2"), "heads")
+    cut = shared.where("several").join(heads, (F.bitwise_not(shared["c"]) == heads["b"]) & (shared["c2"] == heads["b2"]))
+    part = "transform(heads, (e, k) -> struct(shiftleft(shiftright(span, 32) + e.j, 32) + coalesce(get(heads, k + 1).j, span & 4294967295) - e.j as span, e.s as s, e.s2 as s2))"
+    cut = cut.select("id", "tid", F.explode(F.expr(part)).alias("e")).select("id", "tid", "e.*")
+    return shared.where("not several").select("id", "tid", "span", F.col("c").alias("s"), F.col("c2").alias("s2")).union(cut)
 
-def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    t = F.col(f"`{text_col}`")
-    return df.select(*more, F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("tid"), t.alias("t"))
+
+def neighbours(segment: DataFrame) -> DataFrame:
+    """segments with before and behind: 64 bits of the adjacent segments' names in that text, 0 where there is none."""
+    before = f"transform(chain, (e, k) -> struct(e.span as span, e.s as s, e.s2 as s2, case when {_ADJACENT} then chain[k - 1].s else 0 end as before))"
+    behind = "transform(chain, (e, k) -> struct(e.span as span, e.s as s, e.s2 as s2, e.before as before, case when get(chain, k + 1).before <> 0 then chain[k + 1].s else 0 end as behind))"
+    chain = _chain(segment, "s", "s2").select("id", "tid", F.expr(before).alias("chain"))
+    return chain.select("id", "tid", F.explode(F.expr(behind)).alias("e")).select("id", "tid", "e.*")
+
+
+def paths(linked: DataFrame) -> DataFrame:
+    """(id, tid, pos, n, p, p2): occurrences of paths under several ids, named by their first segment."""
+    ends = linked.groupBy("s", "s2").agg(*[f(x).alias(f"{f.__name__}_{x}") for x in ("id", "before", "behind") for f in (F.min, F.max)])
+    ends = ends.where("min_id < max_id").select(
+        _apart("s", "r"), F.col("s2").alias("r2"), F.expr("min_before = max_before and min_before <> 0").alias("one_in"), F.expr("min_behind = max_behind and min_behind <> 0").alias("one_out")
+    )
+    known = linked.join(ends, (F.bitwise_not(linked["s"]) == ends["r"]) & (linked["s2"] == ends["r2"]))
+    chain = _chain(known, "s", "s2", "one_in", "one_out")
+    inside = f"{_ADJACENT} and get(chain, k - 1).one_out and e.one_in"
+    marked = chain.select("id", "tid", F.expr(f"transform(chain, (e, k) -> struct(e.span as span, e.s as s, e.s2 as s2, not ({inside}) as head))").alias("chain"))
+    first = F.expr("filter(chain, (e, k) -> e.head)").alias("first")
+    last = F.expr("filter(chain, (e, k) -> coalesce(get(chain, k + 1).head, true))").alias("last")
+    each = "transform(first, (e, k) -> struct(shiftright(e.span, 32) as pos, shiftright(last[k].span, 32) + (last[k].span & 4294967295) - shiftright(e.span, 32) as n, e.s as p, e.s2 as p2))"
+    return marked.select("id", "tid", first, last).select("id", "tid", F.explode(F.expr(each)).alias("e")).select("id", "tid", "e.*")
+
+
+def spans_to_go(df: DataFrame, id_col: str, text_col: str, key: bytes, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """(id, tid, spans): places (pos, n windows) of paths that also begin in a row of smaller id, and the source's digest.
+
+    tid is a hash of the text: rows that repeat an id with another text have coordinates of their own.
+    """
+    src = _keyed(df, id_col, text_col).where("id is not null and t is not null")
+    packed = src.mapInArrow(_pack, "id long, tid long, z binary")
+    tables = common.Tables(df.sparkSession)
+    shared = tables.put("pieces", shared_pieces(src, window, kmer, key))
+    node = tables.put("nodes", nodes(shared, packed, window, key))
+    segment = tables.put("segments", segments(shared, node))
+    tables.drop("pieces", "nodes")
+    linked = tables.put("linked", neighbours(segment))
+    tables.drop("segments")
+    path = tables.put("paths", paths(linked))
+    tables.drop("linked")
+    source = path.groupBy("p", "p2").agg(F.min(F.struct("id", "tid", "pos", "n")).alias("at")).select("p", "p2", "at.*")
+    source = tables.put("sources", source)
+    asked = source.groupBy("id", "tid").agg(F.collect_list(F.struct("pos", "n", "p", "p2")).alias("spans"))
+    digest = tables.put("digests", packed.join(asked, ["id", "tid"]).select("z", "spans").mapInArrow(_read_sources(window, key), "p long, p2 long, d long, d2 long"))
+    low = source.select("p", "p2", F.col("id").alias("low")).join(digest.distinct(), ["p", "p2"]).select(_apart("p", "q"), F.col("p2").alias("q2"), "low", "d", "d2")
+    late = path.join(low, (F.bitwise_not(path["p"]) == low["q"]) & (path["p2"] == low["q2"])).where("id > low")
+    out = tables.put("spans", late.groupBy("id", "tid").agg(F.collect_list(F.struct("pos", "n", "d", "d2")).alias("spans")))
+    tables.drop("paths", "sources", "digests")
+    return out
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, kmer: int = KMER, keep_text: bool = False) -> DataFrame:
@@ -219,7 +327,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     everything and are no source. Texts that lose nothing come back unchanged with keep_text. Extra columns pass
     through in `row`, whatever their names; an empty table gives no rows.
     """
-    go = windows_to_go(df, id_col, text_col, window, kmer)
+    key = secrets.token_bytes(16)
+    go = spans_to_go(df, id_col, text_col, key, window, kmer)
     if keep_text:
         rows = _keyed(df, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).drop("t")
         joined = rows.join(go, ["id", "tid"], "left").select("row", F.col("row")[text_col].alias("t"), "spans")
@@ -227,10 +336,31 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         rows = _keyed(df, id_col, text_col).mapInArrow(_pack, "id long, tid long, z binary")
         joined = rows.join(go, ["id", "tid"], "left").select(F.struct(F.col("id").alias(id_col)).alias("row"), "z", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_finish(window, keep_text), f"row {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(_finish(window, keep_text, key), f"row {kind}, n_words long, n_removed long, kept string")
 
 
 def op8_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 50-word windows out of all `documents`."""
     out = dedup(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
     return out.select("row.doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), e AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d
+), s AS (
+  SELECT doc_id, word, i, CASE WHEN i + 49 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) END AS win FROM e
+), f AS (
+  SELECT win, min(doc_id) AS low FROM s WHERE win IS NOT NULL GROUP BY win
+), g AS (
+  SELECT s.doc_id, word, i, CASE WHEN f.low < s.doc_id THEN 1 ELSE 0 END AS late FROM s LEFT JOIN f USING (win)
+), c AS (
+  SELECT doc_id, word, i, max(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM g
+), k AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, COALESCE(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept FROM c GROUP BY doc_id
+)
+SELECT doc_id, CAST(COALESCE(n_words, 0) AS BIGINT) AS n_words, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)
+"""

@@ -160,7 +160,6 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     """
     spark = df.sparkSession
     tokens = common.cut(_tokenised(df, id_col, text_col, path, end).sortWithinPartitions("bucket", "id", "ids"))
-    common.release(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_crf_quality": crf.op9_crf_quality,
     "op10_weighted_mix": mixing.op10_weighted_mix,
 }
-ORACLES: dict[str, str] = {"op10_weighted_mix": mixing.OP10_SQL}
+ORACLES: dict[str, str] = {"op8_debruijn_dedup": debruijn.OP8_SQL, "op10_weighted_mix": mixing.OP10_SQL}

@@ -68,11 +68,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 class Words:
-    """Words of many texts: starts and ends (bytes), first (the first word of each text, with the end as last)."""
+    """Words of many texts: starts and ends (bytes), first (the first word of each text, with the end as last), full (their bytes)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
-        full = ~_SPACE[data]
+        self.full = full = ~_SPACE[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[0] = edge[-1] = True
         edge[offsets] = True

@@ -400,7 +400,8 @@ def brute_repeats(rows, n=50):
     return sorted(out)
 
 
-def test_substring_dedup(spark, sf, docs, odd):
+def test_substring_dedup(spark, sf, docs, odd, oracle):
+    same_rows(debruijn.op8_debruijn_dedup(spark, sf), oracle.sql(debruijn.OP8_SQL))
     got = debruijn.op8_debruijn_dedup(spark, sf).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(list(zip(docs.doc_id.tolist(), docs.text)))
     rng = np.random.default_rng(4)
@@ -417,6 +418,41 @@ def test_substring_dedup(spark, sf, docs, odd):
     assert debruijn.dedup(odd.where("false")).count() == 0
 
 
+#: Two words of 1,024 letters whose polynomial hashes modulo 2**64 are equal for any base.
+THUE = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(1_024)) for flip in (0, 1)]
+
+
+def test_equal_hashes_are_no_equal_words(spark):
+    from kinweave.llm.textkernel import hash_spans, utf8
+
+    data, at = utf8(pa.array(THUE))
+    assert len(set(hash_spans(data, at[:-1], at[1:]).tolist())) == 1
+    rows = [(i, " ".join([*(f"w{k}" for k in range(30)), t, *(f"v{k}" for k in range(30))])) for i, t in enumerate(THUE)]
+    got = debruijn.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.n_removed for r in got} == {0}
+
+
+def test_paths_are_maximal_and_verified(spark):
+    w = [f"t{i}" for i in range(400)]
+    texts = [w[:300], ["x", *w[:300]], [*w[100:200], "y", *w[200:300]], w[350:]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    key = b"0" * 16
+    src = debruijn._keyed(df, "doc_id", "text")
+    shared = debruijn.shared_pieces(src, 50, 16, key)
+    node = debruijn.nodes(shared, src.mapInArrow(debruijn._pack, "id long, tid long, z binary"), 50, key)
+    got = debruijn.paths(debruijn.neighbours(debruijn.segments(shared, node))).collect()
+    # Windows 0-99, 100-150, 151-199 and 200-250 differ in the texts they occur in.
+    want = {0: [(0, 100), (100, 51), (151, 49), (200, 51)], 1: [(1, 100), (101, 51), (152, 49), (201, 51)], 2: [(0, 51), (101, 51)]}
+    for i, spans in want.items():
+        assert sorted((r.pos, r.n) for r in got if r.id == i) == spans
+    assert len({(r.p, r.p2) for r in got}) == 4
+    finish = debruijn._finish(50, False, key)
+    row = pa.array([{"id": 0}])
+    spans = pa.array([[{"pos": 0, "n": 1, "d": 1, "d2": 2}]])
+    with pytest.raises(RuntimeError):
+        list(finish([pa.RecordBatch.from_arrays([row, pa.array([" ".join(w)]), spans], ["row", "t", "spans"])]))
+
+
 # Quality.
 
 
