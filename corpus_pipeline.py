@@ -6,8 +6,6 @@ docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm import common, crf, debruijn, mixing, packing, simhash_anchor
@@ -54,11 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; an empty table gives no rows.
+
+    Rows with null ids or texts, repeated rows and odd columns go through as each stage's operator states.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_dir(spark)}/kinweave-pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        common.release(spark)
+    tables = common.Tables(spark)
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        docs = tables.put(name, stage(spark, docs, sf_dir))
+        if at:
+            tables.drop(STAGES[at - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
