@@ -1,16 +1,17 @@
 """Best-fit packing by patterns: few-document length patterns fitted to the histogram of lengths.
 
-Lengths fall into bins (of one length each by default, so that patterns leave no gap); a pattern is a few bins whose
-upper ends fill a sequence. Non-negative least squares fits how
-often each pattern repeats, counts round down, and what is left - mostly short pieces, whose misfit weighs less - goes
-by decreasing length into the fullest sequence that takes it, new ones if none does. All this happens on the
-histogram, so the plan has a size of its own however many pieces there are; each piece then finds its place by its
-rank among the pieces of its length.
+A pattern is two to four lengths that fill a sequence exactly. For each length that occurs, those patterns are
+enumerated in which it is the longest and whose other parts are the most plentiful; they share their shorter lengths, so
+non-negative least squares has to share these out when it fits how often each pattern repeats. Repeats are rounded,
+down first, then up by decreasing fraction while the pieces last. What is left goes by decreasing length into the
+fullest sequence that takes it, new ones if none does. Should the plan need more sequences than best fit alone, the
+repeats are cut back step by step until it does not. All this happens on the histogram, so the plan has a size of its own
+however many pieces there are; each piece then finds its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
-import functools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -21,27 +22,43 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import common
 from .tokens import Encoder
 
-LENGTH, BINS, PARTS, END = 4_096, 4_096, 2, 1
-#: Ranks within one length and salt are taken together.
-SALT_ROWS = 200_000
-
-
-@functools.lru_cache(maxsize=4)
-def patterns(total: int, parts: int) -> tuple[tuple[int, ...], ...]:
-    """Descending whole numbers, at most `parts` of them, that sum to total."""
-
-    def run(left: int, most: int, n: int) -> Iterator[tuple[int, ...]]:
-        if left == 0:
-            yield ()
-        elif n:
-            for x in range(min(left, most), (left + n - 1) // n - 1, -1):
-                for rest in run(left - x, x, n - 1):
-                    yield (x, *rest)
-
-    return tuple(run(total, total, parts))
-
-
-def nnls(columns: list[list[tuple[int, float]]], target: np.ndarray, weight: np.ndarray, sweeps: int = 50) -> np.ndarray:
+LENGTH, END = 4_096, 1
+#: Patterns of three and of four parts that a longest length takes each.
+PER_LENGTH = 3
+#: Rows of one length that are ranked together, at least; beyond its square a length has the root of its rows.
+SALT_ROWS = 500
+
+
+def patterns(counts: dict[int, int], most: int, per: int = PER_LENGTH) -> list[tuple[int, ...]]:
+    """Descending lengths that occur and sum to `most`, two to four of them, by decreasing longest length."""
+    have = np.zeros(most + 1, np.int64)
+    for n, c in counts.items():
+        if n < most:
+            have[n] = c
+    # The most plentiful pair of each sum: its longer part and how often it is there.
+    longer, pairs = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
+    for total in range(2, most):
+        x = np.arange((total + 1) // 2, total)
+        there = np.minimum(have[x], have[total - x])
+        if total % 2 == 0:
+            there[0] = have[total // 2] // 2
+        best = int(there.argmax())
+        longer[total], pairs[total] = x[best], there[best]
+    out: dict[tuple[int, ...], None] = {}
+    for a in np.flatnonzero(have)[::-1].tolist():
+        rest = most - a
+        if rest <= a and have[rest]:
+            out[a, rest] = None
+        x = np.arange(1, min(a, rest - 1) + 1)
+        for there, tail in ((np.minimum(have[x], have[rest - x]), lambda y: (rest - y,)), (np.minimum(have[x], pairs[rest - x]), lambda y: (int(longer[rest - y]), rest - y - int(longer[rest - y])))):
+            for i in np.argsort(-there, kind="stable")[:per].tolist():
+                p = tuple(sorted((a, int(x[i]), *tail(int(x[i]))), reverse=True))
+                if there[i] > 0 and p[0] == a:
+                    out[p] = None
+    return list(out)
+
+
+def nnls(columns: list[list[tuple[int, float]]], target: np.ndarray, weight: np.ndarray, sweeps: int = 30) -> np.ndarray:
     """x >= 0 that makes the weighted squares of target - sum of x_j * column_j least, by coordinate descent.
 
     Columns are sparse: (row, value) pairs. Exact after one sweep where columns share no row.
@@ -64,59 +81,55 @@ def nnls(columns: list[list[tuple[int, float]]], target: np.ndarray, weight: np.
 
 
 class Plan:
-    """Kinds of sequences: each a list of (length, times) slots and how many sequences are alike."""
+    """Kinds of sequences: each a list of (length, times) slots and how many sequences are alike; fitted: those of patterns."""
+
+    def __init__(self, counts: dict[int, int], most: int = LENGTH, per: int = PER_LENGTH):
+        counts = {n: c for n, c in counts.items() if c}
+        kinds = patterns(counts, most, per)
+        repeat = self._fit(counts, kinds, most)
+        self._build(counts, most, kinds, repeat * 0)
+        alone = self.sequences()
+        for share in (1.0, 0.95, 0.9, 0.8, 0.65, 0.5, 0.25):
+            self._build(counts, most, kinds, repeat * share)
+            if self.sequences() <= alone:
+                return
+        self._build(counts, most, kinds, repeat * 0)
+
+    @staticmethod
+    def _fit(counts: dict[int, int], kinds: list[tuple[int, ...]], most: int) -> np.ndarray:
+        """How often each pattern repeats; fractions."""
+        have = np.zeros(most + 1)
+        for n, c in counts.items():
+            have[n] = c
+        # Short pieces fill what is left over anyway: their misfit weighs little.
+        weight = np.clip(np.arange(most + 1) / most * 4, 0.05, 1.0)
+        return nnls([[(n, float(p.count(n))) for n in sorted(set(p))] for p in kinds], have, weight)
 
-    def __init__(self, counts: dict[int, int], most: int = LENGTH, bins: int = BINS, parts: int = PARTS):
-        self.most, self.kinds = most, []
-        self.left = {n: c for n, c in counts.items() if c}
+    def _build(self, counts: dict[int, int], most: int, kinds: list[tuple[int, ...]], repeat: np.ndarray) -> None:
+        self.most, self.kinds, self.left, self.fitted = most, [], dict(counts), 0
         if most in self.left:
             self.kinds.append([[(most, 1)], self.left.pop(most)])
-        bins = min(bins, most)
-        self._fit(bins, parts)
+        left, times = self.left, [0] * len(kinds)
+        whole = np.floor(repeat + 1e-6)
+        part = repeat - whole
+
+        def take(j: int, t: int) -> None:
+            p = kinds[j]
+            t = min(t, *(left[n] // p.count(n) for n in p))
+            for n in p if t else ():
+                left[n] -= t
+            times[j] += t
+
+        for j in np.flatnonzero(whole).tolist():
+            take(j, int(whole[j]))
+        for j in np.argsort(-part, kind="stable").tolist():
+            if part[j] < 0.05:
+                break
+            take(j, 1)
+        self.kinds += [[[(n, 1) for n in kinds[j]], t] for j, t in enumerate(times) if t]
+        self.fitted = sum(times)
         self._rest()
 
-    def _fit(self, bins: int, parts: int) -> None:
-        size = self.most // bins
-        usable = size * bins
-        of = {n: min(bins, -(-n // size)) for n in self.left if n <= usable}
-        have = np.zeros(bins + 1)
-        for n, b in of.items():
-            have[b] += self.left[n]
-        kinds = patterns(bins, parts)
-        columns = [[(b - 1, float(p.count(b))) for b in sorted(set(p))] for p in kinds]
-        # Short pieces fill what is left over anyway: their misfit weighs little.
-        weight = np.clip(np.arange(1, bins + 1) / bins * 4, 0.05, 1.0)
-        repeat = np.floor(nnls(columns, have[1:], weight) + 1e-6).astype(np.int64)
-        stock: dict[int, list[list[int]]] = {}
-        for n in sorted(of, reverse=True):
-            stock.setdefault(of[n], []).append([n, self.left[n]])
-        for j in np.argsort(-repeat, kind="stable"):
-            p, times = kinds[j], int(repeat[j])
-            for b in set(p):
-                times = min(times, sum(c for _, c in stock.get(b, ())) // p.count(b))
-            if times <= 0:
-                continue
-            runs = []
-            for b in p:
-                run, need = [], times
-                while need:
-                    n, c = stock[b][-1]
-                    t = min(c, need)
-                    run.append([n, t])
-                    need -= t
-                    stock[b][-1][1] -= t
-                    if not stock[b][-1][1]:
-                        stock[b].pop()
-                runs.append(run)
-            while runs[0]:  # the common refinement of the runs: sequences alike
-                t = min(r[0][1] for r in runs)
-                self.kinds.append([[(r[0][0], 1) for r in runs], t])
-                for r in runs:
-                    self.left[r[0][0]] -= t
-                    r[0][1] -= t
-                    if not r[0][1]:
-                        r.pop(0)
-
     def _rest(self) -> None:
         free: dict[int, list[int]] = {}
         mask = 0
@@ -188,7 +201,7 @@ class Plan:
 def place(pieces: DataFrame, order: list[str], length_col: str = "length", most: int = LENGTH) -> DataFrame:
     """pieces with sequence_id and offset. order: columns that tell rows of one length apart (alike rows are alike).
 
-    Lengths are 1 to `most`. The plan comes from one count per length. Ranks within a length run over salts, each
+    Lengths are 1 to `most`. The plan comes from one count per length. Ranks within a length run over its salts, each
     ranked by itself behind the salts before it, so that a length with a third of all rows is no single task's.
     """
     pieces = common.cut(pieces)
@@ -198,8 +211,10 @@ def place(pieces: DataFrame, order: list[str], length_col: str = "length", most:
         raise ValueError(f"lengths must be 1 to {most}")
     plan = Plan(counts, most).table()
     key = (plan["length"] << 44) + plan["rank"]
-    salts = max(1, -(-max(counts.values(), default=0) // SALT_ROWS))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    # Salts per length, one row each; rows go to them by their place in what was cut, so that alike rows part too.
+    salts = pieces.sparkSession.createDataFrame([(n, -(-c // max(SALT_ROWS, math.isqrt(c)))) for n, c in counts.items()], "_length long, _salts long")
+    salted = pieces.withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(salts), F.col(length_col) == F.col("_length"))
+    salted = salted.select(*names, F.pmod(F.xxhash64("_at"), F.col("_salts")).alias("_salt"))
     sizes = salted.groupBy(length_col, "_salt").count()
     before = Window.partitionBy(length_col).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(length_col, "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))

@@ -57,7 +57,7 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
+    """A 64-bit hash of each span of bytes, a polynomial: texts can be made to clash, so compare what must be equal."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     power, inverse = _tables(_BASE, len(data) + 1)
@@ -67,6 +67,19 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix((run[ends] - run[starts]) * inverse[starts])
 
 
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of bytes equals the other one."""
+    size = ends - starts
+    same = size == other_ends - others
+    size = np.where(same, size, 0)
+    first = np.cumsum(size) - size
+    at = np.repeat(starts - first, size) + np.arange(int(size.sum()))
+    unequal = data[at] != data[at + np.repeat(others - starts, size)]
+    if unequal.any():
+        same[np.searchsorted(first, np.flatnonzero(unequal), "right") - 1] = False
+    return same
+
+
 class Words:
     """Words of many texts: starts and ends (bytes), first (the first word of each text, with the end as last), full (their bytes)."""
 

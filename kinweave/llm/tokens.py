@@ -2,8 +2,8 @@
 
 The tokenizer of word_bpe_49k.json drops white space, lower-cases, and treats a run of letters and a run of marks as
 tokens apart. So words of Latin letters and ASCII marks split into such runs over all bytes at once, equal runs are
-found by their hashes, and only runs that the memo lacks go to the library, many at a time, held apart by a token
-that none of them can yield. Any other word - digits, apostrophes, other letters, control or special tokens - goes to
+found by their hashes and then compared byte by byte, and only runs that the memo lacks go to the library, many at a
+time, held apart by a token that none of them can yield. The memo's keys are the runs themselves. Any other word - digits, apostrophes, other letters, control or special tokens - goes to
 the library whole. A text's ids are those of its runs in a row.
 """
 
@@ -15,11 +15,11 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .textkernel import hash_spans, lower, utf8
+from .textkernel import hash_spans, lower, same_spans, utf8
 
 END = 2
-#: Runs that the memo holds; it starts anew beyond that.
-MEMO = 600_000
+#: Runs and bytes of runs that the memo holds; it starts anew beyond that.
+MEMO, MEMO_BYTES = 400_000, 16 << 20
 _GAP, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[[0x20, 0x0A]] = _GAP
@@ -55,12 +55,13 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[int, int] = {}
+        self.memo: dict[bytes, int] = {}
+        self.held = 0
         self.pool, self.filled = np.zeros(1 << 16, np.uint16), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _store(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        at, n = len(self.memo), len(hashes)
+    def _store(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = len(self.memo), len(runs)
         while at + n > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.filled + len(ids) > len(self.pool):
@@ -69,34 +70,46 @@ class Encoder:
         self.size[at : at + n] = sizes
         self.start[at : at + n] = self.filled + np.cumsum(sizes) - sizes
         self.filled += len(ids)
-        self.memo.update(zip(hashes, range(at, at + n)))
+        keys = [r.encode() for r in runs]
+        self.held += sum(map(len, keys))
+        self.memo.update(zip(keys, range(at, at + n)))
 
-    def _one_by_one(self, hashes: list[int], runs: list[str]) -> None:
+    def _one_by_one(self, runs: list[str]) -> None:
         ids = [self.tok.encode(r, add_special_tokens=False).ids for r in runs]
-        self._store(hashes, np.array([i for x in ids for i in x], np.uint16), np.array([len(x) for x in ids], np.int64))
+        self._store(runs, np.array([i for x in ids for i in x], np.uint16), np.array([len(x) for x in ids], np.int64))
 
-    def _many(self, hashes: list[int], runs: list[str], tok) -> None:
+    def _many(self, runs: list[str], tok) -> None:
         """Runs without bars or white space."""
         for at in range(0, len(runs), 10_000):
-            part, key = runs[at : at + 10_000], hashes[at : at + 10_000]
+            part = runs[at : at + 10_000]
             (got,) = tok.encode_batch_fast([" | ".join(part)], add_special_tokens=False)
             ids = np.array(got.ids, np.uint16)
             bar = ids == self.apart
             if bar.sum() != len(part) - 1:
-                self._one_by_one(key, part)
+                self._one_by_one(part)
                 continue
             edge = np.concatenate([[-1], np.flatnonzero(bar), [len(ids)]])
-            self._store(key, ids[~bar], np.diff(edge) - 1)
+            self._store(part, ids[~bar], np.diff(edge) - 1)
 
-    def _learn(self, hashes: list[int], runs: list[str]) -> None:
-        sets: dict[str, tuple[list[int], list[str]]] = {"ascii": ([], []), "latin": ([], []), "odd": ([], [])}
-        for h, r in zip(hashes, runs):
+    def _learn(self, runs: list[str]) -> None:
+        """Distinct runs that the memo lacks."""
+        sets: dict[str, list[str]] = {"ascii": [], "latin": [], "odd": []}
+        for r in runs:
             kind = "odd" if "|" in r or r.split() != [r] else "ascii" if r.isascii() and r.isprintable() and (r.islower() and r.isalpha() or not any(map(str.isalnum, r)) and "'" not in r) else "latin"
-            sets[kind][0].append(h)
-            sets[kind][1].append(r)
-        self._many(*sets["ascii"], self.plain)
-        self._many(*sets["latin"], self.tok)
-        self._one_by_one(*sets["odd"])
+            sets[kind].append(r)
+        self._many(sets["ascii"], self.plain)
+        self._many(sets["latin"], self.tok)
+        self._one_by_one(sets["odd"])
+
+    def _index(self, runs: list[bytes]) -> np.ndarray:
+        """Places of runs in the memo, which learns those it lacks."""
+        get = self.memo.get
+        at = np.array([get(r, -1) for r in runs], np.int64)
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn([r.decode() for r in dict.fromkeys(runs[i] for i in new)])
+            at[new] = [get(runs[i]) for i in new]
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): all ids in a row (uint16), and where each text's begin, with the end as last; null: no ids."""
@@ -128,19 +141,14 @@ class Encoder:
         starts, ends = starts[real], ends[real]
         low = np.where(whole, data, lower(data))
         first = np.searchsorted(starts, offsets)
-        unique, where, back = np.unique(hash_spans(low, starts, ends), return_index=True, return_inverse=True)
-        if len(self.memo) > MEMO:
+        _, where, back = np.unique(hash_spans(low, starts, ends), return_index=True, return_inverse=True)
+        if len(self.memo) > MEMO or self.held > MEMO_BYTES:
             self._clear()
-        keys = unique.tolist()
-        get = self.memo.get
-        known = np.array([get(k, -1) for k in keys], np.int64)
-        new = np.flatnonzero(known < 0)
-        if len(new):
-            raw = low.tobytes()
-            at = where[new]
-            self._learn([keys[i] for i in new.tolist()], [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
-            known[new] = [get(keys[i]) for i in new.tolist()]
-        index = known[back]
+        raw = low.tobytes()
+        index = self._index([raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())])[back]
+        clash = ~same_spans(low, starts, ends, starts[where][back], ends[where][back])
+        if clash.any():
+            index[clash] = self._index([raw[s:e] for s, e in zip(starts[clash].tolist(), ends[clash].tolist())])
         n = self.size[index]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(self.start[index] - total[:-1], n) + np.arange(total[-1])]

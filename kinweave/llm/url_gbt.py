@@ -1,13 +1,14 @@
 """URL filter: host rules first, else gradient-boosted trees on lexical features.
 
-The trees are trained from URLs labelled by the rule list: blocked, or not blocked. Features are the URL's length, depth,
-digit ratio, entropy, parameters, marks and how often the labelled URLs with the same host suffix are blocked.
+The trees are trained from URLs that a rule decides: 1 blocked, 0 allowed; a fifth of them, by hash, is held out and says
+how well the trees do. Features are the URL's length, depth, digit ratio, entropy, parameters and marks, and how often
+training URLs of the same host suffix and of the same first path segment are blocked. For the training URLs
+themselves these rates come from the other folds, so no URL sees its own label.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
+from .textkernel import utf8
 
 #: (host, path start, verdict) of the contract.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: URLs that training takes at most; trees, their depth, bins of a feature.
-SAMPLE, TREES, DEPTH, BINS, RATE = 20_000, 40, 4, 32, 0.2
+#: URLs that training takes at most; trees, their depth, bins of a feature; folds, of which one is held out.
+SAMPLE, TREES, DEPTH, BINS, RATE, FOLDS = 20_000, 40, 4, 32, 0.2, 5
+#: Counts that a group's rate of blocked URLs is drawn to the mean with.
+PRIOR = 10
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -40,44 +44,85 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (none if rule is None else rule), (none if verdict is None else verdict)
 
 
-def _entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+#: What the rates are kept for, as Spark expressions: the host's last label, its last two, the path's first segment.
+GROUPS = ("xxhash64('last', substring_index(host, '.', -1))", "xxhash64('two', substring_index(host, '.', -2))", "xxhash64('first', regexp_extract(path, '^/([^/]*)', 1))")
+LEXICAL = 17
 
 
-def suffixes(host: str) -> tuple[str, str]:
-    parts = host.split(".")
-    return parts[-1], ".".join(parts[-2:])
+def _class(chars: str) -> np.ndarray:
+    t = np.zeros(256, np.float64)
+    t[[ord(c) for c in chars]] = 1
+    return t
 
 
-def features(url: str, host: str, path: str, stats: dict[str, float]) -> list[float]:
-    tail = url.partition("?")[2].partition("#")[0]
-    last, two = suffixes(host)
-    prior = stats.get("", 0.5)
-    n = max(len(url), 1)
-    digits = sum(c.isdigit() for c in url)
-    vowels = sum(c in "aeiou" for c in host)
-    return [
-        len(url), len(host), len(path), path.count("/"), host.count("."), host.count("-"), digits, digits / n, sum(c.isdigit() for c in host), _entropy(url), _entropy(host),
-        tail.count("&") + bool(tail), len(tail), "#" in url, url.startswith("https"), vowels / max(len(host), 1), max(map(len, host.split("."))),
-        stats.get(last, prior), stats.get(two, prior),
-    ]
+_SLASH, _DOT, _DASH, _DIGIT, _VOWEL, _AND = map(_class, ("/", ".", "-", "0123456789", "aeiou", "&"))
 
 
-def matrix(rows: list[list[float]]) -> np.ndarray:
-    return np.array(rows, np.float64) if rows else np.zeros((0, len(features("", "", "", {}))))
+def _counts(data: np.ndarray, offsets: np.ndarray, of: np.ndarray) -> np.ndarray:
+    run = np.concatenate([[0.0], np.cumsum(of[data])])
+    return run[offsets[1:]] - run[offsets[:-1]]
+
+
+def _entropy(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits a byte of each text."""
+    out = np.zeros(len(offsets) - 1)
+    for at in range(0, len(out), 2_048):
+        o = offsets[at : at + 2_049]
+        rows = np.repeat(np.arange(len(o) - 1), np.diff(o))
+        count = np.bincount(rows * 256 + data[o[0] : o[-1]], minlength=256 * (len(o) - 1)).reshape(-1, 256)
+        share = count / np.maximum(count.sum(1, keepdims=True), 1)
+        out[at : at + 2_048] = -(share * np.log2(np.where(count > 0, share, 1))).sum(1)
+    return out
+
+
+def _longest_label(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if len(offsets) < 2:
+        return np.zeros(0)
+    cut = np.union1d(np.flatnonzero(data == 46), offsets)
+    size = np.diff(np.append(cut, len(data)))
+    size = size - (np.append(data, 0)[cut] == 46)
+    return np.where(np.diff(offsets) > 0, np.maximum.reduceat(size, np.searchsorted(cut, offsets[:-1])), 0)
+
+
+def lexical(url: pa.Array, host: pa.Array, path: pa.Array, tail: pa.Array) -> np.ndarray:
+    """LEXICAL features of URLs, given their hosts, paths and parameters."""
+    (u, uo), (h, ho), (p, po), (t, to) = map(utf8, (url, host, path, tail))
+    size, hosts, tails = np.diff(uo), np.diff(ho), np.diff(to)
+    digits = _counts(u, uo, _DIGIT)
+    secure = pa.compute.fill_null(pa.compute.starts_with(url, "https"), False).to_numpy(zero_copy_only=False)
+    anchor = pa.compute.fill_null(pa.compute.match_substring(url, "#"), False).to_numpy(zero_copy_only=False)
+    return np.stack([
+        size, hosts, np.diff(po), _counts(p, po, _SLASH), _counts(h, ho, _DOT), _counts(h, ho, _DASH), digits, digits / np.maximum(size, 1), _counts(h, ho, _DIGIT), _entropy(u, uo), _entropy(h, ho),
+        _counts(t, to, _AND) + (tails > 0), tails, anchor, secure, _counts(h, ho, _VOWEL) / np.maximum(hosts, 1), _longest_label(h, ho),
+    ], axis=1).astype(np.float64)
+
+
+class Rates:
+    """Smoothed rates of blocked URLs by group; groups that training lacks have the mean."""
+
+    def __init__(self, groups: np.ndarray, y: np.ndarray):
+        self.mean = (y.sum() + 1) / (len(y) + 2)
+        self.keys, back = np.unique(groups, return_inverse=True)
+        hit, n = (np.bincount(back.ravel(), weights=np.repeat(w, groups.shape[1]), minlength=len(self.keys)) for w in (y, np.ones(len(y))))
+        self.values = (hit + PRIOR * self.mean) / (n + PRIOR)
+
+    def __call__(self, groups: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(groups.shape, self.mean)
+        at = np.minimum(np.searchsorted(self.keys, groups), len(self.keys) - 1)
+        return np.where(self.keys[at] == groups, self.values[at], self.mean)
 
 
 class Trees:
     """Boosted regression trees for the logistic loss, on binned features."""
 
-    def __init__(self, base: float, edges: list[np.ndarray], trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]], stats: dict[str, float]):
-        self.base, self.edges, self.trees, self.stats = base, edges, trees, stats
+    def __init__(self, base: float, edges: list[np.ndarray], trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.base, self.edges, self.trees = base, edges, trees
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, stats: dict[str, float], trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE, l2: float = 1.0) -> Trees:
+    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE, l2: float = 1.0) -> Trees:
         if not len(y):
-            return cls(0.0, [], [], stats)
+            return cls(0.0, [], [])
         share = (y.sum() + 1) / (len(y) + 2)
         base = math.log(share / (1 - share))
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
@@ -111,7 +156,7 @@ class Trees:
             value = np.bincount(leaf, weights=g, minlength=1 << depth) / (np.bincount(leaf, weights=h, minlength=1 << depth) + l2) * rate
             score = score + value[leaf]
             out.append((feature, split, value))
-        return cls(base, edges, out, stats)
+        return cls(base, edges, out)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         s = np.full(len(x), self.base)
@@ -126,27 +171,74 @@ class Trees:
         return 1 / (1 + np.exp(-s))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
-    """From (url, host, path, blocked 0/1): at most `sample` distinct URLs, those of least hash."""
-    rows = labelled.where("url is not null").groupBy("url", "host", "path").agg(F.max("blocked").alias("blocked"))
-    rows = common.least_hashed(rows, "url", sample).collect()  # `sample` rows at most
-    y = np.array([r["blocked"] for r in rows], np.float64)
-    total, hits = Counter(), Counter()
-    for r in rows:
-        for s in suffixes(r["host"]):
-            total[s] += 1
-            hits[s] += r["blocked"]
-    prior = (y.sum() + 1) / (len(y) + 2)
-    stats = {s: (hits[s] + 10 * prior) / (n + 10) for s, n in total.items()} | {"": float(prior)}
-    x = matrix([features(r["url"], r["host"], r["path"], stats) for r in rows])
-    return Trees.fit(x, y, stats)
+class Filter:
+    """Trees and the rates they read; auc: on the held-out URLs, None if these are all of one kind."""
+
+    def __init__(self, trees: Trees, rates: Rates, auc: float | None):
+        self.trees, self.rates, self.auc = trees, rates, auc
+
+    def score(self, x: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        return self.trees.score(np.concatenate([x, self.rates(groups)], axis=1))
+
+
+def area(score: np.ndarray, y: np.ndarray) -> float | None:
+    """Area under the curve: the chance that a 1 scores above a 0, ties half."""
+    if not 0 < y.sum() < len(y):
+        return None
+    _, back, n = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[back]
+    ones = y.sum()
+    return float((rank[y == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones)))
+
+
+def _described(rows: DataFrame, more: str, names: tuple[str, ...]) -> DataFrame:
+    """rows (url, host, path and the columns `names` of schema `more`) as features: names, x (bytes of doubles), groups."""
+    tail = F.regexp_extract("url", r"(?s)\?([^#]*)", 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in common.byte_slices(b, "url"):
+                x = lexical(*(part.column(c) for c in ("url", "host", "path", "tail")))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([r.tobytes() for r in x], pa.binary()), *(part.column(f"g{i}") for i in range(len(GROUPS)))], [*names, "x", *(f"g{i}" for i in range(len(GROUPS)))])
+
+    src = rows.select(*names, *(c for c in ("url", "host", "path") if c not in names), tail.alias("tail"), *[F.expr(g).alias(f"g{i}") for i, g in enumerate(GROUPS)])
+    return src.mapInArrow(run, f"{more}, x binary, " + ", ".join(f"g{i} long" for i in range(len(GROUPS))))
+
+
+def _arrays(part: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Features and groups of described rows."""
+    x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float64).reshape(-1, LEXICAL)
+    return x, np.stack([part.column(f"g{i}").to_numpy() for i in range(len(GROUPS))], axis=1)
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE) -> Filter:
+    """From (url, host, path, blocked 0/1): at most `sample` distinct URLs, those of least hash; a fifth is held out.
+
+    Only features come to the driver, so that long URLs do not. No URLs: every score is one half.
+    """
+    rows = labelled.where("url is not null and blocked is not null").groupBy("url", "host", "path").agg(F.max("blocked").alias("blocked"))
+    rows = common.least_hashed(rows, "url", sample).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col("url")), F.lit(FOLDS)))
+    got = _described(rows, "blocked int, fold long", ("blocked", "fold")).toArrow().sort_by([("fold", "ascending"), ("g0", "ascending"), ("x", "ascending")]).combine_chunks()  # `sample` rows at most
+    x, groups = _arrays(got)
+    y, fold = got.column("blocked").to_numpy().astype(np.float64), got.column("fold").to_numpy()
+    own = fold != 0
+    rates = Rates(groups[own], y[own])
+    seen = rates(groups)
+    for f in range(1, FOLDS):
+        mine = fold == f
+        seen[mine] = Rates(groups[own & ~mine], y[own & ~mine])(groups[mine])
+    trees = Trees.fit(np.concatenate([x, seen], axis=1)[own], y[own])
+    model = Filter(trees, rates, None)
+    model.auc = area(model.score(x[~own], groups[~own]), y[~own])
+    return model
 
 
 def judge(df: DataFrame, url_col: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
     """df with host, path, rule, score (the trees' P(blocked)) and verdict; columns of these names give way.
 
     The longest fitting rule decides, else the score. A null URL and one without "://" have an empty host and path, fit no
-    rule and are scored like any other. Other columns pass through; an empty table gives no rows.
+    rule and are scored like any other. If no URL fits a rule, every score is one half. Repeated rows stay, very long URLs
+    are described like others, other columns pass through; an empty table gives no rows.
     """
     added = ("host", "path", "rule", "score", "verdict")
     keep = [c for c in df.columns if c.lower() not in added]
@@ -154,16 +246,16 @@ def judge(df: DataFrame, url_col: str = "url", rules=RULES, threshold: float = 0
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{url_col}`").alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", rule).withColumn("by_rule", verdict)
-    trees = train(rows.select("url", "host", "path", F.when(F.col("by_rule") == "block", 1).otherwise(0).alias("blocked")))
+    model = train(rows.select("url", "host", "path", F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0).alias("blocked")))
+    names = ("row", "host", "path", "rule", "by_rule")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(u or "", h, p, trees.stats) for u, h, p in zip(*(b.column(c).to_pylist() for c in ("url", "host", "path")))]
-            score = trees.score(matrix(x))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("host"), b.column("path"), b.column("rule"), b.column("by_rule"), pa.array(score)], ["row", "host", "path", "rule", "by_rule", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(model.score(*_arrays(b)))], [*names, "score"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"row {kind}, host string, path string, rule string, by_rule string, score double")
+    same = f"row {kind}, host string, path string, rule string, by_rule string"
+    out = _described(rows, same, names).mapInArrow(run, f"{same}, score double")
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict")
     return out.select(*[F.col("row")[c].alias(c) for c in keep], "host", "path", "rule", verdict, "score")
 

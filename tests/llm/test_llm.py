@@ -25,6 +25,8 @@ def docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
+#: Two words of 1,024 letters whose polynomial hashes modulo 2**64 are equal for any base.
+THUE = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(1_024)) for flip in (0, 1)]
 LONG = " ".join(f"w{i}" for i in range(30_000))
 PASSAGE = " ".join(f"p{i}" for i in range(70))
 ODD = [
@@ -71,6 +73,50 @@ def test_ann_on_odd_vectors(spark):
     assert ann_forest.search(df.where("false"), "vec_id", "embedding", lambda i: i % 50 == 0).count() == 0
 
 
+def test_ann_on_tiny_and_huge_components(spark):
+    rows = [(0, [1e-170, 2e-170]), (1, [2e200, 4e200]), (2, [1e200, 1e200]), (3, [1e-310, 0.0]), (4, [3.0, -1.0])]
+    got = ann_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", lambda i: i == 0).collect()
+    want = {1: 1.0, 2: 3 / 10**0.5, 3: 1 / 5**0.5, 4: 1 / 50**0.5}
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4]
+    assert all(abs(r.score - want[r.vec_id]) < 1e-12 for r in got)
+
+
+def test_ann_compares_with_fewer_rows_than_there_are(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.1")
+    pdf = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x = np.array(pdf.embedding.tolist(), np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann_forest.op1_ann_forest(spark, sf).toPandas()
+    hits = []
+    for i in np.flatnonzero(pdf.vec_id % 50 == 0):
+        s = u @ u[i]
+        s[i] = -2
+        top = {int(pdf.vec_id[j]) for j in np.argsort(-s, kind="stable")[:5]}
+        hits.append(len(top & set(got[got.query_id == pdf.vec_id[i]].vec_id)) / 5)
+    print("recall", np.mean(hits), "compared", got.compared.mean() / len(pdf))
+    assert np.mean(hits) >= 0.9 and got.compared.max() < 0.75 * len(pdf)
+
+
+def test_ann_on_copies_and_clusters(spark):
+    rng = np.random.default_rng(0)
+    centre = rng.normal(size=(40, 24))
+    x = np.repeat(centre, 75, axis=0) + 0.15 * rng.normal(size=(3_000, 24))
+    x[1_000:2_000] = x[1_000]  # a third are copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann_forest.search(df, "vec_id", "embedding", lambda i: i % 50 == 0, ascend=0.02).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for i in range(0, 3_000, 50):
+        s = np.round(u @ u[i], 12)
+        s[i] = -2
+        mine = got[got.query_id == i].sort_values("rank")
+        hits.append(np.isclose(mine.score, s[np.lexsort((np.arange(3_000), -s))[:5]], atol=1e-9).mean())
+        if 1_000 <= i < 2_000:
+            assert list(mine.vec_id) == [j for j in range(1_000, 1_006) if j != i][:5]
+    print("recall", np.mean(hits), "compared", got.compared.mean())
+    assert np.mean(hits) >= 0.9 and got.compared.mean() < 1_500  # of 2,001 distinct vectors
+
+
 # URLs.
 
 
@@ -99,9 +145,42 @@ def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2_000, 4))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
-    model = url_gbt.Trees.fit(x[:1_000], y[:1_000], {})
+    model = url_gbt.Trees.fit(x[:1_000], y[:1_000])
     assert ((model.score(x[1_000:]) > 0.5) == y[1_000:]).mean() > 0.95
-    assert len(url_gbt.Trees.fit(x[:0], y[:0], {}).score(x[:3])) == 3
+    assert len(url_gbt.Trees.fit(x[:0], y[:0]).score(x[:3])) == 3
+
+
+def test_url_features(spark):
+    urls = ["https://a-b.c9.net/x/yy/?p=1&q=2#t", "", "nothing", "http://é.org", "x" * 3_000 + "://h/1"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    host, path = url_gbt.host_path(F.col("url"))
+    got = url_gbt._described(df.select("url", host.alias("host"), path.alias("path")), "url string", ("url",)).toArrow()
+    x, _ = url_gbt._arrays(got)
+    row = dict(zip(got.column("url").to_pylist(), x))
+    r = row[urls[0]]
+    assert r[:9].tolist() == [34, 10, 6, 3, 2, 1, 3, 3 / 34, 1] and r[11:15].tolist() == [2, 7, 1, 1] and r[16] == 3
+    from collections import Counter
+
+    assert abs(r[9] + sum(c / 34 * np.log2(c / 34) for c in Counter(urls[0]).values())) < 1e-9
+    assert row[""].tolist() == [0] * url_gbt.LEXICAL and row[urls[4]][0] == 3_006 and row["nothing"][0] == 7
+
+
+def test_url_labels_come_from_rules_alone(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.1")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    host, path = url_gbt.host_path(F.col("url"))
+    rule, by_rule = url_gbt.rule_of(F.col("host"), F.col("path"))
+    rows = pages.select("url", host.alias("host"), path.alias("path")).withColumn("v", by_rule)
+    model = url_gbt.train(rows.select("url", "host", "path", F.when(F.col("v") == "block", 1).when(F.col("v") == "allow", 0).alias("blocked")))
+    got = url_gbt.op2_url_gbt(spark, sf).where("rule is null").toPandas()
+    print("held-out AUC", model.auc, "blocked of undecided", (got.verdict == "block").mean(), got.assign(k=got.host.str[-4:] + got.path.str[:3]).groupby("k").verdict.agg(lambda v: (v == "block").mean()))
+    assert model.auc > 0.95 and 0.02 < (got.verdict == "block").mean() < 0.98
+
+
+def test_url_area():
+    y = np.array([0, 0, 1, 1])
+    assert url_gbt.area(np.array([1.0, 2, 3, 4]), y) == 1.0 and url_gbt.area(np.array([1.0, 3, 2, 4]), y) == 0.75
+    assert url_gbt.area(np.ones(4), y) == 0.5 and url_gbt.area(np.ones(2), np.ones(2)) is None
 
 
 # Pages.
@@ -188,6 +267,9 @@ def test_encoder_equals_the_library(tok):
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
     assert [len(x) for x in tokens.Encoder().encode(pa.array([None, None], pa.string()))] == [0, 3]
+    for texts in (THUE, THUE[::-1], [" ".join(THUE), THUE[1]]):  # runs whose hashes are equal
+        ids, at = tokens.Encoder().encode(pa.array(texts))
+        assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def crc(ids):
@@ -231,6 +313,22 @@ def test_plans_place_every_piece(kind):
     assert placed == dict(zip(size.tolist(), count.tolist()))
 
 
+def test_patterns_fit_and_carry():
+    rng = np.random.default_rng(5)
+    tail = np.minimum(4096, rng.lognormal(6.2, 1.3, 60_000).astype(int) + 1)
+    size, count = np.unique(tail, return_counts=True)
+    counts = dict(zip(size.tolist(), count.tolist()))
+    kinds = packing.patterns(counts, 4096)
+    assert all(sum(p) == 4096 and 2 <= len(p) <= 4 and set(p) <= set(counts) for p in kinds) and {len(p) for p in kinds} == {2, 3, 4}
+    x = packing.Plan._fit(counts, kinds, 4096)
+    shared = [n for n in set(n for p in kinds for n in p) if sum(x[j] > 0 for j, p in enumerate(kinds) if n in p) > 1]
+    assert len(shared) > 100  # patterns that repeat compete for the same lengths
+    plan = packing.Plan(counts)
+    alone = packing.Plan(counts, per=0)
+    assert plan.sequences() <= alone.sequences() and plan.sequences() <= 1.002 * tail.sum() / 4096 + 1
+    assert plan.fitted > 0.5 * (plan.sequences() - counts.get(4096, 0)) and alone.fitted < plan.fitted
+
+
 def test_least_squares_are_not_negative():
     x = packing.nnls([[(0, 1.0)], [(0, 1.0), (1, 1.0)]], np.array([3.0, 5.0]), np.ones(2))
     assert (x >= 0).all() and abs(x[1] - 4.0) < 0.05 and x[0] < 0.05  # without the bound x[0] would be -2
@@ -418,10 +516,6 @@ def test_substring_dedup(spark, sf, docs, odd, oracle):
     assert debruijn.dedup(odd.where("false")).count() == 0
 
 
-#: Two words of 1,024 letters whose polynomial hashes modulo 2**64 are equal for any base.
-THUE = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(1_024)) for flip in (0, 1)]
-
-
 def test_equal_hashes_are_no_equal_words(spark):
     from kinweave.llm.textkernel import hash_spans, utf8
 
