@@ -127,7 +127,8 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The next row is the one of the next smaller id (rows of equal id in the order of a hash of their text; null ids
     come last), after the last the first; the edited text has its last third of code points replaced by the first as
     many of the next row. Null texts are empty. A table of one row is its own next row; an empty table gives no rows.
-    Texts move once: ids are dealt into ranges, and the row that follows each range's last goes there as well.
+    Texts move once: ids are dealt into ranges, a range to a task, and the row that follows each range's last goes there
+    as well.
     """
     spark = df.sparkSession
     lowest = -(1 << 63)
@@ -144,18 +145,17 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tops = {r["bucket"]: r["top"] for r in ids.mapInArrow(bucketed, "id long, bucket int").groupBy("bucket").agg(F.max("id").alias("top")).collect()}
     order = sorted(tops)
     visits = [(tops[order[i - 1]], order[i]) for i in range(len(order))]  # range 0 is followed by the overall first
-    guest_ids, guest_to = np.array([v[0] for v in visits], np.int64), np.array([v[1] for v in visits], np.int32)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("id").to_numpy()
-            names = [*b.schema.names, "bucket", "guest"]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32)), pa.array(np.zeros(len(ids), bool))], names)
-            for at in np.flatnonzero(np.isin(ids, guest_ids)):
-                for to in guest_to[guest_ids == ids[at]]:
-                    yield pa.RecordBatch.from_arrays([*b.slice(int(at), 1).columns, pa.array([to], pa.int32()), pa.array([True])], names)
-
-    dealt = src.mapInArrow(deal, "id long, none boolean, t string, bucket int, guest boolean").repartition(n, "bucket")
+            to = np.searchsorted(bounds, b.column("id").to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to), pa.array(np.zeros(b.num_rows, bool))], [*b.schema.names, "bucket", "guest"])
+
+    rows = src.mapInArrow(deal, "id long, none boolean, t string, bucket int, guest boolean")
+    # Of several rows of a range's top id the one that comes first visits, alone.
+    guests = src.join(F.broadcast(spark.createDataFrame(visits, "id long, bucket int")), "id").groupBy("bucket", "id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "none", "t")).alias("r"))
+    guests = guests.select("id", "r.none", "r.t", "bucket", F.lit(True).alias("guest"))
+    dealt = rows.union(guests).repartitionById(n, F.col("bucket"))
     dealt = dealt.sortWithinPartitions("bucket", "guest", F.desc("id"), F.xxhash64("t"))
     dealt = dealt.select("bucket", "guest", F.when(~F.col("none"), F.col("id")).alias("id"), "t")
     return dealt.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -116,15 +116,22 @@ def read_block(raw: bytes, b: dict, table: Table, symbols: np.ndarray) -> tuple[
     return [None] * b["nulls"] + docs[b["nulls"] :].tolist(), np.split(ids, np.cumsum(lengths)[:-1])
 
 
-def _put(folder: str, name: str, content: list[bytes]) -> None:
+class Output:
     """A file that appears whole or not at all; another attempt at the same task writes the same bytes."""
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    trial = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(trial) as f:
-        for c in content:
-            f.write(c)
-    store.move(trial, f"{path}/{name}")
+
+    def __init__(self, folder: str, name: str):
+        self.store, path = fs.FileSystem.from_uri(folder)
+        self.store.create_dir(path, recursive=True)
+        self.path, self.trial, self.size = f"{path}/{name}", f"{path}/.{name}.{uuid.uuid4().hex}", 0
+        self.stream = self.store.open_output_stream(self.trial)
+
+    def write(self, raw: bytes) -> None:
+        self.stream.write(raw)
+        self.size += len(raw)
+
+    def close(self) -> None:
+        self.stream.close()
+        self.store.move(self.trial, self.path)
 
 
 def _get(folder: str, name: str, at: int | None = None, size: int | None = None) -> bytes:
@@ -148,7 +155,7 @@ def _tokenised(df: DataFrame, id_col: str, text_col: str, path: str | None, end:
                 to = np.searchsorted(bounds, pa.compute.fill_null(part.column("id"), -(1 << 63)).to_numpy(), "right")
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), part.column("id"), pa.array([raw[s:e] + tail for s, e in zip(at, at[1:])], pa.binary())], ["bucket", "id", "ids"])
 
-    return src.mapInArrow(run, "bucket int, id long, ids binary").repartition(n, "bucket")
+    return src.mapInArrow(run, "bucket int, id long, ids binary").repartitionById(n, F.col("bucket"))
 
 
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END) -> list[dict]:
@@ -156,7 +163,8 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
 
     Null and empty texts have the end id alone; an empty table gives no file but the table's. Returns, per file in
     order: name, docs and tokens. Only ids are moved, once, and kept in the shared folder between the two passes
-    (frequencies, then coding). A file's blocks hold whole documents and about BLOCK_TOKENS ids, or one longer one.
+    (frequencies, then coding). A file's blocks hold whole documents and about BLOCK_TOKENS ids, or one longer one, and go
+    to the file as they close.
     """
     spark = df.sparkSession
     tokens = common.cut(_tokenised(df, id_col, text_col, path, end).sortWithinPartitions("bucket", "id", "ids"))
@@ -175,29 +183,35 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
         counts[r["token"]] = r["n"]
     table = Table.of(counts)
     raw = table.freq.astype("<u4").tobytes()
-    _put(folder, "table.bin", [MAGIC, np.array([SCALE, zlib.crc32(raw)], "<u4").tobytes(), raw])
+    out = Output(folder, "table.bin")
+    out.write(MAGIC + np.array([SCALE, zlib.crc32(raw)], "<u4").tobytes() + raw)
+    out.close()
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, content, index = None, [MAGIC], []
+        bucket, out, index = None, None, []
         docs, parts, size = [], [], 0
 
         def close_block() -> None:
-            nonlocal docs, parts, size
+            nonlocal out, docs, parts, size
             if docs:
+                if out is None:
+                    out = Output(folder, f"part-{bucket:06d}.rans")
+                    out.write(MAGIC)
                 raw, b = write_block(np.array([d or 0 for d in docs], np.int64), sum(d is None for d in docs), parts, table)
-                index.append(b | {"at": sum(map(len, content))})
-                content.append(raw)
+                index.append(b | {"at": out.size})
+                out.write(raw)
             docs, parts, size = [], [], 0
 
         def close_file() -> Iterator[pa.RecordBatch]:
-            nonlocal content, index
+            nonlocal out, index
             close_block()
             if index:
                 tail = json.dumps({"scale": SCALE, "blocks": index}).encode()
-                name = f"part-{bucket:06d}.rans"
-                _put(folder, name, [*content, tail, np.array([len(tail)], "<u4").tobytes(), MAGIC])
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([name]), pa.array([sum(b[k] for b in index) for k in ("docs",)], pa.int64()), pa.array([sum(b["tokens"] for b in index)], pa.int64())], ["bucket", "name", "docs", "tokens"])
-            content, index = [MAGIC], []
+                out.write(tail + np.array([len(tail)], "<u4").tobytes() + MAGIC)
+                out.close()
+                sums = [pa.array([sum(b[k] for b in index)], pa.int64()) for k in ("docs", "tokens")]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([f"part-{bucket:06d}.rans"]), *sums], ["bucket", "name", "docs", "tokens"])
+            out, index = None, []
 
         for b in batches:
             for to, doc, ids in zip(b.column("bucket").to_pylist(), b.column("id").to_pylist(), b.column("ids").to_pylist()):
@@ -263,5 +277,5 @@ def read(spark: SparkSession, folder: str, files: list[dict]) -> DataFrame:
 
 def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` to files in the shared folder and back."""
-    folder = f"{common.qualified(spark, common.shared_dir(spark)).rstrip('/')}/kinweave-rans-{uuid.uuid4().hex}"
+    folder = f"{common.Tables(spark).folder}/rans"
     return read(spark, folder, write(common.table(spark, sf_dir, "documents"), folder))

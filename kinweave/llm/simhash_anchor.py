@@ -6,6 +6,8 @@ within three bits, some point on the way lies within one bit of one and two bits
 reach of both. So each fingerprint goes to each anchor whose majority bits it reaches by two flips at most - all
 inside the covering radius plus the threshold - and fingerprints that share an anchor are compared. m grows with
 the number of distinct fingerprints, which keeps the groups short; exact copies are one fingerprint from the start.
+Fingerprints of an anchor that has more than GROUP of them go on to a code with more anchors instead, where every pair
+of them meets again; with the finest code a group is bounded by the points near one anchor.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from . import common, components
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: Fingerprints of one anchor up to this many are compared in one matrix, more of them row by row.
 MATRIX = 1_500
+#: Fingerprints of one anchor beyond this go on to a finer code: one of FINER more majority bits, FINEST at most.
+GROUP, FINER, FINEST = 4_000, 14, 60
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -68,7 +72,7 @@ def block_sizes(m: int) -> list[int]:
 
 def code_length(n: int) -> int:
     """Majority bits for n distinct fingerprints."""
-    return min(60, max(14, 2 * int((math.log2(max(n, 2)) - 1) // 2)))
+    return min(FINEST, max(14, 2 * int((math.log2(max(n, 2)) - 1) // 2)))
 
 
 def anchors(fp: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +124,9 @@ def forest(fp: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(distinct: DataFrame, n: int) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp), enough to connect all that are linked."""
-    sizes = block_sizes(code_length(n))
+def meet(distinct: DataFrame, bits: int, group: int | None) -> DataFrame:
+    """(a, b): edges among the fingerprints (column fp) of each anchor; (fp, null) for those of anchors with more than group."""
+    sizes = block_sizes(bits)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,31 +137,51 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(fp[row].view(np.int64))], ["anchor", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = forest(fp.view(np.uint64)) if len(fp) > 1 else ((), ())
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        held: list[np.ndarray] = []
+        anchor, n = None, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            if 1 < n and held:
+                a, b = forest(np.concatenate(held).view(np.uint64))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            held, n = [], 0
 
-        open_anchor, open_fp = None, []
         for batch in batches:  # sorted by anchor; a group may go on in the next batch
-            anchor, fp = batch.column("anchor").to_numpy(), batch.column("fp").to_numpy()
-            if not len(anchor):
+            to, fp = batch.column("anchor").to_numpy(), batch.column("fp").to_numpy()
+            if not len(to):
                 continue
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)]])
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             for s, e in zip(edge[:-1], edge[1:]):
-                if anchor[s] != open_anchor:
-                    if open_fp:
-                        yield from found(np.concatenate(open_fp))
-                    open_anchor, open_fp = anchor[s], []
-                open_fp.append(fp[s:e])
-        if open_fp:
-            yield from found(np.concatenate(open_fp))
-
-    spark = distinct.sparkSession
-    spread_out = distinct.mapInArrow(spread, "anchor long, fp long").repartition(common.partitions(spark), "anchor")
+                if to[s] != anchor:
+                    yield from close()
+                    anchor = to[s]
+                held.append(fp[s:e])
+                n += e - s
+                if group is not None and n > group:  # handed on as they come
+                    out = np.concatenate(held)
+                    held = []
+                    yield pa.RecordBatch.from_arrays([pa.array(out), pa.nulls(len(out), pa.int64())], ["a", "b"])
+        yield from close()
+
+    spread_out = distinct.mapInArrow(spread, "anchor long, fp long").repartition(common.partitions(distinct.sparkSession), "anchor")
     return spread_out.sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
+def links(distinct: DataFrame, n: int, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp), enough to connect all that are linked."""
+    bits, edges = code_length(n), None
+    while True:
+        found = common.cut(meet(distinct, bits, group if bits < FINEST else None))
+        some = found.where("b is not null")
+        edges = some if edges is None else edges.union(some)
+        distinct = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+        if bits == FINEST or distinct.isEmpty():
+            return edges
+        bits = min(FINEST, bits + FINER)
+
+
 def _labelled(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(prints: doc_id, tid, fp of each row; label: fp, root of each fingerprint)."""
     prints = common.cut(fingerprints(df, id_col, text_col))
@@ -184,7 +208,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """df with one row of each component: that of the smallest id (null last), then of the least hash of its text."""
     prints, label = _labelled(df, id_col, text_col)
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tid")
-    chosen = prints.join(label, "fp").groupBy("root").agg(F.min(row).alias("row")).select("row.*").distinct()
+    first = prints.groupBy("fp").agg(F.min(row).alias("row"))  # copies meet before anything is joined
+    chosen = first.join(label, "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*").distinct()
     key = F.col(f"`{id_col}`").cast("long")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("tid"))
     kept = rows.join(common.cut(chosen), ["none", "id", "tid"], "left_semi").dropDuplicates(["none", "id", "tid"])

@@ -612,6 +612,9 @@ def test_mixture_targets(spark, odd):
     for s in size:
         target[s] = 3 * size[s] if s in held else weight[s] * rate
     assert {s: round(r.target, 6) for s, r in got.items()} == {s: round(v, 6) for s, v in target.items()}
+    many = [(f"s{i:05d}", (i * 7_919) % 1_000) for i in range(25_000)] + [(None, 5)]
+    got = {r.source: r.place for r in mixing.ranked(spark.createDataFrame(many, "source string, source_size long")).collect()}
+    assert got == {s: i for i, (s, _) in enumerate(many)}
     out = mixing.mix(odd).collect()
     assert len(out) == len(ODD) and all(0 <= r.taken <= 3 * r.size for r in out)
     by = {}
@@ -621,9 +624,40 @@ def test_mixture_targets(spark, odd):
     assert mixing.mix(odd.where("false")).count() == 0
 
 
+def test_mixture_by_a_quality_column(spark):
+    rows = [(i, "w " * (1 + i % 7), "ab"[i % 2], (0.9 if i % 3 else None)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
+    for whole in (False, True):
+        out = mixing.mix(df, quality_col="score", whole=whole, keep=True).collect()
+        by = {}
+        for r in out:
+            by.setdefault(r.row.source, []).append(r)
+        for held in by.values():
+            assert abs(sum(r.taken for r in held) - held[0].target) <= (7 if whole else 1)
+            part = [r for r in held if r.taken > r.size * (held[0].target // held[0].source_size)]
+            assert not part or sum(r.row.score is not None for r in part) > 0.75 * len(part)
+    sizes = df.select("source").withColumn("quality", F.lit(0.1)).withColumn("key", F.rand(3) * 0 + F.expr("-ln(1 - rand(5)) / 0.1"))
+    n = sizes.groupBy(mixing.bucket_of(sizes, 3_000)).count().toPandas()["count"]
+    assert len(n) == 3 and n.min() > 800
+
+
 # The pipeline.
 
 
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_pipeline_on_odd_rows(spark, odd, kind, tmp_path, tok):
+    import corpus_pipeline as cp
+
+    docs = odd if kind == "odd" else odd.where("false")
+    labels = [(1, 1, 0), (2, 0, 0), (5, 1, 0), (None, 1, 0)] if kind == "odd" else []
+    docs.withColumn("lang", F.lit(None).cast("string")).withColumn("n_chars", F.char_length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = cp.run(spark, str(tmp_path)).collect()
+    texts = {t for _, t, *_ in ODD if t and t.strip()}
+    assert (len(rows) > 0) == (kind == "odd") and {r.doc_id for r in rows} <= {r[0] for r in ODD} and len({r.ids_crc32 for r in rows}) <= sum(-(-len(tok.encode(t).ids) // 4096) for t in texts) + 2
+
+
+
 def test_pipeline_equals_plain_python(spark, sf, docs, tok):
     import corpus_pipeline as cp
 
@@ -646,12 +680,9 @@ def test_pipeline_equals_plain_python(spark, sf, docs, tok):
         if not gone.all() or not len(w):
             texts[d] = " ".join(np.array(w, object)[~gone]) if gone.any() else t
     rows = kept[kept.doc_id.isin(texts)].assign(text=lambda x: x.doc_id.map(texts))
-    taken = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows)).collect()}  # held to its SQL above
-    want = []
-    for d, r in taken.items():
-        for copy in range(-(-r.taken // r.size) if r.size else 0):
-            n = min(r.size, r.taken - copy * r.size)
-            want.append((d, texts[d] if n == r.size else " ".join(words(texts[d])[:n])))
+    taken = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows), whole=True).collect()}  # but for whole, held to its SQL above
+    want = [(d, texts[d]) for d, r in taken.items() if r.size for _ in range(r.taken // r.size)]
+    assert all(r.size == 0 or r.taken % r.size == 0 for r in taken.values())
     check_packed(cp.run(spark, sf).collect(), want, tok)
     docs_in = whole
     for name, stage in cp.STAGES[:-1]:
