@@ -30,15 +30,10 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it; the last one that a source's target reaches gives its first words."""
-    out = mixing.mix(docs, keep=True).where("taken > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
-    out = out.select("row", "size", "taken", copies.alias("copy"))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
-    first = F.array_join(F.slice(F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, words), " ")
-    whole = words == F.col("size")
-    new = {"text": F.when(whole, F.col("row.text")).otherwise(first), "n_chars": F.when(whole, F.col("row.n_chars")).otherwise(F.char_length(first).cast("long"))}
-    return out.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    """Each document, whole, as often as the mixture takes it."""
+    out = mixing.mix(docs, keep=True, whole=True).where("taken > 0")
+    out = out.select("row", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("copy"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
