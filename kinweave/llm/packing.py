@@ -3,7 +3,7 @@
 A pattern is two to four lengths that fill a sequence exactly. For each length that occurs, those patterns are
 enumerated in which it is the longest and whose other parts are the most plentiful; they share their shorter lengths, so
 non-negative least squares has to share these out when it fits how often each pattern repeats. Repeats are rounded,
-down first, then up by decreasing fraction while the pieces last. What is left goes by decreasing length into the
+down first, then up by decreasing fraction while the pieces last, and what they leave is fitted again. The residual goes by decreasing length into the
 fullest sequence that takes it, new ones if none does. Should the plan need more sequences than best fit alone, the
 repeats are cut back step by step until it does not. All this happens on the histogram, so the plan has a size of its own
 however many pieces there are; each piece then finds its place by its rank among the pieces of its length.
@@ -25,6 +25,8 @@ from .tokens import Encoder
 LENGTH, END = 4_096, 1
 #: Patterns of three and of four parts that a longest length takes each.
 PER_LENGTH = 3
+#: Fits to what the ones before left, at most.
+ROUNDS = 6
 #: Rows of one length that are ranked together, at least; beyond its square a length has the root of its rows.
 SALT_ROWS = 500
 
@@ -58,7 +60,7 @@ def patterns(counts: dict[int, int], most: int, per: int = PER_LENGTH) -> list[t
     return list(out)
 
 
-def nnls(columns: list[list[tuple[int, float]]], target: np.ndarray, weight: np.ndarray, sweeps: int = 30) -> np.ndarray:
+def nnls(columns: list[list[tuple[int, float]]], target: np.ndarray, weight: np.ndarray, sweeps: int = 8) -> np.ndarray:
     """x >= 0 that makes the weighted squares of target - sum of x_j * column_j least, by coordinate descent.
 
     Columns are sparse: (row, value) pairs. Exact after one sweep where columns share no row.
@@ -85,15 +87,13 @@ class Plan:
 
     def __init__(self, counts: dict[int, int], most: int = LENGTH, per: int = PER_LENGTH):
         counts = {n: c for n, c in counts.items() if c}
-        kinds = patterns(counts, most, per)
-        repeat = self._fit(counts, kinds, most)
-        self._build(counts, most, kinds, repeat * 0)
+        self._build(counts, most, per, 0.0)
         alone = self.sequences()
-        for share in (1.0, 0.95, 0.9, 0.8, 0.65, 0.5, 0.25):
-            self._build(counts, most, kinds, repeat * share)
+        for share in (1.0, 0.9, 0.8, 0.65, 0.5, 0.25) if per else ():
+            self._build(counts, most, per, share)
             if self.sequences() <= alone:
                 return
-        self._build(counts, most, kinds, repeat * 0)
+        self._build(counts, most, per, 0.0)
 
     @staticmethod
     def _fit(counts: dict[int, int], kinds: list[tuple[int, ...]], most: int) -> np.ndarray:
@@ -105,30 +105,32 @@ class Plan:
         weight = np.clip(np.arange(most + 1) / most * 4, 0.05, 1.0)
         return nnls([[(n, float(p.count(n))) for n in sorted(set(p))] for p in kinds], have, weight)
 
-    def _build(self, counts: dict[int, int], most: int, kinds: list[tuple[int, ...]], repeat: np.ndarray) -> None:
+    def _build(self, counts: dict[int, int], most: int, per: int, share: float) -> None:
         self.most, self.kinds, self.left, self.fitted = most, [], dict(counts), 0
         if most in self.left:
             self.kinds.append([[(most, 1)], self.left.pop(most)])
+        for _ in range(ROUNDS if share else 0):  # what rounding left is fitted again
+            kinds = patterns(self.left, most, per)
+            times = self._round(kinds, self._fit(self.left, kinds, most) * share)
+            self.kinds += [[[(n, 1) for n in p], t] for p, t in zip(kinds, times) if t]
+            self.fitted += sum(times)
+            if sum(times) < 0.01 * self.fitted:
+                break
+        self._rest()
+
+    def _round(self, kinds: list[tuple[int, ...]], repeat: np.ndarray) -> list[int]:
+        """Whole repeats, for which there are pieces: down first, then up by decreasing fraction."""
         left, times = self.left, [0] * len(kinds)
         whole = np.floor(repeat + 1e-6)
         part = repeat - whole
-
-        def take(j: int, t: int) -> None:
-            p = kinds[j]
-            t = min(t, *(left[n] // p.count(n) for n in p))
-            for n in p if t else ():
-                left[n] -= t
-            times[j] += t
-
-        for j in np.flatnonzero(whole).tolist():
-            take(j, int(whole[j]))
-        for j in np.argsort(-part, kind="stable").tolist():
-            if part[j] < 0.05:
-                break
-            take(j, 1)
-        self.kinds += [[[(n, 1) for n in kinds[j]], t] for j, t in enumerate(times) if t]
-        self.fitted = sum(times)
-        self._rest()
+        for up in (False, True):
+            for j in np.argsort(-part, kind="stable").tolist() if up else np.flatnonzero(whole).tolist():
+                p = kinds[j]
+                t = min(1 if up else int(whole[j]), *(left[n] // p.count(n) for n in p)) if part[j] >= 0.05 or not up else 0
+                for n in p if t else ():
+                    left[n] -= t
+                times[j] += t
+        return times
 
     def _rest(self) -> None:
         free: dict[int, list[int]] = {}
