@@ -5,15 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept under spark.checkpoint.dir. Unset: a local folder, if all run on this machine."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; unset: a local folder, if all run on this machine."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="kinweave-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

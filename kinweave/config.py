@@ -21,5 +21,5 @@ class Config:
     bar_scale: float = 1.0
 
 
-#: For the test tables, whose per-country document frequencies never reach the default caps.
+#: For small fixtures, on which the default caps never bite.
 SMALL = Config(name_df_cap=50, addr_df_cap=50, name_top_k=10, addr_top_k=10, candidate_cap=20)

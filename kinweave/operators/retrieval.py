@@ -141,8 +141,18 @@ def nearest_owner(records: DataFrame) -> DataFrame:
     return b.join(a, ["country", "name"]).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("country", "c", "owner")
 
 
+def block_owner(records: DataFrame, width: int = 50) -> DataFrame:
+    """(country, q, c): another synthetic truth, of numbers alone: a corpus record belongs to the least src-1 record of its block.
+
+    Names play no part in it, so channels miss links of it and decisions go wrong.
+    """
+    block = F.floor(F.col("k") / width).alias("block")
+    a = records.where("src = 1").groupBy("country", block).agg(F.min("id").alias("q"))
+    return records.where("src <> 1").select("country", F.col("id").alias("c"), block).join(a, ["country", "block"]).select("country", "q", "c")
+
+
 def without_channel(records: DataFrame, cfg: Config, truth: DataFrame, channel: str = "c4_addr_pair") -> DataFrame:
-    """(kind, n): true links that a channel brings into the capped candidates, and those it pushes out."""
+    """(kind, n): true links that a channel brings into the capped candidates, those it pushes out, and those it leaves."""
     parts = channels(records, cfg)
     names = tuple(n for n in parts if n != channel)
     key = ["country", "q", "c"]
@@ -150,4 +160,5 @@ def without_channel(records: DataFrame, cfg: Config, truth: DataFrame, channel:
     less = cap_candidates(union_channels({n: parts[n] for n in names}), cfg.candidate_cap, names).select(*key)
     t = truth.select(*key).distinct()
     rows = t.join(full, key, "left_semi").join(less, key, "left_anti").withColumn("kind", F.lit("gained")).unionByName(t.join(less, key, "left_semi").join(full, key, "left_anti").withColumn("kind", F.lit("pushed out")))
+    rows = rows.unionByName(t.join(less, key, "left_semi").join(full, key, "left_semi").withColumn("kind", F.lit("kept")))
     return rows.groupBy("kind").agg(F.count("*").alias("n"))

@@ -30,6 +30,18 @@ def fold_of(q: Column, folds: int) -> Column:
     return F.pmod(F.crc32(q.cast("binary")), F.lit(folds)).cast("int")
 
 
+def split_entities(entities: DataFrame, train: int, valid: int) -> DataFrame:
+    """(country, q, part): per country `train` entities to learn from and `valid` more, half to calibrate, half held out.
+
+    Entities come in the order of a digest of their id, so each part is a fixed draw; the rest have no row.
+    """
+    order = Window.partitionBy("country").orderBy(F.md5(F.col("q").cast("binary")), "q")
+    df = entities.select("country", "q").withColumn("r", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("country")))
+    rest = F.least(F.col("n") - train, F.lit(valid))
+    part = F.when(F.col("r") < train, "train").when(F.col("r") < train + F.floor(rest / 2), "calibrate").otherwise("held out")
+    return df.where(F.col("r") < train + valid).select("country", "q", part.alias("part"))
+
+
 def _vectors(df: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="keep").transform(df)
 

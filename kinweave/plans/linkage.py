@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..checkpoints import cut
-from ..config import SMALL as K
-from ..functions import text as tx
-from ..operators import decision, evaluate, index, mining, pairs, retrieval, scoring, submission
+from ..checkpoints import cut, shared_dir
+from ..functions import text as tx, translit
+from ..operators import decision, evaluate, index, mining, pairs, probes, retrieval, scoring, submission, translit_mining
 from ..sources import records as src
 from . import oracle
-from .oracle import sql
+from .oracle import K, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,12 @@ GRAMMAR = [
     ("name", "abbrev", ["large"], ["small"], 0.45), ("name", "abbrev", ["steel"], ["brass"], 0.6), ("name", "abbrev", ["ring", "bolt"], ["nut"], 0.7),
     ("name", "forbid", ["red"], ["blue"], 1.0), ("name", "forbid", ["large"], ["small"], 1.0), ("addr", "region", ["brand", "1"], ["brand", "2"], 1.0), ("addr", "abbrev", ["11"], ["12"], 0.5),
 ]
+#: Pairs of normal forms with abbreviations, acronyms, region codes, typing errors, swaps and reorders: country, c, field, x, y, times.
+WRITTEN = [
+    ("x", "S2-1", "name", "sharma global corporation", "sharma global corp", 6), ("y", "S3-1", "name", "acme trading corporation", "acme trading corp", 3), ("x", "S2-2", "name", "state bank india limited", "sbi limited", 4),
+    ("x", "S3-2", "name", "ibm services group", "international business machines services group", 3), ("x", "S2-3", "name", "sharma medical store", "sharma medicl store", 5), ("x", "S2-4", "addr", "12 mill road pune maharashtra", "12 mill rd pune mh", 7),
+    ("y", "S3-3", "addr", "4 high street austin texas", "4 high st austin tx", 6), ("x", "S3-4", "addr", "9 temple lane uttar pradesh", "9 temple lane up", 5), ("y", "S2-5", "name", "global foods incorporated", "foods global corporation", 2), ("y", "S2-6", "name", "", "foods", 1),
+]
 #: Negative categories' shares of the negative weight.
 MIX = {"same_name": 0.4, "sibling": 0.3, "blocker": 0.3}
 CAPS = (5, 10, 20, 50, 100, 500)
@@ -35,12 +41,24 @@ class Work:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Work:
-        """The work of the last call if session and directory are the same, else a new one."""
-        key = (spark.sparkContext.applicationId, sf_dir)
+        """The work of the last call if session, directory and its files are the same, else a new one."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/part.parquet")
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        key = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen())
         if cls.last is None or cls.last[0] != key:
+            cls.forget()
             cls.last = (key, cls(spark, sf_dir))
         return cls.last[1]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drop the last call's work, so that the next starts from the files."""
+        if cls.last is not None:
+            records = cls.last[1].__dict__.get("records")
+            if records is not None:
+                records.unpersist()
+            cls.last = None
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
@@ -85,6 +103,22 @@ class Work:
     def truth(self) -> DataFrame:
         return self.owner.select("country", F.col("owner").alias("q"), "c")
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return cut(retrieval.block_owner(self.records))
+
+    @cached_property
+    def mined(self) -> DataFrame:
+        """Events of the candidates' names and addresses and of some written pairs that hold every kind of event."""
+        both = [self.texts(self.cand, f).select("country", "c", F.lit(f).alias("field"), "x", "y") for f in ("name", "addr")]
+        written = self.spark.createDataFrame(WRITTEN, "country string, c string, field string, x string, y string, n int")
+        written = written.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+        return cut(mining.mine(both[0].unionByName(both[1]).unionByName(written)))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return cut(mining.event_table(self.mined))
+
     @cached_property
     def errors(self) -> DataFrame:
         return evaluate.errors(self.scored, self.accepted, self.truth)
@@ -121,7 +155,19 @@ def r6(c: str) -> str:
 # Sources and text.
 
 query("s1_counts", sql("SELECT country, count(*) AS n FROM r WHERE src = 1 GROUP BY ALL"))(lambda w: src.counts_by(w.records.where("src = 1")))
-query("load_shard", sql("SELECT id, name, addr FROM r WHERE country = 'PROMO'"))(lambda w: w.records.where(F.col("country") == "PROMO").select("id", "name", "addr"))
+query("load_shard", sql("SELECT id, name, addr FROM r WHERE country = 'PROMO'"))(lambda w: _shard(w, "PROMO"))
+
+
+
+def _shard(w: Work, country: str) -> DataFrame:
+    """One country's records, written as three partitioned sources and loaded again."""
+    root = f"{shared_dir(w.spark)}/kinweave-shards-{uuid.uuid4().hex}"
+    for n in (1, 2, 3):
+        one = src.part_records(w.spark, w.dir).where(F.col("src") == n)
+        src.write_partitioned(one.select(F.col("id").alias("entity_id"), F.col("raw_name").alias("business_name"), F.col("raw_addr").alias("business_address"), "country"), f"{root}/train_source{n}")
+    rows = src.load_shard(w.spark, root, "train", country)
+    return rows.select("id", tx.norm_ascii(F.col("raw_name")).alias("name"), tx.norm_ascii(F.col("raw_addr")).alias("addr"))
+
 
 _REDUCED = "trim(regexp_replace(translate(replace(replace(replace(lower(coalesce({c}, '')), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^0-9a-z]+', ' ', 'g'))"
 
@@ -409,9 +455,9 @@ query("fp_categories", sql(f"""SELECT CASE WHEN o.owner IS NULL THEN 'distractor
     lambda w: evaluate.false_positives(w.errors, w.owner, w.records)
 )
 query("fn_categories", sql("""SELECT CASE WHEN wt > 0 THEN 'ranked out' WHEN bf = 0 THEN 'stopped early' ELSE 'buried' END AS category, count(*) AS n FROM (SELECT *, sum(CASE WHEN got = 1 AND yes = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY country, q) AS wt,
-  sum(CASE WHEN got = 0 AND yes = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY country, q ORDER BY rank) AS bf FROM err) WHERE yes = 1 AND got = 0 GROUP BY ALL"""))(lambda w: evaluate.false_negatives(w.errors))
-query("miss_categories", sql(f"SELECT CASE WHEN name_df <= {K.name_df_cap} OR addr_df <= {K.addr_df_cap} THEN 'reachable' WHEN addr_df IS NOT NULL THEN 'address too common' WHEN name_df IS NOT NULL THEN 'name too common' ELSE 'no signal' END AS category, count(*) AS n FROM lsd l WHERE NOT EXISTS (SELECT 1 FROM cand x WHERE x.country = l.country AND x.q = l.q AND x.c = l.c) GROUP BY ALL"))(
-    lambda w: evaluate.misses(w.cand, w.truth, w.records, K.name_df_cap, K.addr_df_cap)
+  sum(CASE WHEN got = 0 AND yes = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY country, q ORDER BY rank) AS bf FROM err2) WHERE yes = 1 AND got = 0 GROUP BY ALL"""))(lambda w: evaluate.false_negatives(evaluate.errors(w.scored, w.accepted, w.blocks)))
+query("miss_categories", sql(f"SELECT CASE WHEN name_df <= {K.name_df_cap} OR addr_df <= {K.addr_df_cap} THEN 'reachable' WHEN addr_df IS NOT NULL THEN 'address too common' WHEN name_df IS NOT NULL THEN 'name too common' ELSE 'no signal' END AS category, count(*) AS n FROM lsd2 l WHERE NOT EXISTS (SELECT 1 FROM cand x WHERE x.country = l.country AND x.q = l.q AND x.c = l.c) GROUP BY ALL"))(
+    lambda w: evaluate.misses(w.cand, w.blocks, w.records, K.name_df_cap, K.addr_df_cap)
 )
 query("dfcap_frontier", sql(f"SELECT cap::BIGINT AS cap, round(avg(CAST(coalesce(name_df <= cap, false) AS INTEGER)), 6) AS name, round(avg(CAST(coalesce(addr_df <= cap, false) AS INTEGER)), 6) AS addr, round(avg(CAST(coalesce(name_df <= cap, false) OR coalesce(addr_df <= cap, false) AS INTEGER)), 6) AS either FROM lsd, (SELECT unnest([{', '.join(map(str, CAPS))}]) AS cap) GROUP BY cap"))(
     lambda w: evaluate.cap_frontier(w.truth, w.records, CAPS)
@@ -464,22 +510,31 @@ query("numeral_mutation", sql("SELECT CASE WHEN list_contains(dy, t) THEN 'ident
 query("junk_tokens", sql("SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(list_distinct(string_split(y, ' ')), lambda v: NOT list_contains(string_split(x, ' '), v))) AS token FROM tp) WHERE token <> '' GROUP BY ALL ORDER BY n DESC, token LIMIT 50"))(
     lambda w: mining.junk_tokens(w.texts(w.truth, "addr"))
 )
-query("junk_affixes", "SELECT place, affix, count(*) AS n FROM (SELECT 'suffix' AS place, regexp_extract(b.text, '([\\p{P}\\p{S}]+)$', 1) AS affix, regexp_extract(a.text, '([\\p{P}\\p{S}]+)$', 1) AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 UNION ALL SELECT 'prefix', regexp_extract(b.text, '^([\\p{P}\\p{S}]+)', 1), regexp_extract(a.text, '^([\\p{P}\\p{S}]+)', 1) FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) WHERE affix <> '' AND affix <> o AND NOT regexp_matches(affix, '^\\.+$') GROUP BY ALL")(
-    lambda w: _affixes(w)
+_AFFIX = " UNION ALL ".join(f"SELECT '{p}' AS place, regexp_extract(props, '{r}', 1) AS affix, regexp_extract(event_type, '{r}', 1) AS o FROM events" for p, r in (("prefix", "^([\\p{P}\\p{S}]+)"), ("suffix", "([\\p{P}\\p{S}]+)$")))
+_INFIX = "SELECT 'infix' AS place, unnest(list_distinct(list_filter(list_filter(string_split_regex(trim(props), '\\s+'), lambda v: v <> '')[2:-2], lambda v: regexp_full_match(v, '[\\p{P}\\p{S}]+')))) AS affix FROM events"
+query("junk_affixes", f"SELECT place, affix, count(*) AS n FROM (SELECT place, affix FROM ({_AFFIX}) WHERE affix <> '' AND affix <> o AND NOT regexp_matches(affix, '^\\.+$') UNION ALL {_INFIX}) GROUP BY ALL")(
+    lambda w: mining.junk_affixes(w.table("events").select(F.col("event_type").alias("x"), F.col("props").alias("y")))
 )
 
-
-def _affixes(w: Work) -> DataFrame:
-    t = w.table("conversations")
-    a = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("x"))
-    return mining.junk_affixes(t.select("conv_id", "turn", F.col("text").alias("y")).join(a, ["conv_id", "turn"]))
-
-
 _TRIALS = 100
-query("forbidden_pairs", sql(f"WITH v AS (SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(x, ' '))) AS token FROM pairs) GROUP BY ALL HAVING count(*) >= {_TRIALS}) SELECT a.token AS a, b.token AS b, a.n AS n_trials, round(3.0::DOUBLE / a.n, 6) AS bound FROM v a JOIN v b ON a.token <> b.token WHERE NOT EXISTS (SELECT 1 FROM sb WHERE sb.a = a.token AND sb.b = b.token)", **_SUBS).replace(" WITH v AS", ", v AS", 1))(
+_FORBID = {
+    "fev": "SELECT a, b FROM sb WHERE (kind <> 'typo' OR round(score, 6) < 0.5) AND regexp_matches(a, '^[a-z]+$') AND regexp_matches(b, '^[a-z]+$')",
+    "fvo": "SELECT t, sum(ch) AS ch, sum(ta) AS ta FROM (SELECT a AS t, 1 AS ch, 0 AS ta FROM fev UNION ALL SELECT b, 0, 1 FROM fev) GROUP BY t HAVING count(*) >= 5 ORDER BY count(*) DESC, t LIMIT 300",
+    "fto": "SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(list_distinct(string_split(x, ' ')), lambda v: v <> '')) AS token FROM pairs) GROUP BY ALL",
+    "fpa": "SELECT x.t AS a, y.t AS b, x.ch, y.ta, n FROM fvo x JOIN fto ON x.t = token JOIN fvo y ON x.t <> y.t WHERE n >= 100 AND y.ta >= 5 AND NOT EXISTS (SELECT 1 FROM sb WHERE sb.a = x.t AND sb.b = y.t)",
+    "fsi": "SELECT *, 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b), 1) AS e, (length(b) >= 2 AND length(b) < length(a) AND regexp_matches(a, '^' || array_to_string(string_split(b, ''), '.*'))) OR (length(a) >= 2 AND length(a) < length(b) AND regexp_matches(b, '^' || array_to_string(string_split(a, ''), '.*'))) AS ab FROM fpa",
+}
+query("forbidden_pairs", sql("SELECT a, b, n AS n_trials, round(3.0::DOUBLE / n, 6) AS bound, round(ch * ta / greatest((SELECT count(*) FROM fev), 1)::DOUBLE, 6) AS expected, round(s, 6) AS alike, CAST(s >= 0.5 OR substr(a, 1, 1) = substr(b, 1, 1) AS INTEGER) AS trap FROM (SELECT *, CASE WHEN e < 0.8 AND ab THEN 0.9::DOUBLE ELSE e END AS s FROM fsi)", **_SUBS, **_FORBID))(
     lambda w: mining.forbidden_pairs(_subs(w), w.texts(w.cand, "name").select(F.explode(tx.tokens(F.col("x"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), _TRIALS)
 )
-query("permutations")(lambda w: mining.permutations(w.texts(w.cand, "name")))
+_PERM = {
+    "pmo": "SELECT string_split(x, ' ') AS x, string_split(y, ' ') AS y FROM pairs WHERE list_sort(string_split(x, ' ')) = list_sort(string_split(y, ' ')) AND len(list_distinct(string_split(x, ' '))) = len(string_split(x, ' '))",
+    "pm": "SELECT len(x) AS n, list_transform(y, lambda t: list_position(x, t) - 1) AS m, range(0, len(x)) AS s FROM pmo",
+    "pk": """SELECT n, CASE WHEN n < 2 THEN 'n<2' WHEN m = s THEN 'none' WHEN n = 2 THEN 'swap2' WHEN m = list_concat([n - 1], range(0, n - 1)) THEN 'last_to_front' WHEN m = list_concat(range(1, n), [0]) THEN 'first_to_end' WHEN m = list_reverse(s) THEN 'reverse'
+      WHEN len(list_filter(s, lambda i: m[i + 1] <> i)) = 2 AND list_filter(s, lambda i: m[i + 1] <> i)[2] = list_filter(s, lambda i: m[i + 1] <> i)[1] + 1 THEN 'adjacent_swap' WHEN len(list_filter(s, lambda i: list_filter(m, lambda v: v <> i) = list_filter(s, lambda v: v <> i))) > 0 THEN 'single_move' ELSE 'other' END AS kind FROM pm""",
+}
+query("permutations", sql("""SELECT n AS length, kind, count(*) AS n, round(CASE WHEN n < 2 THEN NULL WHEN n = 2 THEN CASE kind WHEN 'swap2' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN kind IN ('last_to_front', 'first_to_end', 'reverse') THEN 1.0::DOUBLE WHEN kind = 'adjacent_swap' THEN n - 1.0::DOUBLE
+  WHEN kind = 'single_move' THEN (n - 1) * (n - 2) - 2.0::DOUBLE WHEN kind = 'other' THEN factorial(n::INTEGER) - 2.0::DOUBLE - (n - 1) * (n - 1) ELSE 0.0::DOUBLE END / (factorial(n::INTEGER) - 1.0::DOUBLE), 6) AS random FROM pk GROUP BY pk.n, kind""".replace("SELECT n AS length, kind, count(*) AS n,", "SELECT CAST(pk.n AS BIGINT) AS length, kind, count(*) AS n,"), **_PERM))(lambda w: mining.permutations(w.texts(w.cand, "name")))
 query("js_divergence", sql("""WITH e AS (SELECT kind AS family, CAST(substr(c, 2, 1) AS INTEGER) AS src, a || '>' || b AS event FROM sb), g AS (SELECT family, src, event, count(*) AS n FROM e GROUP BY ALL), p AS (SELECT family, src, event, n / sum(n) OVER (PARTITION BY family, src) AS p FROM g),
   d AS (SELECT family, event, coalesce(max(p) FILTER (src = 2), 0.0::DOUBLE) AS p, coalesce(max(p) FILTER (src = 3), 0.0::DOUBLE) AS q FROM p GROUP BY ALL)
   SELECT family, round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END / 2 + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END / 2), 6) AS js FROM d GROUP BY ALL""", **_SUBS).replace(" WITH e AS", ", e AS", 1))(
@@ -510,6 +565,115 @@ query("stage_compare", sql("SELECT kind, count(y) AS right, count(*) - count(y)
 )
 query("redecide")(lambda w: decision.redecide(w.scored, w.accepted, w.p_zero))
 query("loss_table")(lambda w: decision.loss_table(decision.entity_scores(w.accepted, w.truth, w.entities), w.errors))
-query("density_verdict")(lambda w: decision.density(submission.profile(w.accepted, w.cand, w.entities), 2.0))
-query("channel_report")(lambda w: retrieval.without_channel(w.records, K, w.truth))
+query("density_verdict", sql("SELECT country, mean_k, CASE WHEN mean_k / 2.0::DOUBLE - 1 > 0.12 THEN 'denser' WHEN mean_k / 2.0::DOUBLE - 1 < -0.05 THEN 'sparser' ELSE 'in line' END AS verdict FROM (SELECT coalesce(country, 'ALL') AS country, round(avg(k), 6) AS mean_k FROM es GROUP BY ROLLUP (country))"))(lambda w: decision.density(submission.profile(w.accepted, w.cand, w.entities), 2.0))
+_CAND = "SELECT country, q, c FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY m DESC, c) AS rn FROM (SELECT country, q, c, max(score) AS m FROM long WHERE {where} GROUP BY ALL)) WHERE rn <= " + str(K.candidate_cap)
+query("channel_report", sql("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN f.c IS NOT NULL AND l.c IS NOT NULL THEN 'kept' WHEN f.c IS NOT NULL THEN 'gained' ELSE 'pushed out' END AS kind FROM own2 t LEFT JOIN fullc f ON t.country = f.country AND t.q = f.q AND t.c = f.c LEFT JOIN lessc l ON t.country = l.country AND t.q = l.q AND t.c = l.c WHERE f.c IS NOT NULL OR l.c IS NOT NULL) GROUP BY kind", fullc=_CAND.format(where="true"), lessc=_CAND.format(where="ch <> 'c4_addr_pair'")))(
+    lambda w: retrieval.without_channel(w.records, K, w.blocks)
+)
 query("stacked_scores")(lambda w: scoring.stack(_labelled(w), _FEATURES, w.sets, 2, rounds=3, depth=3).select("country", "q", "c", "y", "p"))
+
+# Learnt tables, transliteration, probes, splits.
+
+query("mining_provenance")(lambda w: mining.provenance(w.mined))
+query("replacements_by_country")(lambda w: mining.replacement_table(w.events, mining.confident_tokens(w.mined), ("abbrev", "expansion"), 1))
+query("typos")(lambda w: mining.replacement_table(w.events, mining.confident_tokens(w.mined), ("typo",), 2))
+query("acronym_table")(lambda w: _acronyms(w))
+query("region_codes")(lambda w: mining.region_codes(mining.replacement_table(w.events, mining.confident_tokens(w.mined), ("abbrev", "expansion"), 1), _acronyms(w)))
+
+
+def _acronyms(w: Work) -> DataFrame:
+    return mining.replacement_table(w.events, mining.confident_tokens(w.mined), ("contract", "expand"), 1)
+
+
+# Latin records and what a Devanagari source makes of them, with repeats.
+_SCRIPTS = [
+    ("sharma private limited", "शर्मा प्राइवेट लिमिटेड", 12), ("kamal traders", "कमल ट्रेडर्स", 9), ("ambani mart", "अंबानी मार्ट", 8), ("kamla devi", "कमला देवी", 7), ("gupta private limited", "गुप्ता प्राइवेट लिमिटेड", 11),
+    ("rama stores", "रामा स्टोर्स", 6), ("sarkar foods", "सरकार फूड्स", 6), ("hindi press", "हिंदी प्रेस", 5), ("mumbai motors", "मुंबई मोटर्स", 9), ("sundar motors limited", "सुंदर मोटर्स लिमिटेड", 10),
+]
+
+
+def _scripts(w: Work) -> DataFrame:
+    rows = w.spark.createDataFrame(_SCRIPTS, "x string, y string, n int")
+    return translit_mining.word_pairs(rows.select("x", "y", F.explode(F.sequence(F.lit(1), F.col("n")))))
+
+
+def _fit_report(w: Work) -> DataFrame:
+    pairs_ = cut(_scripts(w))
+    own = pairs_.where(~translit_mining.held_out("word"))
+    return translit_mining.report(pairs_.where(translit_mining.held_out("word")), own, translit_mining.fit(own, 3, 0.6, 2, 2))
+
+
+query("translit_word_pairs")(_scripts)
+query("translit_unit_cuts")(lambda w: translit_mining.cut_units(_scripts(w)).select("word", "latin", F.array_join("subs", "|").alias("subs")))
+query("translit_options")(lambda w: translit_mining.match_rates(_scripts(w), {str(sorted(k for k, v in o.items() if v)): translit.Model(opts=o).by_units for o in translit_mining.OPTIONS}))
+query("translit_lexicon")(lambda w: translit_mining.lexicon(_scripts(w), translit.Model(), 5, 0.6))
+query("translit_report")(_fit_report)
+
+_UNITS = [("शर्मा", "श:C र्:H मा:M", "sharmaa", "sharma"), ("कमला", "क:C म:C ला:M", "kamalaa", "kamla"), ("कमल", "क:C म:C ल:C", "kamal", "kamal"), ("अंबानी", "अ:V ं:N बा:M नी:M", "anbaanee", "ambani"), ("सरकार", "स:C र:C का:M र:C", "sarakaar", "sarkar"), ("दुःख", "दु:M ः:X ख:C", "duhkh", "duhkh")]
+
+
+@query("translit_units", "SELECT word, units, rules, options FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in _UNITS) + ") t(word, units, rules, options)")
+def _(w):
+    @F.pandas_udf("units string, rules string, options string")
+    def spell(s):
+        import pandas as pd
+
+        model = translit.Model(opts={"schwa": True, "nasal": True, "short": True})
+        return pd.DataFrame([(" ".join(f"{u.key}:{u.kind}" for u in translit.units(t)), translit.by_rules(t), model.by_units(t)) for t in s], columns=["units", "rules", "options"])
+
+    return w.spark.createDataFrame([(u[0],) for u in _UNITS], "word string").select("word", spell("word").alias("s")).select("word", "s.*")
+
+
+_NUM = "CAST(regexp_extract({c}, '-([0-9]+)$', 1) AS BIGINT)"
+query("id_format", sql(f"SELECT CAST(src AS BIGINT) AS src, country, count(*) AS n, 1.0::DOUBLE AS numeric, min({_NUM.format(c='id')}) AS low, max({_NUM.format(c='id')}) AS high, count(DISTINCT {_NUM.format(c='id')}) AS \"distinct\" FROM r GROUP BY src, country"))(lambda w: probes.id_format(w.records))
+query("owner_neighbours", sql(f"SELECT source, links, same, round(squares / (links * links)::DOUBLE, 9) AS random FROM (SELECT source, count(*) AS links, CAST(coalesce(sum(s), 0) AS BIGINT) AS same FROM (SELECT substr(c, 1, 2) AS source, CAST(lag(q) OVER (PARTITION BY substr(c, 1, 2), country ORDER BY {_NUM.format(c='c')}, q) = q AS BIGINT) AS s FROM truth) GROUP BY source) JOIN (SELECT source, sum(m * m) AS squares FROM (SELECT substr(c, 1, 2) AS source, count(*) AS m FROM truth GROUP BY substr(c, 1, 2), country, q) GROUP BY source) USING (source)"))(
+    lambda w: probes.owner_neighbours(w.truth)
+)
+_MARKED = "SELECT r.*, CAST(t.c IS NOT NULL AS INTEGER) AS matched FROM r LEFT JOIN (SELECT DISTINCT country, c FROM own2 WHERE CAST(substr(c, 4) AS BIGINT) % 4 <> 0) t ON r.country = t.country AND r.id = t.c WHERE r.src <> 1"
+query("rank_spread", sql(f"SELECT CAST(src AS BIGINT) AS src, country, matched, count(*) AS n, {', '.join(f'round(quantile_cont(pos, 0.{x}), 6) AS q{x}' for x in (10, 50, 90))} FROM (SELECT *, (row_number() OVER (PARTITION BY src, country ORDER BY {_NUM.format(c='id')}, id) - 1)::DOUBLE / count(*) OVER (PARTITION BY src, country) AS pos FROM mk) GROUP BY src, country, matched", mk=_MARKED))(
+    lambda w: probes.rank_spread(w.records, _some_links(w))
+)
+query("rank_offsets", sql(f"SELECT source, count(*) AS n, round(avg(d), 6) AS mean, {', '.join(f'round(quantile_cont(d, 0.{x}), 6) AS q{x}' for x in (10, 50, 90))} FROM (SELECT substr(t.c, 1, 2) AS source, b.pos - a.pos AS d FROM truth t JOIN ra a ON a.country = t.country AND a.id = t.q JOIN ra b ON b.country = t.country AND b.id = t.c) GROUP BY source", ra=f"SELECT country, id, (row_number() OVER (PARTITION BY src ORDER BY {_NUM.format(c='id')}, id) - 1)::DOUBLE / count(*) OVER (PARTITION BY src) AS pos FROM r"))(
+    lambda w: probes.rank_offsets(w.records, w.truth)
+)
+_FEATS = {
+    "name chars": "length(raw_name)", "name tokens": "len(list_filter(string_split_regex(raw_name, '[ \\t\\n\\r]+'), lambda v: v <> ''))", "addr chars": "length(raw_addr)", "addr empty": "CAST(raw_addr = '' AS INTEGER)", "devanagari": "CAST(regexp_matches(raw_name, '[\\x{0900}-\\x{097F}]') AS INTEGER)",
+    "junk marks": "CAST(regexp_matches(raw_name, '<<|>>|--|##|\\*\\*') AS INTEGER)", "all caps": "CAST(upper(raw_name) = raw_name AND lower(raw_name) <> raw_name AS INTEGER)", "all lower": "CAST(lower(raw_name) = raw_name AND upper(raw_name) <> raw_name AS INTEGER)",
+    "digit in name": "CAST(regexp_matches(raw_name, '[0-9]') AS INTEGER)", "outer space": "CAST(trim(raw_name) <> raw_name AS INTEGER)", "double space": "CAST(contains(raw_name, '  ') AS INTEGER)", "postcode": "CAST(regexp_matches(raw_addr, '\\b[0-9]{5,6}\\b') AS INTEGER)",
+    "name of src 1": "CAST(lower(raw_name) IN (SELECT lower(raw_name) FROM r WHERE src = 1) AS INTEGER)",
+}
+query("record_signatures", sql(" UNION ALL ".join(f"SELECT CAST(src AS BIGINT) AS src, '{k}' AS feature, round(avg(CASE WHEN matched = 1 THEN ({v})::DOUBLE END), 6) AS matched, round(avg(CASE WHEN matched = 0 THEN ({v})::DOUBLE END), 6) AS other FROM mk GROUP BY src" for k, v in _FEATS.items()), mk=_MARKED))(
+    lambda w: probes.signatures(w.records, _some_links(w))
+)
+query("twin_rates", sql("SELECT matched, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM r x WHERE x.src = 3 AND x.country = mk.country AND lower(x.raw_name) = lower(mk.raw_name))) AS twins FROM mk WHERE src = 2 GROUP BY matched", mk=_MARKED))(lambda w: probes.twin_rates(w.records, _some_links(w)))
+
+
+def _some_links(w: Work) -> DataFrame:
+    """The block truth without every fourth record, so that there are records of both kinds."""
+    return w.blocks.where(F.substring("c", 4, 20).cast("long") % 4 != 0)
+
+
+_PLACED = "SELECT country, id, row_number() OVER (PARTITION BY country ORDER BY md5(id), id) - 1 AS pos, count(*) OVER (PARTITION BY country) AS n FROM r WHERE src {s} 1"
+_RANDOM = f"SELECT a.country, a.id AS q, b.id AS c FROM ({_PLACED.format(s='=')}) a JOIN ({_PLACED.format(s='<>')}) b ON a.country = b.country AND a.pos % b.n = b.pos"
+query("random_pair_separability", sql("""SELECT 'random' AS kind, count(*) AS n, round(avg(nm_exact), 6) AS name_equal, round(avg(nm_jac), 6) AS nm_mean, round(quantile_cont(nm_jac, 0.5), 6) AS nm_median, round(avg(CAST(nm_jac = 0 AS INTEGER)), 6) AS nm_zero, round(avg(CAST(nm_jac >= 0.5 AS INTEGER)), 6) AS nm_half, round(avg(ad_jac), 6) AS ad_mean, round(avg(CAST(dg_shared > 0 AS INTEGER)), 6) AS digit
+  FROM sf JOIN df_ USING (country, q, c)""", cand=_RANDOM))(lambda w: _random_separability(w))
+
+
+def _random_separability(w: Work) -> DataFrame:
+    s = cut(pairs.with_sets(probes.random_pairs(w.records), w.records))
+    return evaluate.separability(pairs.string_features(s).join(pairs.digit_features(s), ["country", "q", "c"]).withColumn("kind", F.lit("random")))
+
+
+query("entity_split", sql("SELECT country, q, CASE WHEN r < 40 THEN 'train' WHEN r < 40 + floor(least(n - 40, 30) / 2.0) THEN 'calibrate' ELSE 'held out' END AS part FROM (SELECT country, q, row_number() OVER (PARTITION BY country ORDER BY md5(q), q) - 1 AS r, count(*) OVER (PARTITION BY country) AS n FROM ent) WHERE r < 70"))(
+    lambda w: scoring.split_entities(w.entities, 40, 30)
+)
+
+# One bad row of each kind: the matches, the candidates, the entities and the corpus ids they are checked against.
+_BAD = (
+    [("e1", "S2-1,S2-1"), ("e2", "S2-2"), ("e2", "S2-2"), ("x9", ""), ("e3", "S9-7"), ("e4", "S3-3")],
+    [("e1", "S2-1"), ("e2", "S2-2"), ("e3", "S9-7"), ("e4", "")], ["e1", "e2", "e3", "e4", "e5"], ["S2-1", "S2-2", "S3-3"],
+)
+_COUNTS = {"missing entity": 1, "extra entity": 1, "repeated entity": 1, "bad prefix": 2, "unknown record": 2, "repeated record": 1, "match not a candidate": 1}
+query("submission_bad_rows", " UNION ALL ".join(f"SELECT '{k}' AS \"check\", CAST({n} AS BIGINT) AS n" for k, n in _COUNTS.items()))(
+    lambda w: submission.validate(*(w.spark.createDataFrame(x, "q string, ids string") for x in _BAD[:2]), *(w.spark.createDataFrame([(v,) for v in x], f"{c} string") for x, c in zip(_BAD[2:], ("q", "id"))))
+)

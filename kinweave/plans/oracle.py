@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..config import SMALL as K
+from ..config import Config
+
+K = Config()
 
 
 def _tokens(field: str) -> str:
@@ -56,7 +58,7 @@ def accept(scored: str, pz: str, recall: float = 1.0, bar: str = "1.0::DOUBLE",
 
 
 TABLES = {
-    "raw": "SELECT p_type AS country, 'S' || CAST(1 + p_partkey % 3 AS VARCHAR) || '-' || CAST(p_partkey AS VARCHAR) AS id, CAST(1 + p_partkey % 3 AS INTEGER) AS src, p_name || ' ' || lower(p_type) AS raw_name, "
+    "raw": "SELECT p_type AS country, 'S' || CAST(1 + p_partkey % 3 AS VARCHAR) || '-' || CAST(p_partkey AS VARCHAR) AS id, CAST(1 + p_partkey % 3 AS INTEGER) AS src, p_partkey AS k, p_name || ' ' || lower(p_type) AS raw_name, "
     "CAST(p_size AS VARCHAR) || ' ' || replace(lower(p_brand), '#', ' ') || ' ' || CAST(10000 + p_partkey % 97 AS VARCHAR) AS raw_addr FROM part",
     "r": "SELECT *, trim(regexp_replace(lower(raw_name), '[^0-9a-z]+', ' ', 'g')) AS name, trim(regexp_replace(lower(raw_addr), '[^0-9a-z]+', ' ', 'g')) AS addr FROM raw",
     "ent": "SELECT country, id AS q FROM r WHERE src = 1",
@@ -106,6 +108,9 @@ TABLES = {
     "pairs": "SELECT p.country, p.q, p.c, x.name AS x, y.name AS y, x.addr AS xa, y.addr AS ya FROM cand p JOIN r x ON p.country = x.country AND p.q = x.id JOIN r y ON p.country = y.country AND p.c = y.id",
     "tp": "SELECT p.country, p.q, p.c, x.addr AS x, y.addr AS y FROM truth p JOIN r x ON p.country = x.country AND p.q = x.id JOIN r y ON p.country = y.country AND p.c = y.id",
     "lsd": "",
+    "own2": "SELECT country, q, c FROM (SELECT b.country, b.id AS c, a.id AS q, row_number() OVER (PARTITION BY b.country, b.id ORDER BY a.id) AS rn FROM r a JOIN r b ON a.country = b.country AND a.k // 50 = b.k // 50 WHERE a.src = 1 AND b.src <> 1) WHERE rn = 1",
+    "err2": "SELECT s.*, CAST(t.c IS NOT NULL AS INTEGER) AS yes, CAST(a.c IS NOT NULL AS INTEGER) AS got, row_number() OVER (PARTITION BY s.country, s.q ORDER BY s.p DESC, s.c) - 1 AS rank FROM sc s LEFT JOIN own2 t ON s.country = t.country AND s.q = t.q AND s.c = t.c LEFT JOIN acc a ON s.country = a.country AND s.q = a.q AND s.c = a.c",
+    "lsd2": "",
 }
 
 
@@ -127,6 +132,7 @@ def least(links: str) -> str:
 
 
 TABLES["lsd"] = least("truth")
+TABLES["lsd2"] = least("own2")
 
 
 def sql(select: str, **more: str) -> str:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-GRAMMAR_COLUMNS = "field string, kind string, q array<string>, c array<string>, w double"
+from ..functions.translit import Model
 
 
 def read_json(path: str) -> tuple[dict, str] | None:
@@ -21,46 +20,38 @@ def read_json(path: str) -> tuple[dict, str] | None:
     return json.loads(raw), hashlib.sha256(raw).hexdigest()
 
 
-def grammar_entries(tables: dict) -> list[tuple]:
+def _listed(spark: SparkSession, tables: dict) -> DataFrame:
+    """Every entry of a mined grammar's tables, in the order of precedence: at, field, kind, q, c, w."""
+    fields = ("name", "address")
+    parts = [("abbrev", "name", tables.get("abbreviations", {}).get("name")), ("region", "address", tables.get("region_codes", {}).get("entries")), ("cover", "address", tables.get("abbreviations", {}).get("address"))]
+    parts += [(kind, f, tables.get(of, {}).get(f)) for kind, of in (("cover", "acronyms"), ("forbid", "forbidden")) for f in fields]
+    flat = [(kind, f, json.dumps(e)) for kind, f, entries in parts for e in entries or ()]  # a table of learnt entries, read on the driver
+    raw = spark.createDataFrame([(i, *row) for i, row in enumerate(flat)], "at long, kind string, field string, entry string")
+    e = raw.select("at", "kind", F.when(F.col("field") == "name", "name").otherwise("addr").alias("field"), F.from_json("entry", "s1 string, s2 string, long string, short string, direction string, p_s2_given_s1 double").alias("e"))
+    one, many = F.array("e.short"), F.filter(F.split("e.long", r"\s+"), lambda t: t != "")
+    q = F.when(F.col("e.s1").isNotNull(), F.array("e.s1")).when(F.col("e.direction") == "contract", many).when(F.col("e.direction") == "expand", one)
+    c = F.when(F.col("e.s1").isNotNull(), F.array("e.s2")).when(F.col("e.direction") == "contract", one).when(F.col("e.direction") == "expand", many)
+    w = F.when(F.col("kind") == "abbrev", F.col("e.p_s2_given_s1")).otherwise(1.0)
+    return e.select("at", "field", "kind", F.array_distinct(q).alias("q"), F.array_distinct(c).alias("c"), w.alias("w"))
+
+
+def grammar_entries(spark: SparkSession, tables: dict) -> DataFrame:
     """(field, kind, q, c, w) of a mined grammar. The first to name a pair keeps it: name abbreviations, region codes,
     address abbreviations, acronyms, forbidden pairs. Entries with foreign characters, weights outside 0 to 1 or a token on
     both sides are left out. Kind "cover" explains tokens without weight.
     """
-    out: list[tuple] = []
-    seen: set[tuple] = set()
-
-    def take(field: str, kind: str, q: list[str], c: list[str], w) -> None:
-        q, c = list(dict.fromkeys(q)), list(dict.fromkeys(c))
-        fit = q and c and all(re.fullmatch("[0-9a-z]+", t) for t in q + c) and isinstance(w, (int, float)) and 0 <= w <= 1 and not set(q) & set(c)
-        mark = (field, tuple(q), tuple(c))
-        if fit and mark not in seen:
-            seen.add(mark)
-            out.append((field, kind, q, c, float(w)))
-
-    def sides(e: dict) -> tuple[list[str], list[str]] | None:
-        if "s1" in e:
-            return [e["s1"]], [e["s2"]]
-        both = {"contract": (e["long"].split(), [e["short"]]), "expand": ([e["short"]], e["long"].split())}
-        return both.get(e.get("direction"))
-
-    short, names = tables.get("abbreviations", {}), {"name": "name", "address": "addr"}
-    plan = [("name", "abbrev", short.get("name", []))]
-    plan += [("address", "region", tables.get("region_codes", {}).get("entries", [])), ("address", "cover", short.get("address", []))]
-    plan += [(f, "cover", tables.get("acronyms", {}).get(f, [])) for f in names]
-    plan += [(f, "forbid", tables.get("forbidden", {}).get(f, [])) for f in names]
-    for field, kind, entries in plan:
-        for e in entries:
-            if pair := sides(e):
-                take(names[field], kind, *pair, e.get("p_s2_given_s1") if kind == "abbrev" else 1.0)
-    return out
+    plain = F.forall(F.concat("q", "c"), lambda t: t.rlike(r"^[0-9a-z]+\z"))
+    fit = (F.size("q") > 0) & (F.size("c") > 0) & plain & F.col("w").between(0, 1) & ~F.arrays_overlap("q", "c")
+    first = Window.partitionBy("field", "q", "c").orderBy("at")
+    return _listed(spark, tables).where(fit).withColumn("r", F.row_number().over(first)).where("r = 1").orderBy("at").select("field", "kind", "q", "c", "w")
 
 
 def load_grammar(spark: SparkSession, path: str) -> DataFrame | None:
     got = read_json(path)
-    return None if got is None else spark.createDataFrame(grammar_entries(got[0]), GRAMMAR_COLUMNS)
+    return None if got is None else grammar_entries(spark, got[0])
 
 
-def load_lexicon(path: str) -> dict[str, str] | None:
-    """Whole words and their Latin forms, for with_norm."""
+def load_translit(path: str) -> Model | None:
+    """A learnt transliteration (lexicon, tables, opts), for with_norm."""
     got = read_json(path)
-    return None if got is None else dict(got[0]["lexicon"])
+    return None if got is None else Model(**{k: dict(got[0][k]) for k in ("lexicon", "tables", "opts")})

@@ -6,12 +6,14 @@ import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from kinweave.functions import text as tx
-from kinweave.operators import decision, mining, submission
+from kinweave.config import SMALL
+from kinweave.functions import text as tx, translit
+from kinweave.operators import decision, graph, mining, probes, scoring, submission, translit_mining
+from kinweave.plans import end_to_end
 from kinweave.plans.catalog import ORACLES, QUERIES
 from kinweave.sources import records as src
 
-SOME = ["linkage_flagship", "norm_reduced", "channel_union", "pair_string_features", "grammar_features", "triangulation", "choose_k", "calibrate_fit", "decision_sweep", "abbreviations", "submission_rows", "fold_skeleton", "fn_categories"]
+SOME = ["linkage_flagship", "norm_reduced", "channel_union", "pair_string_features", "grammar_features", "triangulation", "choose_k", "calibrate_fit", "decision_sweep", "abbreviations", "submission_rows", "fold_skeleton", "fn_categories", "miss_categories", "channel_report", "junk_affixes", "load_shard", "submission_bad_rows", "forbidden_pairs", "permutations", "density_verdict", "translit_units", "id_format", "owner_neighbours", "rank_spread", "rank_offsets", "record_signatures", "twin_rates", "random_pair_separability", "entity_split"]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -32,7 +34,33 @@ def test_norm_of_other_scripts():
     assert tx.norm_plain("Sœur") == tx.norm_plain("Soeur") == "soeur"
     assert tx.norm_plain("शर्मा") == "sharmaa" and tx.norm_plain("कमला") == "kamalaa" and tx.norm_plain("राम") == "raam"
     assert tx.norm_plain("McDonald’s") == "mcdonalds" and tx.norm_plain(None) == ""
-    assert tx.norm_plain("प्राइवेट", {"प्राइवेट": "private"}) == "private"
+    assert tx.norm_plain("प्राइवेट", translit.Model({"प्राइवेट": "private"})) == "private" and tx.norm_plain("कमल ९", translit.Model(opts={"schwa": True})) == "kamal 9"
+
+
+def test_units_and_tables():
+    kinds = lambda w: [(u.key, u.kind) for u in translit.units(w)]
+    assert kinds("ज़मीन") == [("\u095b", "C"), ("मी", "M"), ("न", "C")] and kinds("क्\u200dष") == [("क्", "H"), ("ष", "C")]
+    word = translit.units("सरकार")
+    assert translit.kept(word, False) == [True, True, False, False] and translit.kept(word, True) == [True, False, False, False]
+    assert [translit.context(word, i, translit.kept(word, True)) for i in range(4)] == ["^|C|1", "v|M|0", "\u093e|", "v|$|0"]
+    assert translit.context(translit.units("अंबानी"), 1, [False] * 4) == "ं|p"
+    assert translit.Model(opts={"schwa": True, "short": True, "nasal": True}).by_units("अंबानी") == "ambani" and translit.Model().by_units("कमला") == "kamalaa"
+    assert translit.Model(tables={"vowel": {"\u093e|": "o"}, "cons": {"र": "rr"}, "schwa": {"^|C|1": 0}}).by_units("सरकार") == "srrakorr"
+    assert translit.by_rules("राम \u093e क् ९अ") == "raam aa k 9a" and translit.by_rules("कx") == "kax"
+
+
+def test_transliteration_is_learnt(spark):
+    got = translit_mining.align_words("sharma private limited", "शर्मा प्राइवेट लिमिटेड")
+    assert got == [("शर्मा", "sharma"), ("प्राइवेट", "private"), ("लिमिटेड", "limited")] and not translit_mining.align_words("शर्मा", "शर्मा") and not translit_mining.align_words("zzz qqq", "शर्मा")
+    words = [("शर्मा", "sharma"), ("वर्मा", "varma"), ("कमला", "kamla"), ("विमला", "vimla"), ("सरकार", "sarkar"), ("दरबार", "darbar"), ("अंबानी", "ambani"), ("मुंबई", "mumbai"), ("रामा", "rama"), ("प्राइवेट", "private")]
+    pairs = spark.createDataFrame([(w, t, 10) for w, t in words], "word string, latin string, n long")
+    model = translit_mining.fit(pairs, 5, 0.6, 2, 2)
+    assert all(model.word(w) == t for w, t in words) and model.opts["schwa"] and model.by_units("परमार") == "parmar"
+    assert model.lexicon.get("प्राइवेट") == "private" and "रामा" not in model.lexicon
+    rates = {(r.words, r.variant): r for r in translit_mining.report(pairs, pairs.where("latin <> 'rama'"), model).collect()}
+    assert rates["all", "tables and lexicon"].exact == 1.0 and rates["all", "rules"].exact < 0.3 and rates["new", "rules with options"].n == 10
+    cuts = {r.word: r.subs for r in translit_mining.cut_units(pairs).collect()}
+    assert cuts["कमला"] == ["ka", "m", "la"] and cuts["अंबानी"] == ["a", "m", "ba", "ni"]
 
 
 def choose(p, none, recall=1.0):
@@ -69,6 +97,56 @@ def test_conflicts_leave_one_owner(spark):
     assert got == {("A", "r1"), ("B", "r2"), ("C", "r3")}
 
 
+def brute_owners(rows, none):
+    """The rule over all accepted pairs at once, without parting them."""
+    total, n = {}, {}
+    for q, _, p in rows:
+        total[q], n[q] = total.get(q, 0) + p, n.get(q, 0) + 1
+    n_hat = dict(total)
+    kept = {(q, c): p for q, c, p in rows}
+
+    def expected(q, s, k):
+        return 1.25 * s / (0.25 * n_hat[q] + k) if k else none
+
+    claims = {}
+    for q, c, p in rows:
+        claims.setdefault(c, []).append((q, p))
+    for c, who in sorted(((c, w) for c, w in claims.items() if len(w) > 1), key=lambda x: (-max(p for _, p in x[1]), x[0])):
+        gains = {q: expected(q, total[q], n[q]) - expected(q, total[q] - p, n[q] - 1) for q, p in who}
+        best = min(gains, key=lambda q: (-gains[q], q))
+        for q, p in who:
+            if q != best or gains[best] <= 0:
+                del kept[q, c]
+                total[q] -= p
+                n[q] -= 1
+    return set(kept)
+
+
+@pytest.mark.parametrize("kind", ["chain", "random"])
+def test_conflicts_settle_over_whole_components(spark, kind):
+    rng = random.Random(4)
+    if kind == "chain":  # each of 80 entities shares a record with the next
+        rows = [(f"q{i:02d}", f"r{j:02d}", round(rng.uniform(0.3, 0.95), 4)) for i in range(80) for j in (i, i + 1)]
+    else:
+        rows = [(q, c, p) for (q, c), p in {(f"q{rng.randrange(120):03d}", f"r{rng.randrange(150):03d}"): round(rng.uniform(0.2, 0.99), 4) for _ in range(260)}.items()]
+    df = spark.createDataFrame([("x", *r) for r in rows], "country string, q string, c string, p double")
+    none = spark.createDataFrame([("x", q, 0.05) for q in {r[0] for r in rows}], "country string, q string, p_zero double")
+    got = {(r.q, r.c) for r in decision.resolve_conflicts(df, df, none).collect()}
+    assert got == brute_owners(rows, 0.05) and len({c for _, c in got}) == len(got)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    for edges in ([(i, i + 1) for i in range(200)], [(rng.randrange(300), rng.randrange(300)) for _ in range(220)], [(5, 5), (7, 6)]):
+        label = {i: i for e in edges for i in e}
+        for _ in label:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == label
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_shapley_shares_sum_to_the_loss():
     for c, n, k, m, f in [(2, 4, 3, 1, 2), (0, 3, 2, 2, 1), (3, 3, 3, 0, 0), (1, 1, 4, 3, 0)]:
         wrong, missed = decision.shapley(c, n, k, m, f)
@@ -89,11 +167,127 @@ def test_assignment_is_the_best():
         assert abs(got - best) < 1e-9
 
 
-def test_alignment_and_classes():
-    got = mining.align_tokens("sharma global corporation", "global sharma corp")
-    assert set(got) == {("sharma", "sharma", 1.0), ("global", "global", 1.0), ("corporation", "corp", 0.9)}
-    assert mining.acronyms(["sgc"], ["sharma", "global", "corp"]) == [("sgc", "sharma global corp")]
-    assert [mining.permutation_class(m) for m in ([0, 1], [1, 0], [2, 0, 1], [1, 2, 0], [2, 1, 0], [1, 0, 2])] == ["none", "swap2", "last_to_front", "first_to_end", "reverse", "adjacent_swap"]
+def test_alignment_and_acronyms(spark):
+    def tokens(x, y):
+        a, b = x.split(), y.split()
+        return {(a[i] if i >= 0 else "", b[j] if j >= 0 else "", s) for i, j, s in mining.align_tokens(x, y)}
+
+    assert tokens("sharma global corporation", "global sharma corp") == {("sharma", "sharma", 1.0), ("global", "global", 1.0), ("corporation", "corp", 0.9)}
+    assert tokens("a a b", "a c") == {("a", "a", 1.0), ("a", "", 0.0), ("b", "", 0.0), ("", "c", 0.0)}
+    assert mining.acronyms(["sgc"], [0], ["sharma", "global", "corp"], [0, 1, 2]) == [(0, [0, 1, 2])] and mining.acronyms(["sgc"], [0], ["sharma", "global", "corp"], [0, 2]) == []
+    long = " ".join(f"a{i}" for i in range(40))
+    df = spark.createDataFrame([("x", "S1-1", "S2-1", long, long.replace("a", "zzz")), ("x", "S1-2", "S2-2", "red nut", "red nuts"), ("x", "S1-3", "S2-3", None, "")], "country string, q string, c string, x string, y string")
+    got = sorted((r.q, r.a, r.b, r.skipped) for r in mining.aligned(df).collect())
+    assert got == [("S1-1", "", "", 1), ("S1-2", "nut", "nuts", 0), ("S1-2", "red", "red", 0)]
+
+
+def test_permutation_kinds(spark):
+    from itertools import permutations as every
+    from math import factorial
+
+    perms = [list(p) for n in (1, 2, 3, 4, 5) for p in every(range(n))]
+    df = spark.createDataFrame([(p,) for p in perms], "m array<int>")
+    kinds = {tuple(r.m): r.kind for r in df.select("m", mining.permutation_kind(F.col("m")).alias("kind")).collect()}
+    want = {(0,): "n<2", (0, 1): "none", (1, 0): "swap2", (2, 0, 1): "last_to_front", (1, 2, 0): "first_to_end", (2, 1, 0): "reverse", (1, 0, 2): "adjacent_swap", (2, 0, 1, 3): "single_move", (3, 1, 2, 0): "other"}
+    assert {k: kinds[k] for k in want} == want
+    rows = [(n, k) for n in (2, 3, 4, 5) for k in {kinds[tuple(p)] for p in perms if len(p) == n} - {"none"}]
+    chance = {(r.n, r.k): r.c for r in spark.createDataFrame(rows, "n int, k string").select("n", "k", mining.permutation_chance(F.col("n"), F.col("k")).alias("c")).collect()}
+    for (n, k), c in chance.items():
+        assert abs(c - sum(kinds[tuple(p)] == k for p in perms if len(p) == n) / (factorial(n) - 1)) < 1e-9
+
+
+def test_mined_tables(spark):
+    assert mining.events_of("sharma global corporation", "sharma global corp") == ("confident", [("identity", "sharma", "sharma", 0.0), ("identity", "global", "global", 0.5), ("abbrev", "corporation", "corp", 1.0)])
+    state, events = mining.events_of("state bank india limited", "sbi limited")
+    assert state == "confident" and ("contract", "state bank india", "sbi", 0.0) in events and len(events) == 2
+    assert mining.events_of("red nut", "blue bolt")[0] == "doubtful" and mining.events_of("", "x") == ("empty", []) and mining.events_of(" ".join(map(str, range(99))), "z")[0] == "skipped"
+    assert ("swap", "ltd", "corporation", 1.0) in mining.events_of("global foods ltd", "foods global corporation")[1]
+    rows = [("x", "S2-1", "addr", "12 mill road maharashtra", "12 mill rd mh")] * 3 + [("y", "S3-1", "addr", "4 high road texas", "4 high rd tx"), ("x", "S2-2", "addr", "7 old lane uttar pradesh", "7 old lane up"), ("x", "S2-3", "name", "red nut", "blue bolt"), ("x", "S2-4", "name", None, "a")]
+    mined = mining.mine(spark.createDataFrame(rows, "country string, c string, field string, x string, y string"))
+    state = {(r.src, r.field): (r.pairs, r.confident, r.doubtful, r.empty, r.skipped) for r in mining.provenance(mined).collect()}
+    assert state == {("S2", "addr"): (4, 4, 0, 0, 0), ("S3", "addr"): (1, 1, 0, 0, 0), ("S2", "name"): (2, 0, 1, 1, 0)}
+    events, tokens = mining.event_table(mined), mining.confident_tokens(mined)
+    short = mining.replacement_table(events, tokens, ("abbrev", "expansion"), 1)
+    got = {(r.a, r.b): (r.n, r.n_s2, r.n_s3, r.p_b_given_a, r.mean_place, r.by_country) for r in short.collect()}
+    assert got[("road", "rd")] == (4, 3, 1, 1.0, 0.667, "x:3,y:1") and got[("texas", "tx")] == (1, 0, 1, 1.0, 1.0, "y:1")
+    phrases = mining.replacement_table(events, tokens, ("contract", "expand"), 1)
+    assert {(r.long, r.short, r.by) for r in mining.region_codes(short, phrases).collect()} == {("road", "rd", "place"), ("maharashtra", "mh", "place"), ("texas", "tx", "place"), ("uttar pradesh", "up", "initials")}
+
+
+def test_grammar_of_json(spark, tmp_path):
+    import json
+
+    from kinweave.sources import models
+
+    tables = {
+        "abbreviations": {"name": [{"s1": "corporation", "s2": "corp", "kind": "abbrev", "p_s2_given_s1": 0.45}, {"s1": "a b", "s2": "c", "p_s2_given_s1": 0.5}, {"s1": "x", "s2": "y", "p_s2_given_s1": 1.5}], "address": [{"s1": "haryana", "s2": "hr"}, {"s1": "road", "s2": "rd"}]},
+        "region_codes": {"entries": [{"s1": "haryana", "s2": "hr"}, {"long": "uttar pradesh", "short": "up", "direction": "contract"}]}, "acronyms": {"name": [{"long": "red nut", "short": "rn", "direction": "expand"}]},
+        "forbidden": {"name": [{"s1": "corporation", "s2": "corp"}, {"s1": "corporation", "s2": "inc"}], "address": [{"s1": "road", "s2": "road"}]},
+    }
+    (tmp_path / "g.json").write_text(json.dumps(tables))
+    got = [tuple(r) for r in models.load_grammar(spark, str(tmp_path / "g.json")).collect()]
+    assert got == [
+        ("name", "abbrev", ["corporation"], ["corp"], 0.45), ("addr", "region", ["haryana"], ["hr"], 1.0), ("addr", "region", ["uttar", "pradesh"], ["up"], 1.0), ("addr", "cover", ["road"], ["rd"], 1.0),
+        ("name", "cover", ["rn"], ["red", "nut"], 1.0), ("name", "forbid", ["corporation"], ["inc"], 1.0),
+    ]
+    assert models.load_grammar(spark, str(tmp_path / "none.json")) is None
+    (tmp_path / "t.json").write_text(json.dumps({"lexicon": {"कमल": "kamal"}, "tables": {"cons": {"र": "rr"}}, "opts": {"schwa": True}}))
+    assert models.load_translit(str(tmp_path / "t.json")).text("कमल सरकार") == "kamal sarrkaarr"
+
+
+def test_models_calibration_and_gate(spark):
+    rng = random.Random(7)
+    rows = [("x", f"S1-{i % 40}", f"S2-{i}", rng.random()) for i in range(600)]
+    df = spark.createDataFrame([(*r, r[3] + 0.2 * rng.random(), int(r[3] + 0.3 * rng.random() > 0.65)) for r in rows], "country string, q string, c string, a double, b double, y int")
+    model = scoring.fit_pairs(df, ["a", "b"], rounds=5, depth=3)
+    out = scoring.predict(df, model, ["a", "b"]).toPandas()
+    assert ((out.p > 0.5) == (out.y == 1)).mean() > 0.85 and {n for n, _ in scoring.importance(model, ["a", "b"])} == {"a", "b"}
+    oof = scoring.out_of_fold(df, ["a", "b"], 3, rounds=5, depth=3).toPandas()
+    assert len(oof) == 600 and 0.75 < ((oof.p > 0.5) == (oof.y == 1)).mean() < 1
+    assert {r.p for r in scoring.out_of_fold(df.withColumn("y", F.lit(1)), ["a"], 2).collect()} == {1.0}
+    rough = df.withColumn("p", F.col("a") / 2)
+    calm = scoring.apply_isotonic(rough, scoring.fit_isotonic(rough)).toPandas().sort_values("a")
+    assert calm.p.is_monotonic_increasing and abs(calm.p.mean() - calm.y.mean()) < 1e-6
+    s = lambda rows: spark.createDataFrame(rows, "hit int, n int, k int, f double")
+    good = scoring.gate(s([(0, 0, 0, 1.0), (1, 1, 1, 1.0)]), s([(0, 0, 1, 0.0), (1, 1, 1, 1.0)])).first()
+    bad = scoring.gate(s([(0, 2, 0, 0.0), (1, 1, 1, 1.0)]), s([(1, 1, 1, 1.0)])).first()
+    assert good.passes and good.precision == 1.0 and not bad.passes
+    head = scoring.singleton_head(spark.createDataFrame([("x", f"S1-{i}", i / 100, int(i > 60)) for i in range(100)], "country string, q string, best double, y int"), ["best"], 2).toPandas()
+    assert len(head) == 100 and head.p_zero.between(0, 1).all() and head.p_zero[head.q == "S1-95"].iloc[0] > 0.5
+
+
+def two_countries(spark):
+    """A chain of branches and one record without text, and another country."""
+    rows = [("India", f"S1-{i}", 1, "sharma medical store", f"{i} mill road") for i in range(1, 13)] + [("India", "S1-99", 1, "", "")]
+    rows += [("India", f"S{2 + i % 2}-{i}", 2 + i % 2, "sharma medical store", f"{i} mill rd") for i in range(1, 13)] + [("Mexico", f"S1-{i}", 1, f"tacos {n}", "1 calle") for i, n in ((50, "gordo"), (51, "flaco"))]
+    rows += [("Mexico", "S2-60", 2, "tacos gordo", "1 calle"), ("Mexico", "S3-61", 3, "tacos flaco", "1 calle")]
+    truth = [("India", f"S1-{i}", f"S{2 + i % 2}-{i}") for i in range(1, 13)] + [("Mexico", "S1-50", "S2-60"), ("Mexico", "S1-51", "S3-61")]
+    return spark.createDataFrame(rows, "country string, id string, src int, name string, addr string"), spark.createDataFrame(truth, "country string, q string, c string")
+
+
+def test_train_predict_and_resume(spark, tmp_path, monkeypatch):
+    records, truth = two_countries(spark)
+    folder = str(tmp_path / "run")
+    first = {r.q: (r.matched_ids, r.candidate_ids) for r in end_to_end.run(spark, records, truth, folder, SMALL, 10, 4).collect()}
+    assert len(first) == 15 and first["S1-99"] == ("", "") and any(m for m, _ in first.values())
+    owners = [c for m, _ in first.values() for c in m.split(",") if c]
+    assert len(owners) == len(set(owners)) and all(set(filter(None, m.split(","))) <= set(k.split(",")) for m, k in first.values())
+    monkeypatch.setattr(end_to_end, "train", lambda *a: pytest.fail("nothing is left to train"))
+    assert {r.q: (r.matched_ids, r.candidate_ids) for r in end_to_end.run(spark, records, truth, folder, SMALL, 10, 4).collect()} == first
+    monkeypatch.undo()
+    import shutil
+
+    shutil.rmtree(f"{folder}/country=Mexico/rows")
+    again = {r.q: (r.matched_ids, r.candidate_ids) for r in end_to_end.run(spark, records, truth, folder, SMALL, 10, 4).collect()}
+    assert {q: v for q, v in again.items() if q < "S1-50"} == {q: v for q, v in first.items() if q < "S1-50"} and len(again) == 15
+
+
+def test_random_pairs_and_splits(spark):
+    records, _ = two_countries(spark)
+    got = probes.random_pairs(records, 2).collect()
+    assert len(got) == 30 and all(not r.c.startswith("S1") for r in got)
+    parts = scoring.split_entities(records.where("src = 1").select("country", F.col("id").alias("q")), 6, 5).groupBy("country", "part").count().collect()
+    assert {(r.country, r.part): r["count"] for r in parts} == {("India", "train"): 6, ("India", "calibrate"): 2, ("India", "held out"): 3, ("Mexico", "train"): 2}
 
 
 def test_tsv_and_partials(spark, tmp_path):
