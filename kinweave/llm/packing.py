@@ -28,7 +28,7 @@ PER_LENGTH = 3
 #: Fits to what the ones before left, at most.
 ROUNDS = 6
 #: Rows of one length that are ranked together, at least; beyond its square a length has the root of its rows.
-SALT_ROWS = 500
+SALT_ROWS = 100
 
 
 def patterns(counts: dict[int, int], most: int, per: int = PER_LENGTH) -> list[tuple[int, ...]]:
