@@ -4,12 +4,14 @@ A page is a stream of tags and texts. Runs that repeat at once become repeated g
 one with the host's wrapper, and whatever only one side has becomes an optional group. Texts are slots: each page is
 then matched against its host's expression, and what its slots hold is summed over all pages by slot and place (the
 containers around it), in an aggregate without a limit. Slots in the host's article are its main text, but not those
-of menus, adverts and the like, whether their text varies or not; hosts without an article keep their place of most
-plain text, without slots that hold the same text on every page.
+of menus, adverts and the like, whether their text varies or not; pages without an article keep the place of most
+plain text among such pages of their host, without slots that hold the same text on every page. Only articles, menus and
+the like are told by names of tags and classes; with words=False no name is read, and places and slots decide alone.
 
 Each task first folds its own pages host by host and only wrappers are moved, so a host of any size stays spread; they
-merge by host and salt, then by host, as wrappers align with each other as pages do. A wrapper has at most MOST_ITEMS
-items; a page that it does not fit is read by its own tags and its host's place of most text.
+merge by host and salt, then by host, as wrappers align with each other as pages do. An expression beyond MOST_ITEMS is
+made more general: its largest run of optional parts becomes one gap that takes anything, so pages of any number and
+kind still fit it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import partial
 
 import pyarrow as pa
 import xxhash
@@ -29,6 +32,8 @@ from . import common
 from .url_gbt import host_path
 
 MOST_ITEMS, WIDEST, SALTS = 300, 16, 32
+#: The item that takes any tags and texts.
+GAP = "*"
 #: Bytes up to which the rules of all hosts are broadcast.
 SMALL_RULES = 8 << 20
 
@@ -37,6 +42,7 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "xmp", "noembed", "noframes"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img input".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+_MAIN = {"article", "main"}
 _CHROME = set("nav footer aside form button select option dialog menu head fieldset datalist".split())
 _CHROME_WORD = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|nav\w*|menu\w*|breadcrumb\w*|side-?bar\w*|aside|"
@@ -50,14 +56,14 @@ def _key(name: str, attrs: str) -> tuple[str, bool, bool]:
     """(what tells a container from others, whether it holds chrome, whether it holds an article)."""
     words = " ".join(b or c or d for a, b, c, d in _ATTR.findall(attrs)).lower() if attrs else ""
     chrome = name in _CHROME or bool(words and _CHROME_WORD.search(words))
-    main = not chrome and (name in ("article", "main") or bool(words and name not in _INLINE and _MAIN_WORD.search(words)))
+    main = not chrome and (name in _MAIN or bool(words and name not in _INLINE and _MAIN_WORD.search(words)))
     return name + ("." + re.sub(r"\d+", "0", words)[:40] if words else ""), chrome, main
 
 
 class Page:
     """items: keys of structural tags and texts; blocks: (place, chrome, main, link characters, text) in page order."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, words: bool = True):
         self.items: list[str] = []
         self.blocks: list[tuple[str, bool, bool, int, str]] = []
         stack: list[tuple[str, str, bool, bool, bool]] = []
@@ -101,6 +107,7 @@ class Page:
                 continue
             if name in _INLINE:
                 key, chrome, _ = _key(name, attrs)
+                chrome = chrome and words
                 if name == "a":
                     in_link = 0 if shut else 1
                 elif name == "br":
@@ -119,9 +126,10 @@ class Page:
                     in_link = 0
             else:
                 key, chrome, main = _key(name, attrs)
+                chrome, main = chrome and words, main and words
                 self.items.append(key)
                 if name not in _VOID and name not in ("p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") or chrome:
-                    stack.append((name, key, chrome, main, name == "header" or bool(_HEAD_WORD.search(key))))
+                    stack.append((name, key, chrome, main, words and (name == "header" or bool(_HEAD_WORD.search(key)))))
         close()
 
 
@@ -202,9 +210,47 @@ def size(items: list) -> int:
     return sum(size(x[1]) + 1 if isinstance(x, list) else 1 for x in items)
 
 
+def general(items: list, most: int | None = None) -> list:
+    """An expression of at most MOST_ITEMS that takes all that items takes: gaps stand for the largest runs of optional parts.
+
+    Without any, the middle becomes a gap. Optional parts next to a gap are in it already.
+    """
+    most = MOST_ITEMS if most is None else most
+
+    def loose(x) -> bool:
+        return x == GAP or isinstance(x, list) and x[0] == "?"
+
+    while True:
+        runs, at = [], 0
+        while at < len(items):
+            end = at
+            while end < len(items) and loose(items[end]):
+                end += 1
+            if end > at:
+                runs.append((size(items[at:end]), at, end))
+            at = max(end, at + 1)
+        for _, s, e in reversed(runs):
+            if GAP in items[s:e] and e - s > 1:
+                items = [*items[:s], GAP, *items[e:]]
+                break
+        else:
+            if size(items) <= most:
+                return items
+            n, s, e = max(runs, default=(0, 0, 0))
+            if n > 1:
+                items = [*items[:s], GAP, *items[e:]]
+            else:
+                inner = [i for i, x in enumerate(items) if isinstance(x, list) and size(x[1]) > most // 2]
+                if inner:
+                    items = [*items[: inner[0]], GAP, *items[inner[0] + 1 :]]
+                else:
+                    cut = max(1, min(most // 3, len(items) // 3))
+                    items = [*items[:cut], GAP, *items[len(items) - cut :]]
+
+
 def expression(items: list) -> str:
     """The wrapper as a regular expression over tags and #text."""
-    return " ".join(f"( {expression(x[1])} ){x[0]}" if isinstance(x, list) else "#text" if x == "T" else f"<{x}>" for x in items)
+    return " ".join(f"( {expression(x[1])} ){x[0]}" if isinstance(x, list) else "#text" if x == "T" else ".*" if x == GAP else f"<{x}>" for x in items)
 
 
 class Wrapper:
@@ -217,15 +263,14 @@ class Wrapper:
         mark = hash(tuple(page.items))
         if mark not in self.known:
             self.known.add(mark)
-            self._take(collapse(page.items))
+            if self.items is None or GAP not in self.items or Matcher(self.items).slots(page.items) is None:
+                self._take(collapse(page.items))
 
     def _take(self, items: list) -> None:
         if self.items is None:
-            self.items = items
+            self.items = general(items)
         elif items != self.items:
-            new = align(self.items, items)
-            if size(new) <= MOST_ITEMS:
-                self.items = new
+            self.items = general(align(self.items, items))
 
     def merge(self, other: Wrapper) -> None:
         self._take(other.items or [])
@@ -238,7 +283,7 @@ class Wrapper:
         return cls(json.loads(s))
 
 
-def infer(pages: DataFrame, html_col: str, host_col: str) -> DataFrame:
+def infer(pages: DataFrame, html_col: str, host_col: str, words: bool = True) -> DataFrame:
     """(host, wrapper) of each host, over all its pages."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +296,7 @@ def infer(pages: DataFrame, html_col: str, host_col: str) -> DataFrame:
 
         for b in batches:
             for host, source in zip(b.column("host").to_pylist(), b.column("source").to_pylist()):
-                held[host].add(Page(source or ""))
+                held[host].add(Page(source or "", words))
                 if len(held) > 2_000:
                     yield from flush()
         yield from flush()
@@ -283,6 +328,10 @@ class Matcher:
             out.setdefault(self.names[p], []).append(p)
         return out
 
+    def _next(self, table: dict[str, list[int]], name: str) -> list[int]:
+        named, any_ = table.get(name, ()), table.get(GAP, ())
+        return [*named, *any_] if any_ else named
+
     def _link(self, last: list[int], first: list[int]) -> None:
         by_name = self._by_name(first)
         for p in last:
@@ -302,7 +351,9 @@ class Matcher:
             else:
                 self.names.append(x)
                 self.follow.append({})
-                e, f, z = False, [len(self.names) - 1], [len(self.names) - 1]
+                e, f, z = x == GAP, [len(self.names) - 1], [len(self.names) - 1]
+                if x == GAP:
+                    self._link(z, f)
             self._link(last, f)
             first = first + f if empty else first
             last = last + z if e else z
@@ -314,14 +365,14 @@ class Matcher:
         if not items:
             return [] if self.empty else None
         steps: list[dict[int, int] | tuple[int, int]] = []
-        live = {q: -1 for q in self.first.get(items[0], ())}
+        live = {q: -1 for q in self._next(self.first, items[0])}
         for name in items[1:]:
             if not live:
                 return None
             steps.append(live if len(live) > 1 else next(iter(live.items())))
             step: dict[int, int] = {}
             for p in live:
-                for q in self.follow[p].get(name, ()):
+                for q in self._next(self.follow[p], name):
                     step.setdefault(q, p)
             live = step
         p = next((q for q in live if q in self.last), None)
@@ -340,8 +391,9 @@ class Matcher:
 class Reader:
     """Pages with the slot of each block: -1 on pages that their host's expression does not fit."""
 
-    def __init__(self):
+    def __init__(self, words: bool = True):
         self.matchers: dict[str, Matcher] = {}
+        self.words = words
 
     def read(self, source: str | None, wrapper: str) -> tuple[Page, list[int]]:
         m = self.matchers.get(wrapper)
@@ -349,26 +401,26 @@ class Reader:
             if len(self.matchers) >= 500:
                 self.matchers.clear()
             m = self.matchers[wrapper] = Matcher(json.loads(wrapper) or [])
-        page = Page(source or "")
+        page = Page(source or "", self.words)
         slots = m.slots(page.items)
         return page, [-1] * len(page.blocks) if slots is None else slots
 
 
-_STATS = "host string, slot int, place string, chars long, links long, main boolean, pages long, low long, high long, page_low long, page_high long"
+_STATS = "host string, slot int, place string, own boolean, chars long, links long, main boolean, pages long, low long, high long, page_low long, page_high long"
 
 
-def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums per host, slot and place over blocks outside chrome, as many rows as there are; several of a key add up.
+def tally(batches: Iterator[pa.RecordBatch], words: bool = True) -> Iterator[pa.RecordBatch]:
+    """Sums per host, slot, place and whether the page has an article, over blocks outside chrome; several rows of a key add up.
 
     low and high are the least and greatest hash of what a page has there, page_low and page_high those of the pages'
     plain texts as a whole.
     """
-    reader, held = Reader(), {}
+    reader, held = Reader(words), {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
             columns = zip(*((*k, *v) for k, v in held.items()))
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 5)
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in _STATS.split(", ")])
             held.clear()
 
@@ -379,6 +431,7 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, source, wrapper in zip(*(b.column(c).to_pylist() for c in ("host", "source", "wrapper"))):
             page, slots = reader.read(source, wrapper)
             here: dict[tuple[int, str], list] = {}
+            own_main = any(m and not chrome for _, chrome, m, _, _ in page.blocks)
             for slot, (place, chrome, main, links, text) in zip(slots, page.blocks):
                 if not chrome:
                     h = here.setdefault((slot, place), [0, 0, False, []])
@@ -389,9 +442,9 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = mark("\n".join(t for _, chrome, _, links, t in page.blocks if not chrome and links * 2 < len(t)))
             for (slot, place), (chars, links, main, texts) in here.items():
                 own = mark("\n".join(texts))
-                s = held.get((host, slot, place))
+                s = held.get((host, slot, place, own_main))
                 if s is None:
-                    held[host, slot, place] = [chars, links, main, 1, own, own, whole, whole]
+                    held[host, slot, place, own_main] = [chars, links, main, 1, own, own, whole, whole]
                 else:
                     s[:] = [s[0] + chars, s[1] + links, s[2] or main, s[3] + 1, min(s[4], own), max(s[5], own), min(s[6], whole), max(s[7], whole)]
             if len(held) > 20_000:
@@ -400,43 +453,40 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decide(stats: DataFrame) -> DataFrame:
-    """(host, marked, best, main, fixed) from tallies, over all places of a host.
+    """(host, best, main, fixed) from tallies, over all places of a host.
 
-    marked: the pages mark their article; main: slots in it; fixed: slots that hold the same text on three or more
-    pages which are not all the same; best: the place of most text that is neither links nor fixed.
+    main: slots in an article; fixed: slots that hold the same text on three or more pages which are not all the same;
+    best: the place of most text that is neither links nor fixed on pages without an article.
     """
     total = [F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("main").alias("main"), F.sum("pages").alias("pages")]
     ends = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("page_low").alias("page_low"), F.max("page_high").alias("page_high")]
-    rows = common.cut(stats.groupBy("host", "slot", "place").agg(*total, *ends))
+    rows = common.cut(stats.groupBy("host", "slot", "place", "own").agg(*total, *ends))
     fixed = (F.col("pages") > 2) & (F.col("low") == F.col("high")) & (F.col("page_low") != F.col("page_high"))
     rows = rows.withColumn("fixed", (F.col("slot") >= 0) & fixed)
-    per_place = rows.where("not fixed").groupBy("host", "place").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")).where("links * 2 < chars")
+    per_place = rows.where("not own and not fixed").groupBy("host", "place").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")).where("links * 2 < chars")
     best = per_place.groupBy("host").agg(F.min(F.struct(-F.col("chars"), "place"))["place"].alias("best"))
     per_slot = rows.groupBy("host", "slot").agg(F.max("main").alias("main"), F.min("fixed").alias("fixed"))
     slots = per_slot.groupBy("host").agg(
-        F.max("main").alias("marked"), F.collect_list(F.when(F.col("main") & (F.col("slot") >= 0), F.col("slot"))).alias("main"), F.collect_list(F.when(F.col("fixed"), F.col("slot"))).alias("fixed")
+        F.collect_list(F.when(F.col("main") & (F.col("slot") >= 0), F.col("slot"))).alias("main"), F.collect_list(F.when(F.col("fixed"), F.col("slot"))).alias("fixed")
     )
-    return slots.join(best, "host", "left").select("host", "marked", "best", "main", "fixed")
+    return slots.join(best, "host", "left").select("host", "best", "main", "fixed")
 
 
-def extract(page: Page, slots: list[int], marked: bool, best: str | None, main: frozenset[int], fixed: frozenset[int]) -> str:
+def extract(page: Page, slots: list[int], best: str | None, main: frozenset[int], fixed: frozenset[int]) -> str:
     """Main text of one page, given the slots of its blocks and what its host's pages say about them."""
-    own = any(m and not chrome for _, chrome, m, _, _ in page.blocks)
-    if marked:
-        texts = [t for slot, (_, chrome, m, _, t) in zip(slots, page.blocks) if not chrome and (slot in main if slot >= 0 else m)]
-    else:
-        inside = (best or "") + ">"
-        texts = [t for slot, (place, chrome, _, links, t) in zip(slots, page.blocks) if not chrome and (place + ">").startswith(inside) and slot not in fixed and links * 2 < len(t)] if best is not None else []
-    if not texts and not own:  # another layout than its host's: its plain text outside all chrome
-        texts = [t for _, chrome, _, links, t in page.blocks if not chrome and links * 2 < len(t)]
-    return "\n".join(texts)
-
-
-def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    if any(m and not chrome for _, chrome, m, _, _ in page.blocks):
+        return "\n".join(t for slot, (_, chrome, m, _, t) in zip(slots, page.blocks) if not chrome and (slot in main if slot >= 0 else m))
+    plain = [(slot, place, t) for slot, (place, chrome, _, links, t) in zip(slots, page.blocks) if not chrome and links * 2 < len(t)]
+    texts = [t for slot, place, t in plain if best is not None and (place + ">").startswith(best + ">") and slot not in fixed]
+    return "\n".join(texts or [t for _, _, t in plain])  # a layout of its own: its plain text outside all chrome
+
+
+def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html", words: bool = True) -> DataFrame:
     """df with text (main text, empty if none) and n_chars; columns of these names give way.
 
     Blocks hold no white space but single spaces and are joined by line feeds; character references are decoded. A
-    null or empty html has no text; pages with a null url share one wrapper. Other columns pass through.
+    null or empty html has no text; pages with a null url share one wrapper. words=False reads no names of tags and classes.
+    Repeated rows stay, very long pages are read whole, other columns pass through; an empty table gives no rows.
     """
     keep = [c for c in df.columns if c.lower() not in ("text", "n_chars")]
     host, _ = host_path(F.col(f"`{url_col}`"))
@@ -446,22 +496,22 @@ def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html") -> D
         # Pages need not move while the rules of all hosts are small; beyond that Spark joins by host and splits hot ones.
         return rows.join(F.broadcast(rules) if volume <= SMALL_RULES else rules, "host")
 
-    wrappers = common.cut(infer(pages, "source", "host"))
+    wrappers = common.cut(infer(pages, "source", "host", words))
     volume = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper") + 64)).first()[0] or 0
-    stats = with_rules(pages.select("host", "source"), wrappers, volume).mapInArrow(tally, _STATS)
+    stats = with_rules(pages.select("host", "source"), wrappers, volume).mapInArrow(partial(tally, words=words), _STATS)
     rules = common.cut(wrappers.join(decide(stats), "host", "left"))
     volume += rules.agg(F.sum(F.coalesce(F.octet_length("best"), F.lit(0)) + 4 * (F.coalesce(F.size("main"), F.lit(0)) + F.coalesce(F.size("fixed"), F.lit(0))))).first()[0] or 0
-    ruled = ("source", "wrapper", "marked", "best", "main", "fixed")
+    ruled = ("source", "wrapper", "best", "main", "fixed")
     joined = with_rules(pages, rules, volume).select("row", *ruled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader = Reader(words)
         for b in batches:
             for part in common.byte_slices(b, "source"):
                 texts = []
-                for source, wrapper, marked, best, main, fixed in zip(*(part.column(c).to_pylist() for c in ruled)):
+                for source, wrapper, best, main, fixed in zip(*(part.column(c).to_pylist() for c in ruled)):
                     page, slots = reader.read(source, wrapper)
-                    texts.append(extract(page, slots, bool(marked), best, frozenset(main or ()), frozenset(fixed or ())))
+                    texts.append(extract(page, slots, best, frozenset(main or ()), frozenset(fixed or ())))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "n_chars"])
 
     kind = joined.schema["row"].dataType.simpleString()

@@ -233,6 +233,39 @@ def test_pages_fit_the_expression_they_gave():
     assert len(set(m.slots(pages[2].items)[:5])) == 1 and m.slots(["table"]) is None and m.slots(["T", "T"]) is None
 
 
+def test_layouts_of_one_host(spark):
+    rows = []
+    for i in range(8):  # every other page has no article, and a menu that only its place and links tell apart
+        body = f"<article><h1>Head {i}</h1><p>Marked text {i} of some length.</p></article>" if i % 2 else f"<div id=a><div id=b><a href=/x>One</a> <a>Two</a></div><div id=c><p>Plain text {i} that goes on and on.</p><h3>The same line on every page of the host.</h3></div><div id=d>tail {i}</div></div>"
+        rows.append((i, f"http://two.org/{i}", f"<body><nav>Menu</nav>{body}</body>"))
+    got = {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i}\nMarked text {i} of some length." if i % 2 else f"Plain text {i} that goes on and on." for i in range(8)}
+
+
+def test_pages_of_the_tables_without_any_names(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: r.text for r in wrapper.op3_wrapper(spark, sf).collect()}
+    got = {r.page_id: r.text for r in wrapper.main_texts(pages, words=False).collect()}
+    same = sum(got[i] == want[i] for i in want)
+    print("same without names", same, len(want), [(got[i][:80], want[i][:80]) for i in want if got[i] != want[i]][:2])
+    assert same >= 0.95 * len(want)
+
+
+def test_large_expressions_become_general():
+    w = wrapper.Wrapper()
+    pages = [wrapper.Page("<body><h1>t</h1>" + "".join(f"<div class=k{chr(97 + (i * 7 + k * 13) % 26)}{chr(97 + k % 26)}><p>x</p></div>" for k in range(60)) + "<div class=end>e</div></body>") for i in range(40)]
+    for p in pages:
+        w.add(p)
+    assert wrapper.size(w.items) <= wrapper.MOST_ITEMS and wrapper.GAP in w.items
+    m = wrapper.Matcher(w.items)
+    for p in pages:
+        slots = m.slots(p.items)
+        assert slots is not None and len(slots) == len(p.blocks) and slots[0] != slots[5]
+    huge = wrapper.Page("".join(f"<div id=z{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{'q' * (i // 676)}>x" for i in range(1_500)))
+    w.add(huge)
+    assert wrapper.size(w.items) <= wrapper.MOST_ITEMS and wrapper.Matcher(w.items).slots(huge.items) is not None
+
+
 def test_no_place_is_dropped_on_a_host_of_many(spark):
     small = "".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26)}>w</div>" for i in range(320))
     rows = [(0, "http://m.org/0", small), (1, "http://m.org/1", "<div class=kaa>tiny</div><section class=body><p>" + "Long main words. " * 300 + "</p></section>")]
