@@ -479,10 +479,62 @@ def test_simhash_components(spark, sf, docs, odd):
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.fingerprint == "0" * 16} == {2}
     kept = simhash_anchor.keep_one(odd)
     assert kept.columns == odd.columns
-    assert len(kept.collect()) == len(set(classes([simhash(r[1]) for r in ODD])))
+    got = sorted((r.doc_id is None, r.doc_id or 0, words(r.text)[:3]) for r in kept.collect())
+    # The rows without words are one group, and so are documents 6, 7 and 8.
+    assert got == [(False, 1, ["alpha", "beta", "gamma"]), (False, 1, ["another", "text", "of"]), (False, 2, []), (False, 5, ["w0", "w1", "w2"]), (False, 6, ["x", "p0", "p1"]), (False, 9, ["é" * 10, "ß", "日本"]), (True, 0, ["a", "row", "without"])]
     assert simhash_anchor.near_duplicates(odd.where("false")).count() == simhash_anchor.keep_one(odd.where("false")).count() == 0
 
 
+def wide_classes(texts):
+    """Least place of each text's group, from all pairs of wide fingerprints."""
+    fp, _ = simhash_anchor.wide(pa.array(texts, pa.string()))
+    label, most = np.arange(len(fp)), simhash_anchor.most_differing(0.8)
+    for i in range(len(fp)):
+        near = np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]).sum(1, dtype=np.int64) <= most)
+        for j in set(label[near].tolist()):
+            low, high = sorted((j, label[i]))
+            label[label == high] = low
+    return label
+
+
+def test_keep_one_finds_what_is_alike(spark, sf):
+    df = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    kept = {r.doc_id for r in simhash_anchor.keep_one(df).select("doc_id").collect()}
+    pdf = df.select("doc_id", "text").toPandas().sort_values("doc_id").drop_duplicates("text").reset_index(drop=True)
+    sets = [shingles(t) for t in pdf.text]
+    at = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            at.setdefault(x, []).append(i)
+    shared = {}
+    for held in at.values():
+        for k, j in enumerate(held if len(held) < 200 else ()):
+            for i in held[:k]:
+                shared[i, j] = shared.get((i, j), 0) + 1
+    alike = [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    caught = [pdf.doc_id[j] not in kept for _, j in alike]
+    print("pairs", len(alike), "caught", sum(caught), "of", len(pdf), "kept", len(kept & set(pdf.doc_id)))
+    assert len(alike) > 30 and np.mean(caught) >= 0.9
+    near = {k for (i, j), n in shared.items() if n >= 0.65 * (len(sets[i]) + len(sets[j]) - n) for k in (i, j)}
+    alone = [pdf.doc_id[k] for k in range(len(pdf)) if k not in near and len(sets[k])]
+    assert set(alone) <= kept  # documents like no other stay
+
+
+def test_wide_fingerprints_estimate_likeness():
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 10**9, 1_200)]
+    for n in (0, 12, 24, 40, 100):
+        other = list(base)
+        for i in rng.choice(1_200, n, replace=False):
+            other[i] = f"z{i}"
+        fp, _ = simhash_anchor.wide(pa.array([" ".join(base), " ".join(other).upper()]))
+        differ = np.bitwise_count(fp[0] ^ fp[1]).sum(dtype=np.int64) / simhash_anchor.WIDE
+        cos = np.cos(np.pi * differ)
+        assert abs(cos / (2 - cos) - jaccard(shingles(" ".join(base)), shingles(" ".join(other)))) < 0.12
+    a, b = simhash_anchor.wide_forest(np.concatenate([fp[:1]] * 3 + [~fp[:1]]), 90)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(0, 1), (0, 2)]
+
+
 def test_anchors_meet():
     rng = np.random.default_rng(0)
     for m in (14, 16, 20, 24, 40):
@@ -698,7 +750,7 @@ def test_pipeline_equals_plain_python(spark, sf, docs, tok):
     model = crf.train(whole, spark.read.parquet(f"{sf}/labels.parquet"))
     score = model.score(*crf.features(pa.array(docs.text)))
     kept = docs[score >= 0.3]
-    root = classes([simhash_anchor.fingerprint(t.encode()) for t in kept.text])
+    root = wide_classes(list(kept.text))
     kept = kept[[i == r for i, r in enumerate(root)]]
     texts, first = {}, {}
     for d, t in zip(kept.doc_id, kept.text):
