@@ -9,6 +9,10 @@ from . import index
 from .retrieval import CHANNELS
 
 
+#: Entries up to which a grammar is broadcast.
+SMALL_GRAMMAR = 20_000
+
+
 def record_sets(records: DataFrame) -> DataFrame:
     """A record's token sets, built once per record: name (n), address (a), digit-led tokens (d), name 4-grams (g)."""
     n, a = tx.tokens(F.col("name")), tx.tokens(F.col("addr"))
@@ -122,12 +126,13 @@ def grammar_features(sets: DataFrame, grammar: DataFrame) -> DataFrame:
 
     abbrev_matched sums the fired name abbreviations' weights, abbrev_jaccard counts explained tokens as shared, forbidden
     counts fired forbidden entries of both fields and region the fired region entries of addresses. The grammar is a
-    configuration of some hundred entries and is broadcast.
+    configuration of some hundred entries, broadcast up to SMALL_GRAMMAR of them.
     """
     sides = sets.select("country", "q", "c", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), F.array_except(f"x.{k}", f"y.{k}").alias("xo"), F.array_except(f"y.{k}", f"x.{k}").alias("yo")) for f, k in (("name", "n"), ("addr", "a"))
     ])).alias("s")).select("country", "q", "c", "s.*")
-    g = F.broadcast(grammar.select("field", "kind", F.col("q").alias("gq"), F.col("c").alias("gc"), "w"))
+    g = grammar.select("field", "kind", F.col("q").alias("gq"), F.col("c").alias("gc"), "w")
+    g = F.broadcast(g) if grammar.count() <= SMALL_GRAMMAR else g
     fired = sides.join(g, "field").where((F.size(F.array_except("gq", "xo")) == 0) & (F.size(F.array_except("gc", "yo")) == 0))
     by_pair = fired.groupBy("country", "q", "c", "field").agg(
         F.sum(F.when(F.col("kind") == "abbrev", F.col("w")).otherwise(0.0)).alias("w"), F.sum(F.when(F.col("kind") == "region", 1).otherwise(0)).alias("region"),
@@ -150,8 +155,9 @@ def triangulation(scored: DataFrame, sets: DataFrame, anchors: int = 10) -> Data
     """How a pair agrees with its entity's other best candidates (the anchors, at most `anchors` by p).
 
     tri_nm: best 4-gram likeness to an anchor times its p; tri_nm_p: that anchor's p; tri_dg and tri_dg_p the same for
-    digits; tri_conf: anchors above one half that share a digit token; tri_rank: rank by p; tri_xsrc: best p of the other
-    source. Every pair meets at most `anchors` rows.
+    digits; tri_conf: anchors above one half that share a digit token; tri_rank: rank by p; tri_p: p; tri_xsrc: best p of the
+    other source; tri_xsrc_top: whether the entity's best candidate is of the other source. Every pair meets at most
+    `anchors` rows.
     """
     w = Window.partitionBy("country", "q").orderBy(F.desc("p"), "c")
     rows = scored.join(sets.select("country", "q", "c", "y"), ["country", "q", "c"]).withColumn("r", F.row_number().over(w))
@@ -170,9 +176,11 @@ def triangulation(scored: DataFrame, sets: DataFrame, anchors: int = 10) -> Data
         F.sum(F.when((F.col("pj") > 0.5) & F.arrays_overlap("y.d", "z.d"), 1).otherwise(0)).alias("tri_conf"),
         F.max(F.when(F.col("c").startswith("S3-") != F.col("j").startswith("S3-"), F.col("pj"))).alias("x"),
     )
-    base = rows.select("country", "q", "c", "p", F.rank().over(Window.partitionBy("country", "q").orderBy(F.desc("p"))).alias("rk"))
+    group = Window.partitionBy("country", "q")
+    top = F.max(F.when(F.col("r") == 1, F.col("c").startswith("S3-"))).over(group)
+    base = rows.withColumn("top", top).select("country", "q", "c", "p", (F.col("top") != F.col("c").startswith("S3-")).cast("int").alias("tri_xsrc_top"), F.rank().over(Window.partitionBy("country", "q").orderBy(F.desc("p"))).alias("rk"))
     z = F.lit(0.0)
     return base.join(got, ["country", "q", "c"], "left").select(
         "country", "q", "c", F.coalesce("a.nm", z).alias("tri_nm"), F.coalesce("a.pj", z).alias("tri_nm_p"), F.coalesce("b.dg", z).alias("tri_dg"), F.coalesce("b.pj", z).alias("tri_dg_p"),
-        F.coalesce("tri_conf", F.lit(0)).cast("long").alias("tri_conf"), (F.col("rk") - 1).cast("long").alias("tri_rank"), F.coalesce("x", z).alias("tri_xsrc"),
+        F.coalesce("tri_conf", F.lit(0)).cast("long").alias("tri_conf"), (F.col("rk") - 1).cast("long").alias("tri_rank"), F.col("p").alias("tri_p"), F.coalesce("x", z).alias("tri_xsrc"), "tri_xsrc_top",
     )

@@ -158,3 +158,30 @@ def gate(head: DataFrame, product: DataFrame, least: float = 0.55) -> DataFrame:
 def category_coverage(pairs: DataFrame) -> DataFrame:
     """(category, n, mean_p) of categorised pairs with p."""
     return pairs.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
+
+
+def break_even(f: Column) -> Column:
+    """The precision of "no match" from which abstaining is worth more than answers of score f."""
+    return f / (1 + f)
+
+
+def neighbour_coverage(pairs: DataFrame, owner: DataFrame, near: DataFrame) -> DataFrame:
+    """(pairs, covered, share): wrong candidates with an owner, and those whose owner is among the entity's neighbours."""
+    wrong = pairs.join(owner, ["country", "c"]).where("owner <> q").select("country", "q", "owner")
+    n = wrong.join(near.select("country", "q", F.col("c").alias("owner"), F.lit(1).alias("hit")), ["country", "q", "owner"], "left")
+    return n.agg(F.count("*").alias("pairs"), F.count("hit").alias("covered")).withColumn("share", F.round(F.col("covered") / F.col("pairs"), 6))
+
+
+def compare_policies(accepted: dict[str, DataFrame], truth: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
+    """(policy, f05, f05_chains, accepted) of several decisions: over all entities, and over those that share their name."""
+    from .decision import entity_scores
+
+    name = Window.partitionBy("country", "name")
+    size = records.where("src = 1").select("country", F.col("id").alias("q"), F.count("*").over(name).alias("size"))
+    out = None
+    for policy, rows in accepted.items():
+        s = entity_scores(rows, truth, entities).join(size, ["country", "q"])
+        one = s.agg(F.round(F.avg("f"), 6).alias("f05"), F.round(F.avg(F.when(F.col("size") > 1, F.col("f"))), 6).alias("f05_chains"), F.sum("k").alias("accepted"))
+        one = one.select(F.lit(policy).alias("policy"), "f05", "f05_chains", "accepted")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -68,9 +68,19 @@ def fingerprint(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
 
 
+def safe_name(country: str) -> str:
+    """A folder name for a country, different for different countries."""
+    plain = "".join(c if c.isalnum() or c in "-_" else "_" for c in country)
+    return plain if plain == country and country else f"{plain}-{hashlib.sha256(country.encode()).hexdigest()[:8]}"
+
+
+def _path(folder: str, country: str) -> str:
+    return f"{folder}/country={safe_name(country)}"
+
+
 def write_partial(df: DataFrame, folder: str, country: str, config: dict) -> None:
     """A country's rows and, last, its manifest: rows, their order-free digest and the configuration's."""
-    path = f"{folder}/country={country}"
+    path = _path(folder, country)
     df.write.mode("overwrite").parquet(f"{path}/rows")
     kept = df.sparkSession.read.parquet(f"{path}/rows")
     n, digest = kept.agg(F.count("*"), F.coalesce(F.expr(f"bit_xor(xxhash64({', '.join(kept.columns)}))"), F.lit(0))).first()
@@ -79,7 +89,7 @@ def write_partial(df: DataFrame, folder: str, country: str, config: dict) -> Non
 
 def check_partial(spark: SparkSession, folder: str, country: str, config: dict) -> str | None:
     """None if a country's rows can be reused, else why not."""
-    path = f"{folder}/country={country}"
+    path = _path(folder, country)
     try:
         m = spark.read.parquet(f"{path}/manifest").first()
         kept = spark.read.parquet(f"{path}/rows")
@@ -92,4 +102,26 @@ def check_partial(spark: SparkSession, folder: str, country: str, config: dict)
 
 
 def concat_partials(spark: SparkSession, folder: str, countries: list[str]) -> DataFrame:
-    return spark.read.parquet(*[f"{folder}/country={c}/rows" for c in countries])
+    return spark.read.parquet(*[f"{_path(folder, c)}/rows" for c in countries])
+
+
+def cardinality(spark: SparkSession, folder: str, country: str, column: str = "matched_ids") -> DataFrame:
+    """(k, n): a finished country's rows by how many records they hold."""
+    k = F.size(F.filter(F.split(column, ","), lambda x: x != ""))
+    return spark.read.parquet(f"{_path(folder, country)}/rows").groupBy(k.cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+def write_result(spark: SparkSession, folder: str, countries: list[str], out: str) -> dict[str, int]:
+    """Both result files (matches, candidates) of finished countries as tab-separated files with a header; rows, and rows with a match."""
+    rows = concat_partials(spark, folder, countries)
+    for column, to, name in (("matched_ids", "matched_entity_ids", "matches"), ("candidate_ids", "candidate_entity_ids", "candidates")):
+        write_tsv(rows.select(F.col("q").alias("source1_entity_id"), F.col(column).alias(to)), f"{out}/{name}")
+    n, hit = rows.agg(F.count("*"), F.sum((F.col("matched_ids") != "").cast("long"))).first()
+    return {"rows": n, "with a match": hit or 0}
+
+
+def clear(spark: SparkSession, folder: str, countries: list[str]) -> None:
+    """Remove finished countries' rows and manifests, and nothing else."""
+    for c in countries:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_path(folder, c))
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -249,6 +249,8 @@ query("cap_candidates", sql("SELECT country, q, c, round(max_chan, 6) AS max_cha
 query("s1_neighbours", sql("SELECT country, q, c, score FROM near"))(lambda w: w.near)
 query("xsrc_twin", sql("SELECT country, id, CAST(count(DISTINCT src) OVER (PARTITION BY country, lower(raw_name)) > 1 AS INTEGER) AS twin FROM r WHERE src <> 1"))(lambda w: retrieval.cross_source_twin(w.records, "raw_name"))
 query("record_owner", sql("SELECT country, c, owner FROM own"))(lambda w: w.owner)
+_AUDIT = "trim(regexp_replace(replace(lower(strip_accents({c})), 'ß', 'ss'), '[^0-9a-z]+', ' ', 'g'))"
+query("audit_norm", f"SELECT item_id, {_AUDIT.format(c='text')} AS norm FROM benchmark")(lambda w: w.table("benchmark").select("item_id", tx.norm_audit(F.col("text")).alias("norm")))
 query("benchmark_retrieval", f"""WITH r AS (SELECT item_id AS id, 1 AS src, {_REDUCED.format(c='text')} AS name FROM benchmark UNION ALL SELECT doc_id, 2, {_REDUCED.format(c='text')} FROM documents),
   t AS (SELECT DISTINCT id, src, unnest(string_split(name, ' ')) AS token FROM r), d AS (SELECT token, count(*) AS df FROM t WHERE src = 2 AND token <> '' GROUP BY ALL HAVING count(*) <= 50),
   p AS (SELECT id, src, token, idf / sqrt(sum(idf * idf) OVER (PARTITION BY src, id)) AS w FROM t JOIN (SELECT token, ln((SELECT count(*) FROM documents)::DOUBLE / df) AS idf FROM d) USING (token))
@@ -313,7 +315,7 @@ def _tri_sql() -> str:
         return f"round((CASE WHEN len(y{f}) + len(z{f}) - {i} > 0 THEN {i}::DOUBLE / (len(y{f}) + len(z{f}) - {i}) ELSE 0.0::DOUBLE END) * pj, 6)"
 
     return f"""SELECT b.country, b.q, b.c, coalesce(a.nm, 0.0::DOUBLE) AS tri_nm, coalesce(a.nmp, 0.0::DOUBLE) AS tri_nm_p, coalesce(a.dg, 0.0::DOUBLE) AS tri_dg, coalesce(a.dgp, 0.0::DOUBLE) AS tri_dg_p, coalesce(a.conf, 0) AS tri_conf,
-      rank() OVER (PARTITION BY b.country, b.q ORDER BY b.p DESC) - 1 AS tri_rank, coalesce(a.xs, 0.0::DOUBLE) AS tri_xsrc FROM sc b LEFT JOIN (
+      rank() OVER (PARTITION BY b.country, b.q ORDER BY b.p DESC) - 1 AS tri_rank, b.p AS tri_p, coalesce(a.xs, 0.0::DOUBLE) AS tri_xsrc, CAST(first_value(starts_with(b.c, 'S3-')) OVER (PARTITION BY b.country, b.q ORDER BY b.p DESC, b.c) <> starts_with(b.c, 'S3-') AS INTEGER) AS tri_xsrc_top FROM sc b LEFT JOIN (
       SELECT country, q, c, max(nm) AS nm, max(struct_pack(v := nm, pj := pj)).pj AS nmp, max(dg) AS dg, max(struct_pack(v := dg, pj := pj)).pj AS dgp, CAST(sum(CASE WHEN pj > 0.5 AND len(list_intersect(yd, zd)) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS conf, max(pj) FILTER (starts_with(c, 'S3-') <> starts_with(j, 'S3-')) AS xs
       FROM (SELECT *, {like('g')} AS nm, {like('d')} AS dg FROM (SELECT a.country, a.q, a.c, a.r, z.c AS j, z.p AS pj, z.r AS rj, a.yg, a.yd, z.yg AS zg, z.yd AS zd FROM tr a JOIN tr z ON a.country = z.country AND a.q = z.q AND a.c <> z.c) WHERE rj - CASE WHEN r < rj THEN 1 ELSE 0 END <= 10) GROUP BY ALL) a USING (country, q, c)"""
 
@@ -603,6 +605,14 @@ def _fit_report(w: Work) -> DataFrame:
     return translit_mining.report(pairs_.where(translit_mining.held_out("word")), own, translit_mining.fit(own, 3, 0.6, 2, 2))
 
 
+query("source_signatures")(lambda w: mining.signatures(w.mined))
+query("neighbour_coverage", sql("SELECT count(*) AS pairs, count(n.c) AS covered, round(count(n.c)::DOUBLE / count(*), 6) AS share FROM (SELECT s.country, s.q, o.owner FROM sc s JOIN own o ON s.country = o.country AND s.c = o.c WHERE o.owner <> s.q) x LEFT JOIN near n ON n.country = x.country AND n.q = x.q AND n.c = x.owner"))(
+    lambda w: scoring.neighbour_coverage(w.scored, w.owner, w.near)
+)
+query("policy_comparison", sql(f"SELECT policy, round(avg(f), 6) AS f05, round(avg(f) FILTER (size > 1), 6) AS f05_chains, sum(k)::BIGINT AS accepted FROM (SELECT 'choose_k' AS policy, * FROM es UNION ALL SELECT 'top2', * FROM ({oracle.entity('t2')})) e JOIN (SELECT country, id AS q, count(*) OVER (PARTITION BY country, name) AS size FROM r WHERE src = 1) USING (country, q) GROUP BY policy", t2="SELECT country, q, c FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY p DESC, c) AS rn FROM sc) WHERE rn <= 2"))(
+    lambda w: scoring.compare_policies({"choose_k": w.accepted, "top2": decision.fixed_top(w.scored, 2)}, w.truth, w.entities, w.records)
+)
+query("break_even", sql("SELECT country, q, round(f / (1 + f), 6) AS least FROM es"))(lambda w: decision.entity_scores(w.accepted, w.truth, w.entities).select("country", "q", F.round(scoring.break_even(F.col("f")), 6).alias("least")))
 query("translit_word_pairs")(_scripts)
 query("translit_unit_cuts")(lambda w: translit_mining.cut_units(_scripts(w)).select("word", "latin", F.array_join("subs", "|").alias("subs")))
 query("translit_options")(lambda w: translit_mining.match_rates(_scripts(w), {str(sorted(k for k, v in o.items() if v)): translit.Model(opts=o).by_units for o in translit_mining.OPTIONS}))

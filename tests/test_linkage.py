@@ -13,7 +13,7 @@ from kinweave.plans import end_to_end
 from kinweave.plans.catalog import ORACLES, QUERIES
 from kinweave.sources import records as src
 
-SOME = ["linkage_flagship", "norm_reduced", "channel_union", "pair_string_features", "grammar_features", "triangulation", "choose_k", "calibrate_fit", "decision_sweep", "abbreviations", "submission_rows", "fold_skeleton", "fn_categories", "miss_categories", "channel_report", "junk_affixes", "load_shard", "submission_bad_rows", "forbidden_pairs", "permutations", "density_verdict", "translit_units", "id_format", "owner_neighbours", "rank_spread", "rank_offsets", "record_signatures", "twin_rates", "random_pair_separability", "entity_split"]
+SOME = ["linkage_flagship", "norm_reduced", "channel_union", "pair_string_features", "grammar_features", "triangulation", "choose_k", "calibrate_fit", "decision_sweep", "abbreviations", "submission_rows", "fold_skeleton", "fn_categories", "miss_categories", "channel_report", "junk_affixes", "load_shard", "submission_bad_rows", "forbidden_pairs", "permutations", "density_verdict", "translit_units", "id_format", "owner_neighbours", "rank_spread", "rank_offsets", "record_signatures", "twin_rates", "random_pair_separability", "entity_split", "neighbour_coverage", "policy_comparison", "break_even"]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -275,13 +275,46 @@ def test_train_predict_and_resume(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(end_to_end, "train", lambda *a: pytest.fail("nothing is left to train"))
     assert {r.q: (r.matched_ids, r.candidate_ids) for r in end_to_end.run(spark, records, truth, folder, SMALL, 10, 4).collect()} == first
     monkeypatch.undo()
+    assert {r.k: r.n for r in submission.cardinality(spark, folder, "Mexico").collect()} == {sum(c != "" for c in first[q][0].split(",")): sum(len(list(filter(None, first[x][0].split(",")))) == len(list(filter(None, first[q][0].split(",")))) for x in ("S1-50", "S1-51")) for q in ("S1-50", "S1-51")}
+    got = submission.write_result(spark, folder, ["India", "Mexico"], str(tmp_path / "result"))
+    assert got == {"rows": 15, "with a match": sum(m != "" for m, _ in first.values())} and submission.safe_name("Côte d'Ivoire") != submission.safe_name("Côte d-Ivoire")
+    lines = spark.read.csv(str(tmp_path / "result" / "matches"), sep="\t", header=True).collect()
+    assert {(r.source1_entity_id, r.matched_entity_ids or "") for r in lines} == {(q, m) for q, (m, _) in first.items()}
     import shutil
 
     shutil.rmtree(f"{folder}/country=Mexico/rows")
     again = {r.q: (r.matched_ids, r.candidate_ids) for r in end_to_end.run(spark, records, truth, folder, SMALL, 10, 4).collect()}
+    submission.clear(spark, folder, ["Mexico"])
+    assert submission.check_partial(spark, folder, "Mexico", {}).startswith("no partial") and submission.check_partial(spark, folder, "India", {}) == "another configuration"
     assert {q: v for q, v in again.items() if q < "S1-50"} == {q: v for q, v in first.items() if q < "S1-50"} and len(again) == 15
 
 
+def test_profile_and_sources(spark, tmp_path):
+    import time
+
+    from kinweave.operators.profiling import Profile
+    from kinweave.sources import checks
+
+    p = Profile()
+    with p.stage("outer", 10):
+        with p.stage("inner"):
+            time.sleep(0.05)
+    rows = {r[0]: r for r in p.table()}
+    assert rows["inner"][1] >= 0.05 > rows["outer"][1] and rows["outer"][2] == 10 and rows["outer"][4] > 0 and Profile(False).table() == []
+    (tmp_path / "t.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-2\nS1-2\t\n")
+    truth = src.read_truth_tsv(spark, str(tmp_path / "t.tsv"))
+    assert [(r[0], r[1]) for r in truth.orderBy("source1_entity_id").collect()] == [("S1-1", "S2-1,S3-2"), ("S1-2", "")]
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "country string, v int")
+    for part in (df, df.where("country = 'b'").withColumn("v", F.lit(9))):
+        src.write_partitioned(part, str(tmp_path / "parts"))
+    assert {(r.country, r.v) for r in spark.read.parquet(str(tmp_path / "parts")).collect()} == {("a", 1), ("b", 9)}
+    assert src.file_stamp(spark.read.parquet(str(tmp_path / "parts"))).count() == 2
+    assert [r.n for r in spark.createDataFrame([("ﬁne Œuvre №",), (None,)], "t string").select(tx.norm_audit(F.col("t")).alias("n")).collect()] == ["fine uvre no", ""]
+    (tmp_path / "bad.tsv").write_text("q\tids\nS1-1\tS2-1\nS1-1\tS2-1\nS1-2\tS2-2\tx\nS1-3\t\r\nq\tids\n")
+    assert {r.check: r.n for r in checks.check_tsv(spark, str(tmp_path / "bad.tsv"), "q\tids").collect()} == {"header": 1, "carriage return": 1, "fields": 1, "repeated row": 1, "repeated id": 1}
+    assert {r.q: r.c for r in checks.read_result(spark, str(tmp_path / "t.tsv"), "c").collect()} == {"S1-1": ["S2-1", "S3-2"], "S1-2": []}
+
+
 def test_random_pairs_and_splits(spark):
     records, _ = two_countries(spark)
     got = probes.random_pairs(records, 2).collect()
