@@ -57,7 +57,10 @@ def _key(name: str, attrs: str) -> tuple[str, bool, bool]:
     words = " ".join(b or c or d for a, b, c, d in _ATTR.findall(attrs)).lower() if attrs else ""
     chrome = name in _CHROME or bool(words and _CHROME_WORD.search(words))
     main = not chrome and (name in _MAIN or bool(words and name not in _INLINE and _MAIN_WORD.search(words)))
-    return name + ("." + re.sub(r"\d+", "0", words)[:40] if words else ""), chrome, main
+    words = re.sub(r"\d+", "0", words)
+    if len(words) > 40:  # long ones by a digest
+        words = f"{words[:24]}~{xxhash.xxh64_hexdigest(words.encode('utf-8', 'surrogatepass'))}"
+    return name + ("." + words if words else ""), chrome, main
 
 
 class Page:
