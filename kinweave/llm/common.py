@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -58,7 +59,8 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{qualified(spark, shared_dir(spark)).rstrip('/')}/kinweave-{uuid.uuid4().hex}"
-        self._fs().deleteOnExit(self._path(self.folder))
+        self._fs().mkdirs(self._path(self.folder))
+        self._fs().deleteOnExit(self._path(self.folder))  # of a folder that is there
 
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
@@ -115,3 +117,13 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) ->
         total += n
     if at < len(sizes):
         yield batch.slice(at)
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a batch needed back to the machine: workers live on beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # no glibc
+        pass

@@ -15,7 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@functools.lru_cache(maxsize=6)
+@functools.lru_cache(maxsize=4)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base mod 2**64 and of its inverse."""
     with np.errstate(over="ignore"):
@@ -28,8 +28,9 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    # Few sizes, so that a worker holds few tables: one for words, one for the bytes of a usual chunk, then powers of two.
-    return _powers(base, next((s for s in (1 << 18, (1 << 20) + 64, (1 << 21) + 64) if n < s), 1 << int(n).bit_length()))
+    # Few sizes, so that a worker holds few tables: one for words, one for the bytes of a usual chunk; a longer text's own go with it.
+    size = next((s for s in (1 << 18, (1 << 20) + 64) if n < s), None)
+    return _powers.__wrapped__(base, n) if size is None else _powers(base, size)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -72,11 +73,15 @@ def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: n
     size = ends - starts
     same = size == other_ends - others
     size = np.where(same, size, 0)
-    first = np.cumsum(size) - size
-    at = np.repeat(starts - first, size) + np.arange(int(size.sum()))
-    unequal = data[at] != data[at + np.repeat(others - starts, size)]
-    if unequal.any():
-        same[np.searchsorted(first, np.flatnonzero(unequal), "right") - 1] = False
+    total = np.cumsum(size)
+    cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, 1 << 18), "right"))
+    for s, e in zip(cuts, [*cuts[1:], len(size)]):  # a few bytes at a time
+        n = size[s:e]
+        first = np.cumsum(n) - n
+        at = np.repeat(starts[s:e] - first, n) + np.arange(int(n.sum()))
+        unequal = data[at] != data[at + np.repeat(others[s:e] - starts[s:e], n)]
+        if unequal.any():
+            same[s + np.searchsorted(first, np.flatnonzero(unequal), "right") - 1] = False
     return same
 
 

@@ -19,7 +19,7 @@ from .textkernel import hash_spans, lower, same_spans, utf8
 
 END = 2
 #: Runs and bytes of runs that the memo holds; it starts anew beyond that.
-MEMO, MEMO_BYTES = 400_000, 16 << 20
+MEMO, MEMO_BYTES = 250_000, 8 << 20
 _GAP, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[[0x20, 0x0A]] = _GAP
