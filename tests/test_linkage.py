@@ -347,3 +347,22 @@ def test_incremental_linking(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.q, r.c) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("S1-1", "S2-9")]
+
+
+def test_top_k_by_blocks(spark, monkeypatch):
+    """Blocks far smaller than a country give the rows that all pairs give: copies, ties, texts without an answer, oneself."""
+    from kinweave.operators import index, retrieval, topk
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = [("x" if i % 5 else "y", f"S{1 + i % 3}-{i}", 1 + i % 3, " ".join(rng.choices(words, k=rng.randint(0, 4)))) for i in range(400)]
+    rows += [("x", f"S{1 + i % 3}-{i}", 1 + i % 3, "w1 w2 w3") for i in range(400, 460)]
+    records = spark.createDataFrame(rows, "country string, id string, src int, name string")
+    post = index.postings(records, "name", 120)
+    seen = []
+    monkeypatch.setattr(topk, "best", lambda a, b, k, f=topk.best: (seen.append(k), f(a, b, k, (8, 16)))[1])
+    for answer, got in (("src <> 1", retrieval.token_top_k(records, "name", 120, 7)), ("src = 1", retrieval.neighbours(records, "name", 120, 7))):
+        a, b = post.where("src = 1").withColumnsRenamed({"id": "q", "w": "wq"}).drop("src"), post.where(answer).withColumnsRenamed({"id": "c", "w": "wc"}).drop("src")
+        want = retrieval.top_k(a.join(b, ["country", "token"]).where("q <> c").groupBy("country", "q", "c").agg(F.round(F.sum(F.col("wq") * F.col("wc")), 6).alias("score")), 7)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert seen == [8, 8]
