@@ -360,7 +360,7 @@ def test_top_k_by_blocks(spark, monkeypatch):
     records = spark.createDataFrame(rows, "country string, id string, src int, name string")
     post = index.postings(records, "name", 120)
     seen = []
-    monkeypatch.setattr(topk, "best", lambda a, b, k, f=topk.best: (seen.append(k), f(a, b, k, (8, 16)))[1])
+    monkeypatch.setattr(topk, "best", lambda v, k, f=topk.best: (seen.append(k), f(v, k, (8, 16)))[1])
     for answer, got in (("src <> 1", retrieval.token_top_k(records, "name", 120, 7)), ("src = 1", retrieval.neighbours(records, "name", 120, 7))):
         a, b = post.where("src = 1").withColumnsRenamed({"id": "q", "w": "wq"}).drop("src"), post.where(answer).withColumnsRenamed({"id": "c", "w": "wc"}).drop("src")
         want = retrieval.top_k(a.join(b, ["country", "token"]).where("q <> c").groupBy("country", "q", "c").agg(F.round(F.sum(F.col("wq") * F.col("wc")), 6).alias("score")), 7)
