@@ -366,3 +366,32 @@ def test_top_k_by_blocks(spark, monkeypatch):
         want = retrieval.top_k(a.join(b, ["country", "token"]).where("q <> c").groupBy("country", "q", "c").agg(F.round(F.sum(F.col("wq") * F.col("wc")), 6).alias("score")), 7)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert seen == [8, 8]
+
+
+def test_joins_before_features_carry_texts_alone(spark):
+    """Sets are made behind the joins, so no shuffle holds one; empty texts and copies have their features."""
+    from kinweave.operators import pairs
+
+    texts = [("a b", "1 x"), ("a b", ""), ("", "1 x"), ("abcd e", "2 x y"), ("abcde", "2")]
+    records = spark.createDataFrame([("x", f"S{1 + i % 3}-{i}", *t) for i, t in enumerate(texts)], "country string, id string, name string, addr string")
+    cand = records.select("country", F.col("id").alias("q")).crossJoin(records.select(F.col("id").alias("c")))
+    sets = pairs.with_sets(cand, records)
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan[plan.index("Join") :]
+    got = {(r.q, r.c): r for r in pairs.string_features(sets).collect()}
+    assert len(got) == 25
+    copy, other = got["S1-0", "S2-1"], got["S1-3", "S2-4"]
+    assert (copy.nm_jac, copy.nm_exact, copy.ad_jac, copy.ad_empty_q, copy.ad_empty_c) == (1.0, 1, 0.0, 0, 1)
+    assert (other.nm_jac, other.nm_4gram, other.nm_lenratio, other.ad_jac, other.ad_cont) == (0.0, 1.0, 0.833333, 0.333333, 1.0)
+    assert (got["S3-2", "S3-2"].nm_exact, got["S3-2", "S3-2"].nm_lenratio) == (0, 0.0)
+
+
+def test_channels_meet_once(spark, sf):
+    """Pair matches counted in the union give the channels' own scores, and a channel's bit says that it found a pair."""
+    from kinweave.operators import retrieval
+    from kinweave.plans.linkage import Work
+
+    records = Work.of(spark, sf).records
+    got = retrieval.all_channels(records, SMALL)
+    want = retrieval.union_channels(retrieval.channels(records, SMALL))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
