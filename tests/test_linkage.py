@@ -395,3 +395,33 @@ def test_channels_meet_once(spark, sf):
     got = retrieval.all_channels(records, SMALL)
     want = retrieval.union_channels(retrieval.channels(records, SMALL))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def _rows_of_joins(plan) -> list[int]:
+    """Rows that each join of an executed plan gave."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _rows_of_joins(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return _rows_of_joins(plan.plan())
+    kids = plan.children()
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    return own + [n for i in range(kids.size()) for n in _rows_of_joins(kids.apply(i))]
+
+
+def test_nearest_owner_makes_no_pairs_of_a_name(spark):
+    """Against all pairs of a name: ties, equal numbers under different ids, names without an owner; joins give a row a record."""
+    from kinweave.operators import retrieval
+
+    rng = random.Random(5)
+    rows = [(rng.choice("xy"), f"S{s}-{rng.choice(['', '0'])}{rng.randint(0, 150)}", s, rng.choice(["n", "m", "", None])) for s in rng.choices((1, 2, 3), k=600)]
+    rows += [("x", "S2-7", 2, "lone")]
+    frame = retrieval.nearest_owner(spark.createDataFrame(rows, "country string, id string, src int, name string"))
+    got = {(r.country, r.c): r.owner for r in frame.collect()}
+    want = {}
+    for country, c, s, name in rows:
+        near = [(abs(int(q[3:]) - int(c[3:])), q) for at, q, t, other in rows if s > 1 == t and at == country and other == name is not None]
+        if near:
+            want[country, c] = min([*near, *([want[country, c]] if (country, c) in want else [])])
+    assert got == {k: v[1] for k, v in want.items()}
+    assert max(_rows_of_joins(frame._jdf.queryExecution().executedPlan())) <= len(rows)
