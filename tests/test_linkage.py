@@ -425,3 +425,17 @@ def test_nearest_owner_makes_no_pairs_of_a_name(spark):
             want[country, c] = min([*near, *([want[country, c]] if (country, c) in want else [])])
     assert got == {k: v[1] for k, v in want.items()}
     assert max(_rows_of_joins(frame._jdf.queryExecution().executedPlan())) <= len(rows)
+
+
+def test_blocks_of_small_countries_go_to_tasks_by_number(spark, monkeypatch):
+    """Countries have several blocks, tasks several countries' blocks; the rows are those of one block a country."""
+    from kinweave.operators import retrieval, topk
+
+    rng = random.Random(8)
+    rows = [(f"x{i % 3}", f"S{1 + i % 3}-{i}", 1 + i // 3 % 3, " ".join(rng.choices([f"w{j}" for j in range(25)], k=rng.randint(0, 4)))) for i in range(400)]
+    records = spark.createDataFrame(rows, "country string, id string, src int, name string")
+    want = sorted(map(tuple, retrieval.token_top_k(records, "name", 120, 5).collect()))
+    monkeypatch.setattr(topk, "LEAST", 16)
+    for tasks in (topk.TASKS, 5):
+        monkeypatch.setattr(topk, "TASKS", tasks)
+        assert sorted(map(tuple, retrieval.token_top_k(records, "name", 120, 5).collect())) == want
