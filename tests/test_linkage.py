@@ -439,3 +439,32 @@ def test_blocks_of_small_countries_go_to_tasks_by_number(spark, monkeypatch):
     for tasks in (topk.TASKS, 5):
         monkeypatch.setattr(topk, "TASKS", tasks)
         assert sorted(map(tuple, retrieval.token_top_k(records, "name", 120, 5).collect())) == want
+
+
+def test_keys_and_ranks_are_made_once(spark):
+    """A channel's keys are not made anew for each side, and accepted pairs come from windows of one order."""
+    from kinweave.operators import retrieval
+
+    records = spark.createDataFrame([("x", f"S{1 + i % 3}-{i}", 1 + i % 3, f"a b{i % 4} c{i % 5}") for i in range(60)], "country string, id string, src int, name string")
+    plan = retrieval.rarest_pair(records, "name", SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    scored = spark.createDataFrame([("x", "a", "r1", 0.9), ("x", "a", "r2", 0.9), ("x", "a", "r3", 0.1)], "country string, q string, c string, p double")
+    chosen = decision.choose_k(scored, decision.product_p_zero(scored, scored.select("country", "q").distinct()))
+    assert sorted(r.c for r in chosen.collect()) == ["r1", "r2"]
+    windows = [x for x in chosen._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "ASC" in x]
+    assert windows and all("p#" in x and "DESC" in x for x in windows)
+
+
+def test_sweep_reads_its_pairs_once(spark):
+    """All policies are counted in one pass; entities without pairs, true links that no channel found."""
+    scored = spark.createDataFrame([("x", "a", "r1", 0.9), ("x", "a", "r2", 0.4), ("x", "b", "r3", 0.2)], "country string, q string, c string, p double")
+    truth = spark.createDataFrame([("x", "a", "r1"), ("x", "b", "r9"), ("x", "b", "r9")], "country string, q string, c string")
+    entities = spark.createDataFrame([("x", q) for q in "abd"], "country string, q string")
+    p_zero = decision.product_p_zero(scored, entities)
+    frame = decision.sweep(scored, p_zero, truth, entities, top=(1, 2), thresholds=(0.3,), recalls=(1.0,), lifts=(0.5,))
+    got = {r.policy: r.f05 for r in frame.collect()}
+    for name, accepted in (("top1", decision.fixed_top(scored, 1)), ("top2", decision.fixed_top(scored, 2)), ("above0.3", decision.above(scored, 0.3)), ("recall1.0", decision.choose_k(scored, p_zero))):
+        assert got[name] == decision.entity_scores(accepted, truth, entities).agg(F.round(F.avg("f"), 6)).first()[0]
+    assert set(got) == {"top1", "top2", "above0.3", "recall1.0", "lift0.5"}
+    once = decision.sweep(scored, spark.range(1).selectExpr("'x' as country", "'a' as q", "0.1D as p_zero"), truth, spark.range(1).selectExpr("'x' as country", "'a' as q"))
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
