@@ -468,3 +468,14 @@ def test_sweep_reads_its_pairs_once(spark):
     assert set(got) == {"top1", "top2", "above0.3", "recall1.0", "lift0.5"}
     once = decision.sweep(scored, spark.range(1).selectExpr("'x' as country", "'a' as q", "0.1D as p_zero"), truth, spark.range(1).selectExpr("'x' as country", "'a' as q"))
     assert once._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+def test_misses_look_for_lost_links_once(spark):
+    """Links that no channel found are kept before each field's tokens are joined to them."""
+    from kinweave.operators import evaluate
+
+    records = spark.createDataFrame([("x", "S1-1", 1, "a b", "1"), ("x", "S2-2", 2, "a c", "2"), ("x", "S2-3", 2, "d", "3")], "country string, id string, src int, name string, addr string")
+    truth = spark.createDataFrame([("x", "S1-1", "S2-2"), ("x", "S1-1", "S2-3")], "country string, q string, c string")
+    got = evaluate.misses(truth.limit(0), truth, records, 5, 5)
+    assert {(r.category, r.n) for r in got.collect()} == {("reachable", 1), ("no signal", 1)}
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
