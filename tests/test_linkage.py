@@ -479,3 +479,37 @@ def test_misses_look_for_lost_links_once(spark):
     got = evaluate.misses(truth.limit(0), truth, records, 5, 5)
     assert {(r.category, r.n) for r in got.collect()} == {("reachable", 1), ("no signal", 1)}
     assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _corrupted(rng, n):
+    words = "a b sbi state bank india limited ltd corp corporation sharma store stores 12 13 10034 1 mill road rd mh maharashtra ibm international business machines".split()
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 6))] for _ in range(n)]
+    pairs_ = [(x, [t for t in x if rng.random() < 0.8] + [rng.choice(words) for _ in range(rng.randint(0, 2))]) for x in texts]
+    long = [f"a{i}" for i in range(130)]
+    return [(" ".join(x), " ".join(y)) for x, y in pairs_] + [("sbi limited", "state bank india limited"), ("state bank india limited", "sbi limited"), (" ".join(long), " ".join(long[5:])), (" ".join(long[:30]), "z"), (None, "a"), ("a", None)]
+
+
+def test_mining_counts_where_the_texts_are(spark):
+    """Facts are those of the pairs one by one, and neither pairs nor events are shuffled."""
+    rng = random.Random(11)
+    rows = [(("x", "y")[i % 2], f"S{2 + i % 3 % 2}-{i}", "name", x, y) for i, (x, y) in enumerate(_corrupted(rng, 400) * 2)]
+    mined = mining.mine(spark.createDataFrame(rows, "country string, c string, field string, x string, y string"))
+    assert "Exchange" not in _plan(mined)
+    want, tokens, states = {}, {}, {}
+    for country, c, field, x, y in rows:
+        state, events = mining.events_of(x or "", y or "")
+        states[c[:2], state] = states.get((c[:2], state), 0) + 1
+        for e in events if state == "confident" else []:
+            n, places = want.get((country, c[:2], *e[:3]), (0, 0.0))
+            want[country, c[:2], *e[:3]] = (n + 1, places + e[3])
+        for t in x.split() if state == "confident" else []:
+            tokens[t] = tokens.get(t, 0) + 1
+    got = {(r.country, r.src, r.kind, r.a, r.b): (r.n, r.places) for r in mining.event_table(mined).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()} and all(abs(got[k][1] - p) < 1e-6 for k, (_, p) in want.items())
+    assert {"contract", "expand", "swap", "insert", "drop", "abbrev", "typo"} <= {k[2] for k in got} and {r.a: r.n_a for r in mining.confident_tokens(mined).collect()} == tokens
+    found = {(r.src, s): r[s] for r in mining.provenance(mined).collect() for s in mining.STATES if r[s]}
+    assert found == states and {s for _, s in states} == set(mining.STATES)
