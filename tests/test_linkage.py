@@ -513,3 +513,36 @@ def test_mining_counts_where_the_texts_are(spark):
     assert {"contract", "expand", "swap", "insert", "drop", "abbrev", "typo"} <= {k[2] for k in got} and {r.a: r.n_a for r in mining.confident_tokens(mined).collect()} == tokens
     found = {(r.src, s): r[s] for r in mining.provenance(mined).collect() for s in mining.STATES if r[s]}
     assert found == states and {s for _, s in states} == set(mining.STATES)
+
+
+def test_aligned_moves_no_texts(spark):
+    """Rows are those of the pairs one by one, and the pairs do not meet their alignments in a join."""
+    rows = [("x", f"S1-{i}", f"S2-{i}", x, y) for i, (x, y) in enumerate(_corrupted(random.Random(12), 300))]
+    out = mining.aligned(spark.createDataFrame(rows, "country string, q string, c string, x string, y string"))
+    assert "Exchange" not in _plan(out) and "Join" not in _plan(out)
+    want = []
+    for _, q, _, x, y in rows:
+        a, b = [*(x or "").split(), ""], [*(y or "").split(), ""]
+        got = mining.align_tokens(x or "", y or "")
+        want += [(q, "", "", 0.0, 1)] if got is None else [(q, a[i], b[j], s, 0) for i, j, s in got]
+    assert sorted((r.q, r.a, r.b, r.score, r.skipped) for r in out.collect()) == sorted(want)
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from kinweave.checkpoints import kept
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = disk.getAllFiles()
+        return {names.apply(i).getName() for i in range(names.size()) if names.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    out = kept(spark.range(20_000).groupBy((F.col("id") % 500).alias("k")).agg(F.count("*").alias("n")))
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before and out.count() == 500 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
