@@ -546,3 +546,10 @@ def test_kept_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert not shuffles() - before and out.count() == 500 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_abstention_needs_no_ranks(spark):
+    scored = spark.createDataFrame([("x", "S1-1", "S2-1", 0.2), ("x", "S1-1", "S2-2", 0.6), ("x", "S1-2", "S2-1", 0.1)], "country string, q string, c string, p double")
+    p_zero = spark.createDataFrame([("x", "S1-1", 0.5), ("x", "S1-2", 0.0), ("x", "S1-3", 1.0)], "country string, q string, p_zero double")
+    out = decision.abstention_scales(scored, p_zero)
+    assert "Window" not in _plan(out) and {r.q: r.s for r in out.collect()} == {"S1-1": 0.6 * decision.FIRST_FACTOR / 0.5, "S1-2": 0.1 * decision.FIRST_FACTOR / 1e-300}
