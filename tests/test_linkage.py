@@ -553,3 +553,39 @@ def test_abstention_needs_no_ranks(spark):
     p_zero = spark.createDataFrame([("x", "S1-1", 0.5), ("x", "S1-2", 0.0), ("x", "S1-3", 1.0)], "country string, q string, p_zero double")
     out = decision.abstention_scales(scored, p_zero)
     assert "Window" not in _plan(out) and {r.q: r.s for r in out.collect()} == {"S1-1": 0.6 * decision.FIRST_FACTOR / 0.5, "S1-2": 0.1 * decision.FIRST_FACTOR / 1e-300}
+
+
+@pytest.mark.parametrize("fine", [1, 1024])
+def test_breakpoints_by_buckets(spark, monkeypatch, fine):
+    """Cuts are those of all values in order, though only one bucket of them is put in order."""
+    monkeypatch.setattr(decision, "FINE", fine)
+    rng, points, want, expect = random.Random(fine), [], [], {}
+    for k in range(40):
+        v = [rng.choice([0.0, round(rng.uniform(0, 3), 2), rng.uniform(0, 1e-3), rng.expovariate(0.01), float("inf")]) for _ in range(rng.randint(1, 60))]
+        w = rng.uniform(-5, 70)
+        points += [(f"c{k}", x) for x in v]
+        want.append((f"c{k}", w))
+        steps = sorted(set(v))
+        cuts = [(0.0, 0, steps[0])] + [(x, sum(y <= x for y in v), steps[i + 1] if i + 1 < len(steps) else None) for i, x in enumerate(steps)]
+        x, _, after = min(cuts, key=lambda c: (abs(c[1] - max(w, 0)), c[1]))
+        mid = (x * 2 if x > 0 else 1.0) if after in (None, float("inf")) else after / 2 if x <= 0 else (x * after) ** 0.5
+        expect[f"c{k}"] = min(1e4, max(1e-4, mid))
+    got = decision.solve_breakpoint(spark.createDataFrame(points, "country string, v double"), spark.createDataFrame(want, "country string, want double"), 1e-4, 1e4)
+    got = {r.country: r.x for r in got.collect()}
+    assert got.keys() == expect.keys() and all(abs(got[k] - x) <= 1e-12 * x for k, x in expect.items())
+
+
+def test_stopping_ratios_move_no_candidates(spark):
+    rng = random.Random(4)
+    rows = [("x", f"S1-{i % 30}", f"S2-{i}", round(rng.random(), 1)) for i in range(400)]
+    scored = spark.createDataFrame(rows, "country string, q string, c string, p double")
+    out = decision.stop_ratios(scored, scored.select("country", "q").distinct())
+    moved = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    want = []
+    for q in {r[1] for r in rows}:
+        p, least = sorted((r[3] for r in rows if r[1] == q), reverse=True), float("inf")
+        for k in range(1, len(p)):
+            bar = 0.8 * 1.25 * sum(p[:k]) / (0.25 * max(sum(p), 1e-9) + k)
+            least = min(least, p[k] / bar if bar > 0 else float("inf") if p[k] > 0 else 0.0)
+            want.append((q, k, round(least, 9)))
+    assert moved and not any(" c#" in line or ",c#" in line or "[c#" in line for line in moved) and sorted((r.q, r.k, round(r.m, 9)) for r in out.collect()) == sorted(want)
