@@ -5,7 +5,9 @@ begins in several documents is a repeated edge; what goes is found on paths of t
 
 1. Cutting: consecutive windows that share a minimizer (the least hash among their 16-word k-mers, leftmost first) are
    one piece, so equal windows always lie in pieces of equal minimizer. Pieces are named by a digest of their words;
-   those whose minimizer is of one document alone hold no repeated edge and drop out.
+   those whose minimizer is of one document alone hold no repeated edge and drop out. What goes of a document depends on
+   a window's words only, so a piece that its text has had before is left out, and step 4 finds it again: a line that a
+   text repeats a thousand times is two or three pieces.
 2. Branches: where a minimizer has one piece only, the piece is a path. Where it has several, their windows become edges,
    the in- and out-edges of every node are counted, and pieces are cut into segments at nodes that branch. The end
    of a piece counts as an edge of its own, so windows of one segment occur together or not at all.
@@ -13,7 +15,8 @@ begins in several documents is a repeated edge; what goes is found on paths of t
    that only ever follow each other become one path. The end of a document, or of what step 1 kept, is a neighbour too,
    so every occurrence of a path is whole.
 4. Verification: the smallest document of a path is its source. Its words at the path's coordinates are read again, and
-   every later occurrence compares its own; then all later occurrences go.
+   every later occurrence compares its own; then all later occurrences go, and with them the same windows of pieces that
+   their text repeats.
 
 Digests are 128 bits of keyed BLAKE2b over the words' bytes (branches compare 64 of them, among the edges of one node
 or one segment only), under a key drawn for each call, so that no text can be made to clash.
@@ -67,22 +70,52 @@ class Spaced:
         return np.frombuffer(got, "<i8").reshape(-1, 2)
 
 
-def pieces(words: Words, window: int, kmer: int, key: bytes) -> dict[str, np.ndarray]:
-    """Pieces of many texts: text, pos (first word of the first window, in its text), n (windows), h, c, c2."""
+def cuts(words: Words, window: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where many texts are cut: each piece's text, first word (of all texts' words), number of windows and minimizer."""
     hashes = words.hashes()
     gram = Grams(hashes)
     at, _ = windows(words, window)
     if not len(at):
-        return {k: np.zeros(0, np.int64) for k in ("text", "pos", "n", "h", "c", "c2")}
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     all_k = np.arange(len(hashes) - kmer + 1)
     k_hash = gram(all_k, all_k + kmer, 1)
     least = sliding_argmin(k_hash, window - kmer + 1)[at]  # windows lie within a text, and so do their k-mers
     text = words.text_of()[at]
     new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))
-    n = np.diff(np.concatenate([new, [len(at)]]))
-    first = at[new]
-    name = Spaced(words, key).digests(first, first + n - 1 + window)
-    return {"text": text[new], "pos": first - words.first[text[new]], "n": n, "h": k_hash[least[new]].view(np.int64), "c": name[:, 0], "c2": name[:, 1]}
+    return text[new], at[new], np.diff(np.concatenate([new, [len(at)]])), k_hash[least[new]].view(np.int64)
+
+
+def firsts(*keys: np.ndarray) -> np.ndarray:
+    """For each row the first row of the same keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]
+    return out
+
+
+def pieces(words: Words, window: int, kmer: int, key: bytes) -> dict[str, np.ndarray]:
+    """Distinct pieces of each of many texts: text, pos (first word of the first window, in its text), n (windows), h, c, c2."""
+    text, at, n, h = cuts(words, window, kmer)
+    name = Spaced(words, key).digests(at, at + n - 1 + window)
+    one = np.flatnonzero(firsts(text, name[:, 0], name[:, 1]) == np.arange(len(text)))
+    return {"text": text[one], "pos": (at - words.first[text])[one], "n": n[one], "h": h[one], "c": name[one, 0], "c2": name[one, 1]}
+
+
+def repeats(words: Words, window: int, kmer: int, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces that pieces() leaves out: text, pos of the same piece before (in its text), own pos and n."""
+    text, at, n, h = cuts(words, window, kmer)
+    lead = firsts(text, h)
+    some = np.flatnonzero(np.bincount(lead, minlength=len(lead))[lead] > 1)  # few, as a rule
+    text, at, n = text[some], at[some], n[some]
+    if not len(some):
+        return text, at, at, n
+    name = Spaced(words, key).digests(at, at + n - 1 + window)
+    lead = firsts(text, name[:, 0], name[:, 1])
+    late = np.flatnonzero(lead != np.arange(len(lead)))
+    pos = at - words.first[text]
+    return text[late], pos[lead[late]], pos[late], n[late]
 
 
 def _cut_texts(window: int, kmer: int, key: bytes):
@@ -181,27 +214,35 @@ def _read_sources(window: int, key: bytes):
     return run
 
 
-def covered(words: Words, owner: np.ndarray, pos: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
-    """Whether a window to go covers each word."""
-    depth = np.zeros(len(words.starts) + 1, np.int64)
-    at = words.first[owner] + pos
-    np.add.at(depth, at, 1)
-    np.add.at(depth, at + n - 1 + window, -1)
-    return np.cumsum(depth)[:-1] > 0
+def covered(words: Words, at: np.ndarray, n: np.ndarray, window: int, before: np.ndarray, again: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether a window to go covers each word: n windows from each word `at`; of the m from `again` those that go from `before`."""
+    turn = np.zeros(len(words.starts) + 1, np.int64)
+    np.add.at(turn, at, 1)
+    np.add.at(turn, at + n, -1)
+    go = np.cumsum(turn)[:-1] > 0
+    step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    go[np.repeat(again, m) + step] = go[np.repeat(before, m) + step]
+    total = np.concatenate([[0], np.cumsum(go)])
+    end = np.arange(1, len(go) + 1)
+    return total[end] > total[np.maximum(end - window, 0)]  # windows lie within a text
 
 
-def _finish(window: int, keep_text: bool, key: bytes):
+def _finish(window: int, keep_text: bool, key: bytes, kmer: int = KMER):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, column in _unpack(batches):
             data, offsets = utf8(column)
             words = Words(data, offsets)
             owner, pos, n, d, d2 = _flat(part.column("spans"), ("pos", "n", "d", "d2"))
+            gone = np.zeros(len(words.starts), bool)
             if len(owner):
                 first = words.first[owner] + pos
                 own = Spaced(words, key).digests(first, first + n - 1 + window)
                 if (own[:, 0] != d).any() or (own[:, 1] != d2).any():
                     raise RuntimeError("a repeated passage differs from its source's words")
-            gone = covered(words, owner, pos, n, window)
+                some = np.unique(owner)
+                text, before, again, m = repeats(Words(*utf8(column.take(pa.array(some)))), window, kmer, key)
+                base = words.first[some[text]]
+                gone = covered(words, first, n, window, base + before, base + again, m)
             removed = np.concatenate([[0], np.cumsum(gone)])
             removed = removed[words.first[1:]] - removed[words.first[:-1]]
             raw, texts = data.tobytes(), []
@@ -240,7 +281,7 @@ _ADJACENT = "coalesce(shiftright(e.span, 32) = shiftright(get(chain, k - 1).span
 
 
 def shared_pieces(src: DataFrame, window: int, kmer: int, key: bytes) -> DataFrame:
-    """(id, tid, span, c, c2, several): pieces whose minimizer occurs under several ids; several: in several pieces."""
+    """(id, tid, span, c, c2, several): each text's pieces whose minimizer occurs under several ids; several: in several pieces."""
     every = src.mapInArrow(_cut_texts(window, kmer, key), "id long, tid long, span long, h long, c long, c2 long")
     ends = every.groupBy("h").agg(*[f(x).alias(f"{f.__name__}_{x}") for x in ("id", "c", "c2") for f in (F.min, F.max)])
     spread = ends.where("min_id < max_id").select(_apart("h", "g"), F.expr("min_c <> max_c or min_c2 <> max_c2").alias("several"))
@@ -295,6 +336,7 @@ def paths(linked: DataFrame) -> DataFrame:
 def spans_to_go(df: DataFrame, id_col: str, text_col: str, key: bytes, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """(id, tid, spans): places (pos, n windows) of paths that also begin in a row of smaller id, and the source's digest.
 
+    The same windows of pieces that the text repeats go as well and are not among them (repeats() finds them).
     tid is a hash of the text: rows that repeat an id with another text have coordinates of their own.
     """
     src = _keyed(df, id_col, text_col).where("id is not null and t is not null")
@@ -336,7 +378,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         rows = _keyed(df, id_col, text_col).mapInArrow(_pack, "id long, tid long, z binary")
         joined = rows.join(go, ["id", "tid"], "left").select(F.struct(F.col("id").alias(id_col)).alias("row"), "z", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_finish(window, keep_text, key), f"row {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(_finish(window, keep_text, key, kmer), f"row {kind}, n_words long, n_removed long, kept string")
 
 
 def op8_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

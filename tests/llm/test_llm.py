@@ -632,6 +632,16 @@ def test_paths_are_maximal_and_verified(spark):
         list(finish([pa.RecordBatch.from_arrays([row, pa.array([" ".join(w)]), spans], ["row", "t", "spans"])]))
 
 
+def test_a_text_repeats_pieces_for_nothing(spark):
+    passage = " ".join(f"t{i}" for i in range(80))
+    rows = [(d, f"a{d} " + "so it goes. " * (200 + 7 * d) + f"{passage} b{d} " * 9 + passage) for d in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = debruijn.shared_pieces(debruijn._keyed(df, "doc_id", "text"), 50, 16, b"0" * 16)
+    assert shared.count() == shared.select("id", "c", "c2").distinct().count() < 400  # 200 lines make 200 pieces of three windows
+    got = debruijn.dedup(df).collect()
+    assert sorted((str(r.row.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == brute_repeats(rows)
+
+
 # Quality.
 
 
