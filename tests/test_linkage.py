@@ -1,6 +1,7 @@
 """Named queries against DuckDB, and operators against plain Python."""
 
 import random
+import re
 
 import pytest
 from conftest import same_rows
@@ -481,6 +482,38 @@ def test_misses_look_for_lost_links_once(spark):
     assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def _broadcast(df):
+    """What stands below the plan's broadcasts."""
+    found, top = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        top = None if top is not None and depth <= top else top
+        if top is not None:
+            found.append(line)
+        elif "BroadcastExchange" in line:
+            top = depth
+    return found
+
+
+def test_misses_broadcast_no_links(spark):
+    """Files of links are far smaller than their rows: neither links nor candidates nor records go to the driver for a join, however small."""
+    from kinweave.checkpoints import kept
+    from kinweave.operators import evaluate, retrieval
+
+    rows = [("x", "S1-1", 1, 0, "a b", "1 z"), ("x", "S2-2", 2, 1, "a c", "2 z"), ("x", "S2-3", 2, 2, "d", "3"), ("x", "S2-5", 2, 4, "e a", None), ("y", "S2-4", 2, 3, "a b", "z"), (None, "S2-6", 2, 5, "a", "1"), (None, "S1-6", 1, 6, "a", "1"), ("x", "S2-7", 2, 60, None, "z")]
+    records = kept(spark.createDataFrame(rows, "country string, id string, src int, k long, name string, addr string"))
+    links = [("x", "S1-1", c) for c in ("S2-2", "S2-2", "S2-3", "S2-5", "S2-7", "S2-9")] + [("y", "S1-9", "S2-4")]
+    truth, cand = kept(spark.createDataFrame(links, "country string, q string, c string")), kept(spark.createDataFrame(links[2:3], "country string, q string, c string"))
+    least = evaluate.least_shared_df(truth, records)
+    assert {(r.c, r.name_df, r.addr_df) for r in least.collect()} == {("S2-2", 2, 2), ("S2-3", None, None), ("S2-5", 2, None), ("S2-7", None, 2), ("S2-9", None, None), ("S2-4", None, None)} and least.count() == 6
+    got = evaluate.misses(cand, truth, records, 1, 1)
+    assert {(r.category, r.n) for r in got.collect()} == {("address too common", 2), ("name too common", 1), ("no signal", 2)}
+    assert not [x for x in _broadcast(got) if re.search(r"\b(q|c|id)#", x)]
+    owned = retrieval.block_owner(records, 50)
+    assert sorted(tuple(r) for r in owned.collect()) == [("x", "S1-1", c) for c in ("S2-2", "S2-3", "S2-5")]
+    assert not _broadcast(owned)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
